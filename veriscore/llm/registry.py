@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import fresh_path, table
+from .bpe_stream import encode_decode_digest
+from .common import fresh_path, staged, table
+from .flac import flac_column, media_digest
+from .html_text import extract_main_text
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
+from .toxicity import learn_lexicon, toxicity_scores
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +31,33 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, learn_lexicon(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digest(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_flac_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(staged(flac_column(table(spark, sf_dir, "documents")), "media"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op4_toxicity, op5_bpe_stream, op6_html_text, op8_flac_column, op9_jaccard_join, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

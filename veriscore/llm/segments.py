@@ -39,8 +39,61 @@ def safe_segments(text: str) -> list[str]:
     return _SAFE.split(text)
 
 
-class SegmentEncoder:
-    """ids of whole texts by a tokenizers file; remembers at most `limit` segments (then starts afresh)."""
+class SegmentMemo:
+    """Token ids of whole texts from the ids of their parts; remembers at most `limit` parts (then starts afresh)."""
+
+    def __init__(self, dtype: np.dtype, limit: int):
+        self.dtype, self.limit = dtype, limit
+        self._forget()
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(parts of all texts in a row, first part of each text and the end)."""
+        raise NotImplementedError
+
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these parts in a row, how many each has)."""
+        raise NotImplementedError
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(index into the known parts for every part of the batch, first part of each text and the end)."""
+        flat, offsets = self._cut(texts)
+        coded = flat.dictionary_encode()
+        if len(self.known) > self.limit:
+            self._forget()
+        where = pc.index_in(coded.dictionary, value_set=self.known)
+        missing = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
+        place = where.fill_null(-1).to_numpy().astype(np.int64)
+        if len(missing):
+            fresh = coded.dictionary.take(pa.array(missing))
+            ids, lengths = self._encode_new(fresh.to_pylist())
+            place[missing] = len(self.known) + np.arange(len(missing))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.ids = np.concatenate([self.ids, ids])
+            self.known = pa.concat_arrays([self.known, fresh])
+        return place[coded.indices.to_numpy()], offsets
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Number of tokens of each text."""
+        place, offsets = self._segments(texts)
+        total = np.concatenate([[0], np.cumsum(self.length[place])])
+        return total[offsets[1:]] - total[offsets[:-1]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets of the texts in them)."""
+        place, offsets = self._segments(texts)
+        lengths = self.length[place]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(self.start[place] - total[:-1], lengths) + np.arange(total[-1])
+        return self.ids[take], total[offsets]
+
+
+class SegmentEncoder(SegmentMemo):
+    """ids of whole texts by a tokenizers file."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -49,22 +102,17 @@ class SegmentEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: a byte-level token has one character per byte
         for token, i in vocab.items():
             self.width[i] = len(token)
         for i, added in self.tokenizer.get_added_tokens_decoder().items():
             self.width[i] = len(added.content.encode())
-        self.limit = limit
         self.word_ids: dict[str, bytes] = {}
         pre = json.loads(self.tokenizer.to_str())
         byte_level = pre["normalizer"] is None and (p := pre["pre_tokenizer"] or {}).get("type") == "ByteLevel" and p["use_regex"] and not p["add_prefix_space"]
         self.words = regex.compile(WORDS) if byte_level else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        super().__init__(dtype, limit)
 
     def _unit_ids(self, units: list[str]) -> list[bytes]:
         """ids of each unit: plain Latin text word by word with the tokenizer's own model, remembering words; the rest by the whole tokenizer."""
@@ -102,8 +150,7 @@ class SegmentEncoder:
         stops = np.cumsum(pc.binary_length(pa.array(new, pa.large_string())).to_numpy())
         return flat, np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
 
-    def _segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(index into the known segments for every segment of the batch, first segment of each text and the end)."""
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.or_(pc.match_substring_regex(texts, RUN), pc.match_substring(texts, MARK))
         marked = pc.replace_substring(texts, " ", MARK + " ")
@@ -124,35 +171,7 @@ class SegmentEncoder:
                 counts[i] = len(own)
             flat = pa.concat_arrays([*pieces, flat.slice(at)])
             offsets = np.concatenate([[0], np.cumsum(counts)])
-        coded = flat.dictionary_encode()
-        if len(self.known) > self.limit:
-            self._forget()
-        where = pc.index_in(coded.dictionary, value_set=self.known)
-        missing = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
-        place = where.fill_null(-1).to_numpy().astype(np.int64)
-        if len(missing):
-            fresh = coded.dictionary.take(pa.array(missing))
-            ids, lengths = self._encode_new(fresh.to_pylist())
-            place[missing] = len(self.known) + np.arange(len(missing))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.ids = np.concatenate([self.ids, ids])
-            self.known = pa.concat_arrays([self.known, fresh])
-        return place[coded.indices.to_numpy()], offsets
-
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """Number of tokens of each text."""
-        place, offsets = self._segments(texts)
-        total = np.concatenate([[0], np.cumsum(self.length[place])])
-        return total[offsets[1:]] - total[offsets[:-1]]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, offsets of the texts in them)."""
-        place, offsets = self._segments(texts)
-        lengths = self.length[place]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(self.start[place] - total[:-1], lengths) + np.arange(total[-1])
-        return self.ids[take], total[offsets]
+        return flat, offsets
 
 
 _ENCODERS: dict[str, SegmentEncoder] = {}
