@@ -6,13 +6,13 @@ the next stage's documents. All stages but the last return the columns of docume
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veriscore.llm.common import staged, table
 from veriscore.llm.jaccard import one_of_each
 from veriscore.llm.packing import pack_documents
 from veriscore.llm.quality import keep_good
-from veriscore.llm.registry import BYTE_BPE
 from veriscore.llm.toxicity import drop_toxic
 
 
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, BYTE_BPE)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]

@@ -13,9 +13,12 @@ from .flac import flac_column, media_digest
 from .html_text import extract_main_text
 from .jaccard import jaccard_components
 from .packing import pack_documents
+from .quality import SQL as QUALITY_SQL
+from .quality import quality_table
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .toxicity import learn_lexicon, toxicity_scores
+from .url_filter import url_verdicts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +34,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, learn_lexicon(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +51,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(table(spark, sf_dir, "documents"))
+
+
 def op8_flac_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(staged(flac_column(table(spark, sf_dir, "documents")), "media"))
 
@@ -56,9 +67,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op4_toxicity, op5_bpe_stream, op6_html_text, op8_flac_column, op9_jaccard_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_url_filter, op4_toxicity, op5_bpe_stream, op6_html_text, op7_quality_rules, op8_flac_column, op9_jaccard_join, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": QUALITY_SQL.format(documents="documents")}
