@@ -337,9 +337,10 @@ def decode_any(stream: bytes) -> np.ndarray:
         lead = bits.take(8)
         for _ in range(max(0, 8 - (~lead & 0xFF).bit_length() - 1)):
             bits.take(8)
-        block = {1: 192, 6: 0, 7: 0}.get(size_code, 576 << (size_code - 2) if size_code < 6 else 256 << (size_code - 8 if size_code > 7 else 0))
         if size_code in (6, 7):
             block = bits.take(8 * (size_code - 5)) + 1
+        else:
+            block = 192 if size_code == 1 else 576 << (size_code - 2) if size_code < 6 else 1 << size_code
         if rate_code in (12, 13, 14):
             bits.take(8 if rate_code == 12 else 16)
         raw = np.frombuffer(bits.data, np.uint8)
