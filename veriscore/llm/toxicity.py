@@ -35,7 +35,7 @@ _SIGN = str.maketrans(SIGNS)
 _FOREIGN = re.compile("[Ͱ-ԯ]")
 _WIDE = re.compile("[！-～]")
 #: Words in which a sign stands beside a letter.
-_MIXED = re.compile(r"[^\W\d_][0-9@$!](?=[^\W\d_])|(?<![^\W_])[0-9@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0-9@$](?![^\W_])")
+_MIXED = re.compile(r"(?<=[^\W\d_])[0-9@$!]{1,3}(?=[^\W\d_])|(?<![^\W_])[0-9@$](?=[^\W\d_])|(?<=[^\W\d_]{2})[0-9@$](?![^\W_])")
 _GAP = re.compile(r"[\W_]+")
 PREFIXES = range(4, 8)
 
