@@ -30,7 +30,7 @@ def variants(d):
 
 def sweep(d):
     values = d.seq("5", "95")
-    return f"WITH {C.cascade(d)}, th AS (SELECT * FROM ({d.unnest(values, '(SELECT 1 AS one)', 'one', 'threshold')}) WHERE threshold % 5 = 0), c AS (SELECT label, total, count(*) AS n FROM t GROUP BY label, total), e AS (SELECT CAST(threshold AS BIGINT) AS threshold, CAST(sum(CASE WHEN label = 1 AND total >= threshold THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN label = 0 AND total >= threshold THEN n ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN label = 1 AND total < threshold THEN n ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN label = 0 AND total < threshold THEN n ELSE 0 END) AS BIGINT) AS tn FROM c CROSS JOIN th GROUP BY threshold) {rates('SELECT * FROM e', 'threshold, ')}"
+    return f"WITH {C.cascade(d)}, th AS (SELECT * FROM ({d.unnest(values, '(SELECT 1 AS one)', 'one', 'threshold')}) WHERE threshold % 5 = 0), cells AS (SELECT label, total, count(*) AS n FROM t GROUP BY label, total), e AS (SELECT CAST(threshold AS BIGINT) AS threshold, CAST(sum(CASE WHEN label = 1 AND total >= threshold THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN label = 0 AND total >= threshold THEN n ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN label = 1 AND total < threshold THEN n ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN label = 0 AND total < threshold THEN n ELSE 0 END) AS BIGINT) AS tn FROM cells CROSS JOIN th GROUP BY threshold) {rates('SELECT * FROM e', 'threshold, ')}"
 
 
 #: Poisson(1) resampling weight of a row in a replicate, from an integer hash of both: each row meets each replicate alone, so no draw crosses rows.
@@ -43,7 +43,7 @@ def bootstrap(d):
     cells = ", ".join(f"CAST(sum(CASE WHEN label = {y} AND {c} THEN w ELSE 0 END) AS BIGINT) AS {n}" for n, y, c in (("tp", 1, "total >= 50"), ("fp", 0, "total >= 50"), ("fn", 1, "total < 50"), ("tn", 0, "total < 50")))
     ranked = ", ".join(f"max(CASE WHEN k_{m} = {k} THEN {m} END) AS {m}_{n}" for m in ("precision_", "recall_", "f1", "fpr") for n, k in (("lo", 6), ("hi", 195)))
     order = ", ".join(f"row_number() OVER (ORDER BY {m}) AS k_{m}" for m in ("precision_", "recall_", "f1", "fpr"))
-    return f"WITH {C.cascade(d)}, b AS ({reps}), w AS (SELECT r, label, total, {POISSON} AS w FROM b), c AS (SELECT r, {cells} FROM w GROUP BY r), m AS ({rates('SELECT * FROM c', 'r, ')}), o AS (SELECT {order}, precision_, recall_, f1, fpr FROM m) SELECT {ranked} FROM o"
+    return f"WITH {C.cascade(d)}, reps AS ({reps}), drawn AS (SELECT r, label, total, {POISSON} AS w FROM reps), sums AS (SELECT r, {cells} FROM drawn GROUP BY r), m AS ({rates('SELECT * FROM sums', 'r, ')}), o AS (SELECT {order}, precision_, recall_, f1, fpr FROM m) SELECT {ranked} FROM o"
 
 
 def per_signal(distinct: bool):
@@ -122,14 +122,14 @@ QUERIES = {
     "q37_stratified": lambda d: f"WITH {C.urls(d)} SELECT page_id, bucket FROM (SELECT page_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY mix, page_id) AS rn FROM (SELECT page_id, {MIX} AS mix, CASE WHEN NOT valid THEN 'unparseable' WHEN is_ip THEN 'ip-host' WHEN split_part(host, '.', -1) IN ('tk', 'zip', 'click', 'xyz', 'top', 'shop', 'info') THEN concat('susp-tld-', split_part(host, '.', -1)) WHEN {d.rx('host', 'paypal|microsoft|google|apple|amazon')} THEN 'brand-in-host' ELSE 'other' END AS bucket FROM u)) WHERE rn <= 5",
     "q38_union_dedup": lambda d: f"WITH {C.urls(d)}, n AS (SELECT page_id AS ord, {d.rep('host', '^www\\.', '')} AS domain FROM u WHERE instr(host, '.') > 0 UNION ALL SELECT page_id + 1000000 AS ord, {d.rep('host', '^(m|blog|www)\\.', '')} AS domain FROM u WHERE instr(host, '.') > 0) SELECT domain, min(ord) AS first_seen, count(*) AS copies FROM n GROUP BY domain",
     "q38_set_difference": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE page_id % 2 = 0 EXCEPT SELECT host FROM u WHERE page_id % 2 = 1",
-    "q38_set_intersect": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE page_id % 2 = 0 INTERSECT SELECT host FROM u WHERE page_id % 2 = 1",
+    "q38_set_intersect": lambda d: f"WITH {C.urls(d)} SELECT coalesce(etld1, '') AS site FROM u WHERE page_id % 2 = 0 INTERSECT SELECT coalesce(etld1, '') AS site FROM u WHERE page_id % 2 = 1",
     "q39_bloom_build": bloom_build,
     "q40_bloom_probe": bloom_probe,
     "q43_debounce": lambda d: f"WITH {events(d)}, i AS ({ISLANDS}), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS burst FROM i) SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS events, max(us) AS run_at, max(event_id) AS last_event FROM s GROUP BY user_id, burst",
     "q44_latest_verdict": lambda d: f"WITH {events(d)} SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rn FROM ev) WHERE rn = 1 AND event_type <> 'error'",
     "q44_sequence_check": lambda d: f"WITH {events(d)}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seq FROM ev), m AS (SELECT user_id, max(seq) AS latest FROM q GROUP BY user_id) SELECT q.user_id, q.event_id, CAST(q.seq AS BIGINT) AS seq FROM q JOIN m ON q.user_id = m.user_id AND q.seq = m.latest",
     "q45_lru": lambda d: f"WITH {events(d)}, k AS (SELECT user_id, value, max(us) AS used, max(event_id) AS e FROM ev GROUP BY user_id, value) SELECT user_id, e AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY used DESC, e DESC) AS rn FROM k) WHERE rn <= 32",
-    "q47_subset_rollup": lambda d: f"WITH {C.cascade(d)}, c AS (SELECT CASE WHEN page_id % 3 = 0 THEN 'golden' WHEN page_id % 3 = 1 THEN 'local' ELSE 'feed' END AS subset, label AS y, total >= 50 AS p FROM t) SELECT coalesce(subset, 'combined') AS subset, {CELLS} FROM c GROUP BY GROUPING SETS ((subset), ())",
+    "q47_subset_rollup": lambda d: f"WITH {C.cascade(d)}, parts AS (SELECT CASE WHEN page_id % 3 = 0 THEN 'golden' WHEN page_id % 3 = 1 THEN 'local' ELSE 'feed' END AS subset, label AS y, total >= 50 AS p FROM t) SELECT coalesce(subset, 'combined') AS subset, {CELLS} FROM parts GROUP BY GROUPING SETS ((subset), ())",
     "q48_misjudgment_top": scored("SELECT page_id, url, verdict, total FROM (SELECT *, row_number() OVER (ORDER BY page_id DESC) AS rn FROM (SELECT * FROM t WHERE (label = 1) <> (total >= 50) ORDER BY page_id DESC LIMIT 100)) WHERE rn <= 100"),
     "q50_normalised_domains": lambda d: f"WITH {C.urls(d)} SELECT DISTINCT CASE WHEN instr({d.rep('lower(trim(host))', '^www\\.', '')}, '.') > 0 THEN {d.rep('lower(trim(host))', '^www\\.', '')} END AS domain FROM u WHERE host <> ''",
     "q51_balanced_sample": scored(f"SELECT page_id, label FROM (SELECT page_id, label, row_number() OVER (PARTITION BY label ORDER BY {MIX}, page_id) AS rn FROM t) WHERE rn <= 20"),
