@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: (rule, verdict), fixed by the contract of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 BAD_TERMS = ("casino", "bets", "pills", "ads-track", "porn", "warez")
@@ -69,6 +71,7 @@ def template_verdicts(nodes: DataFrame, prior: float, reject: float, weight: flo
         children = tree.groupBy(*above, f"s{d}").agg(F.sum("n").alias("cn"))
         literal = children.join(children.groupBy(*above).agg(F.sum("cn").alias("pn")), above).where(F.col("cn") * 20 >= F.col("pn")).select(*above, f"s{d}", F.lit(True).alias("literal"))
         tree = tree.join(literal, [*above, f"s{d}"], "left").withColumn(f"t{d}", F.when(F.col("literal"), F.col(f"s{d}")).otherwise("{*}")).drop("literal")
+        tree = staged(tree, "tree")  # a small table; every level reads it twice
     hosts = tree.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb")).select("host", ((F.col("hb") + weight * prior) / (F.col("hl") + weight)).alias("host_share"))
     branches = tree.groupBy("host", "t0").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb")).withColumn("share", F.coalesce(F.try_divide("bb", "bl"), F.lit(-1.0)))
     order = Window.partitionBy("host").orderBy("share", "t0")  # at most twenty-one branches a host
@@ -93,7 +96,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, bad_terms=BAD_TERMS, reject: flo
     shaped = ruled.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("given"), *(c.alias(f"s{i}") for i, c in enumerate(segments(F.col("path")))))
     shaped = shaped.withColumn("node", F.xxhash64("host", *(f"s{i}" for i in range(DEPTH + 1)))).withColumn("label", F.when(spam, 1).when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0))
     keys = ["node", "host", *(f"s{i}" for i in range(DEPTH + 1))]
-    nodes = shaped.groupBy(*keys).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    total = shaped.agg(F.try_divide(F.sum("label"), F.count("label")).alias("p")).first()["p"] or 0.0
+    nodes = staged(shaped.groupBy(*keys).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "nodes")
+    total = nodes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("p")).first()["p"] or 0.0
     verdicts = template_verdicts(nodes, total, reject, weight)
     return shaped.join(verdicts, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")).alias("verdict"))
