@@ -95,7 +95,7 @@ class SegmentMemo:
 class SegmentEncoder(SegmentMemo):
     """ids of whole texts by a tokenizers file."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,7 +119,7 @@ class SegmentEncoder(SegmentMemo):
         out: list[bytes | None] = [None] * len(units)
         plain = [i for i, u in enumerate(units) if not ODD.search(u)] if self.words else []
         split = [self.words.findall(units[i]) for i in plain]
-        if len(self.word_ids) > self.limit:
+        if len(self.word_ids) > self.limit // 3:
             self.word_ids.clear()
         new = list(set().union(*split) - self.word_ids.keys())
         model, table = self.tokenizer.model, BYTE_LETTERS
@@ -184,7 +184,7 @@ def encoder(path: str) -> SegmentEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
     """Ranges [a, b) of a batch whose texts have about `most` bytes together, so that a few long texts do not share one."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     out, a = [], 0
