@@ -6,11 +6,11 @@ Sets of word shingles are joined at a Jaccard threshold, exactly:
 2. Two similar sets share one of their first few shingles in any fixed order (`needed` of them must be common). The order is
    by hash, with shingles that are frequent anywhere put last; frequency comes from counts over all documents in a
    fixed number of hash buckets, so its size does not grow with the corpus. Any such order is right; this one is fast.
-3. Similar sets form groups: those with the same first shingle, cut into parts of bounded size. The token-group matrix holds,
+3. Similar sets form groups: those with the same least shingle and about the same size, cut into parts of bounded size. The token-group matrix holds,
    for each group, the union of its members' first shingles, as rows (token, group).
-4. Groups that share a token and whose set sizes can match are candidates. Both are opened once: for each set of one, the
-   number of its shingles in the other's union bounds every overlap, and only sets that pass are compared, by an
-   incidence product. A pair of groups gives a spanning forest of its links.
+4. The common tokens of two groups bound the overlap of any two of their sets; groups that can't qualify are not opened. Of
+   opened groups the whole token unions bound each set's overlap once more, and only sets that pass are compared. An opening
+   gives a spanning forest of its links.
 5. Components come from label propagation with pointer jumping over the links.
 
 Nothing is capped: groups are parts of bounded size, and all pairs of parts that share a token are opened. Empty sets link with
@@ -19,49 +19,43 @@ nothing. Null text is empty, null ids keep a row (their own component is null),
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-WORD_GAP = re.compile("[\x20\x09-\x0d]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
+_SHIFT = np.uint64(42)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _WordHash()
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one shingle, none an empty set."""
-    text = text or ""
-    words = WORD_GAP.split((text if text.islower() else text.translate(_UPPER)).strip("\x20\x09\x0a\x0b\x0c\x0d"))
-    if words == [""]:
+    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one shingle, none an empty set.
+
+    Bytes are lower-cased and split at white space in the ASCII sense: A-Z only, and \\x20, \\x09 to \\x0D only.
+    """
+    words = (text or "").encode().lower().split()
+    if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, min(len(h), k), np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = np.full(max(1, len(h) - k + 1), min(len(h), k), np.uint64)
     for i in range(min(k, len(h))):
-        out = (out ^ h[i : i + n]) * _MIX
+        out = (out ^ h[i : i + len(out)]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return _distinct(out)
 
 
 def needed(n: int | np.ndarray, percent: int):
@@ -80,12 +74,16 @@ def frequent_buckets(docs: DataFrame, k: int) -> np.ndarray:
     """Hash buckets with far more shingles than usual in some partition, as a table of BUCKETS booleans."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(BUCKETS, np.int32), 0
+        counts, total, held, size = np.zeros(BUCKETS, np.int32), 0, [], 0
         for _, sets in _per_batch(batches, k):
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            total += len(flat)
-            counts += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > 16 + 4 * total / BUCKETS))], names=["bucket"])
+            held += sets
+            size += sum(map(len, sets))
+            if size > 1 << 20:
+                counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+                total, held, size = total + size, [], 0
+        if held:
+            counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > 3 + 3 * (total + size) / BUCKETS))], names=["bucket"])
 
     hot = docs.select("doc_id", "text").mapInArrow(count, "bucket long").distinct().collect()  # at most BUCKETS numbers
     table = np.zeros(BUCKETS, bool)
@@ -94,7 +92,7 @@ def frequent_buckets(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, digest, prefix): set size, 128-bit set digest, and the first shingles in the common order."""
+    """(doc_id, n, digest, first, prefix): set size, 128-bit set digest, least shingle, and the first shingles in the common order."""
     packed = np.packbits(hot).tobytes()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,55 +101,75 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFr
             digests, prefixes = [], []
             for s in sets:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                last = hot[(s >> np.uint64(44)).astype(np.int64)]
+                last = hot[(s >> _SHIFT).astype(np.int64)]
                 first = np.concatenate([s[~last], s[last]]) if last.any() else s
                 prefixes.append(first[: len(s) - needed(len(s), percent) + 1 if len(s) else 0].view(np.int64))
             sizes = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([int(x.view(np.int64)[0]) if len(x) else None for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["doc_id", "n", "digest", "first", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, first long, prefix array<long>")
 
 
 def group_of(sets: DataFrame, tokens: int, members: int) -> DataFrame:
-    """sets with `grp`: the first shingle and a part number, so that a group has about `tokens` shingles and `members` sets at most."""
-    keyed = sets.withColumn("first", F.element_at("prefix", 1))
-    sizes = keyed.groupBy("first").agg(F.greatest(F.ceil(F.sum("n") / tokens), F.ceil(F.count("*") / members)).alias("parts"))
+    """sets (set_id, n, first) with `grp`: least shingle, size to 2 percent, part number; about `tokens` shingles and `members` sets at most."""
+    sets = sets.withColumn("band", F.floor(F.log("n") / math.log(1.02)))  # like sizes keep the bounds between groups sharp
+    sets = sets.withColumn("first", F.xxhash64("first", "band"))
+    sizes = sets.groupBy("first").agg(F.greatest(F.ceil(F.sum("n") / tokens), F.ceil(F.count("*") / members)).alias("parts"))
     split = sizes.where(F.col("parts") > 1)
-    return keyed.join(split, "first", "left").withColumn("grp", F.xxhash64("first", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1)))))
+    return sets.join(split, "first", "left").withColumn("grp", F.xxhash64("first", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1)))))
 
 
 def candidate_groups(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a <= b, of groups that share a token of the matrix and whose sizes can match; a = b for groups of two sets and more."""
+    """Pairs (a, b), a <= b, of groups that may hold similar sets; a = b for groups of two sets and more. grouped: (grp, n, band, prefix).
+
+    The matrix has the rows (token, group); tokens of one group only are dropped before it meets itself. For sets x of one and y of
+    the other group, with c common tokens: the last prefix token of one, say x, is not after the other's, so x has at most c
+    + n(x) - |prefix(x)| shingles in common with y, and percent / (100 + percent) of both sizes are needed. Groups for which this
+    can't hold for any sizes they have, either way round, are no candidates.
+    """
     ranges = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("sets"))
-    matrix = grouped.select("grp", "n", F.explode("prefix").alias("token")).groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    rows = grouped.select(F.explode("prefix").alias("token"), "grp", "band").repartition("token")
+    matrix = rows.distinct().withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1").select("token", "grp", "band")
+    apart = math.ceil(math.log(100 / percent) / math.log(1.02)) + 1  # bands farther apart hold no similar sizes
     left, right = matrix.alias("l"), matrix.alias("r")
-    fits = (F.col("l.lo") * percent <= F.col("r.hi") * 100) & (F.col("r.lo") * percent <= F.col("l.hi") * 100)
-    across = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") < F.col("r.grp")) & fits).select(F.col("l.grp").alias("a"), F.col("r.grp").alias("b")).distinct()
+    common = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") < F.col("r.grp")) & (F.abs(F.col("l.band") - F.col("r.band")) <= apart)).groupBy(F.col("l.grp").alias("a"), F.col("r.grp").alias("b")).agg(F.count("*").alias("c"))
+    sized = common.join(ranges.select(F.col("grp").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), "a").join(ranges.select(F.col("grp").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb")), "b")
+    fits = (F.col("la") * percent <= F.col("hb") * 100) & (F.col("lb") * percent <= F.col("ha") * 100)
+
+    def bound(x: str, y: str):  # 100 (100 + percent) (c + 1 + percent n(x) / 100) > 100 percent (n(x) + n(y)), largest x and smallest y
+        return 100 * (100 + percent) * (F.col("c") + 1) + percent * (100 + percent) * F.col(x) >= 100 * percent * (F.col(x) + F.col(y))
+
+    across = sized.where(fits & (bound("ha", "lb") | bound("hb", "la"))).select("a", "b")
     own = ranges.where(F.col("sets") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     return across.unionByName(own)
 
 
-def _similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all similar pairs between two opened groups."""
-    union = np.unique(np.concatenate(right))
-    sizes = np.array([len(s) for s in right])
-    place = [np.searchsorted(union, s) for s in left]
-    place = [p[(p < len(union)) & (union[np.minimum(p, len(union) - 1)] == s)] for p, s in zip(place, left)]
-    n = np.array([len(s) for s in left])
-    opened = np.flatnonzero(np.array([len(p) for p in place]) >= needed(n, percent))  # the group's bound on any overlap
-    if not len(opened):
-        return opened, opened
-    matrix = np.zeros((len(right), len(union)), np.float32)
-    for j, s in enumerate(right):
-        matrix[j, np.searchsorted(union, s)] = 1
-    found_a, found_b = [], []
-    for i in opened.tolist():
-        common = matrix[:, place[i]].sum(1)
-        hits = np.flatnonzero(common * 100 >= percent * (n[i] + sizes - common))
-        found_a.append(np.full(len(hits), i))
-        found_b.append(hits)
-    return np.concatenate(found_a), np.concatenate(found_b)
+class _Opened:
+    """An opened group: its sets and its token union with the sets of each token."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        flat = flat[order]
+        self.starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self.union = flat[self.starts]
+        self.counts = np.diff(self.starts, append=len(flat))
+
+    def similar(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Members similar to the query; members are looked at only if the union holds enough of its shingles."""
+        at = np.searchsorted(self.union, query)
+        at = at[(at < len(self.union)) & (self.union[np.minimum(at, len(self.union) - 1)] == query)]
+        n = len(query)
+        if len(at) < needed(n, percent):
+            return at[:0]
+        counts = self.counts[at]
+        stops = np.cumsum(counts)
+        rows = np.arange(stops[-1]) + np.repeat(self.starts[at] - stops + counts, counts)
+        common = np.bincount(self.owner[rows], minlength=len(self.sizes))
+        return np.flatnonzero(common * 100 >= percent * (n + self.sizes - common))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -172,35 +190,73 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives, a spanning forest per pair of groups. members: (set_id, grp)."""
+BITS = 1 << 22
+
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(set_id, shingles binary) of the documents named in wanted (set_id), and of a few more.
+
+    A bitmap of fixed size (BITS) tells most other documents apart in the scan, so that their texts are neither cut up nor shuffled.
+    """
+    bit = F.pmod(F.xxhash64("set_id"), F.lit(BITS))
+    words = wanted.select(bit.cast("int").alias("bit")).selectExpr("bit div 64 AS word", "shiftleft(1L, bit % 64) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    table = np.zeros(BITS // 64, np.int64)
+    for r in words:  # at most BITS / 64 numbers
+        table[r.word] = r.bits
+    packed = table.tobytes()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(packed, np.uint64)
         for batch in batches:
-            sets = [shingles(t, k).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["grp", "set_id", "shingles"])
+            place = batch.column(2).to_numpy().astype(np.int64)
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            for a in range(0, len(batch), 512):
+                part = batch.slice(a, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["set_id", "shingles"])
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("set_id"), "text")
+    return named.select("set_id", "text", bit.alias("bit")).mapInArrow(cut, "set_id long, shingles binary")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-    chosen = members.join(wanted, "grp", "left_semi").select("grp", F.col("set_id"))
-    texts = docs.select(F.col("doc_id").alias("set_id"), "text").join(chosen, "set_id").dropDuplicates(["set_id"])
-    groups = texts.select("grp", "set_id", "text").mapInArrow(sets_of, "grp long, set_id long, shingles binary").groupBy("grp").agg(F.collect_list(F.struct("set_id", "shingles")).alias("sets"))
-    groups = staged(groups, "groups")
-    rows = pairs.join(groups.select(F.col("grp").alias("a"), F.col("sets").alias("x")), "a").join(groups.select(F.col("grp").alias("b"), F.col("sets").alias("y")), "b")
+
+def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, tokens: int = 1 << 20, sets: int = 4096) -> DataFrame:
+    """Links (a, b) between representatives, a spanning forest per opening. members: (set_id, grp, n); pairs and members are written tables.
+
+    Groups around the same smallest neighbour are opened together, so that families of copies are shipped once; such a bundle has at
+    most `tokens` shingles and `sets` sets, else its groups stay alone. Pairs of groups in different bundles are opened pair by pair.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    near = both.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy(F.col("a").alias("grp")).agg(F.min("label").alias("label"))
+    sizes = members.groupBy("grp").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).join(near, "grp")
+    fitting = sizes.groupBy("label").agg(F.sum("tokens").alias("tokens"), F.sum("sets").alias("sets")).where((F.col("tokens") <= tokens) & (F.col("sets") <= sets)).select("label", F.lit(True).alias("fits"))
+    homes = staged(sizes.join(fitting, "label", "left").select("grp", F.when(F.col("fits"), F.col("label")).otherwise(F.col("grp")).alias("home")), "homes")
+    chosen = members.join(homes, "grp").select("set_id", "grp", "home")
+    opened = staged(chosen.join(wanted_sets(docs, chosen, k).dropDuplicates(["set_id"]), "set_id"), "opened")
+
+    def read(value: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+        rows = value.values
+        return rows.field("set_id").to_numpy(), [np.frombuffer(v, np.uint64) for v in rows.field("shingles").to_pylist()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links: list[tuple[int, int]] = []
             for i in range(len(batch)):
-                own = []
-                for c in (1, 2):
-                    value = batch.column(c)[i].values
-                    own.append((value.field("set_id").to_numpy(), [np.frombuffer(v, np.uint64) for v in value.field("shingles").to_pylist()]))
-                (ids_a, x), (ids_b, y) = own
-                a, b = _similar(x, y, percent)
-                links += _forest(ids_a[a], ids_b[b])
+                ids, own = read(batch.column(1)[i])
+                right_ids, right = read(batch.column(2)[i]) if batch.num_columns == 3 else (ids, own)
+                group = _Opened(right)
+                found = [group.similar(q, percent) for q in own]
+                links += _forest(np.repeat(ids, [len(f) for f in found]), right_ids[np.concatenate(found)])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return rows.select(F.lit(0).alias("_"), "x", "y").mapInArrow(compare, "a long, b long").where("a <> b")
+    entry = F.collect_list(F.struct("set_id", "shingles"))
+    within = opened.groupBy("home").agg(entry.alias("x")).where(F.size("x") > 1).mapInArrow(compare, "a long, b long")
+    side = {c: homes.select(F.col("grp").alias(c), F.col("home").alias(f"h{c}")) for c in "ab"}
+    apart = staged(pairs.join(side["a"], "a").join(side["b"], "b").where("ha <> hb").select("a", "b"), "apart")
+    needed_groups = apart.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
+    groups = opened.join(needed_groups, "grp", "left_semi").groupBy("grp").agg(entry.alias("sets"))
+    rows = apart.join(groups.select(F.col("grp").alias("a"), F.col("sets").alias("x")), "a").join(groups.select(F.col("grp").alias("b"), F.col("sets").alias("y")), "b")
+    across = rows.select(F.lit(0).alias("_"), "x", "y").mapInArrow(compare, "a long, b long")
+    return within.unionByName(across).where("a <> b")
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -233,13 +289,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, group_tok
     """(doc_id, n_shingles, component_id) of every document (doc_id, text), exactly."""
     docs = docs.select("doc_id", "text")
     signed = staged(signatures(docs, k, percent, frequent_buckets(docs, k)), "signatures")
-    by_set = signed.where("n > 0").groupBy("digest")
-    sets = staged(group_of(by_set.agg(F.min("doc_id").alias("set_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).where("set_id is not null"), group_tokens, group_sets).select("digest", "set_id", "grp", "n", "prefix"), "sets")
-    pairs = staged(candidate_groups(sets, percent), "pairs")
-    links = staged(open_groups(pairs, sets.select("set_id", "grp"), docs, k, percent), "edges")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("set_id"), F.min("n").alias("n"), F.min("first").alias("first"))
+    sets = staged(group_of(classes, group_tokens, group_sets).select("digest", "set_id", "grp", "n", "band"), "sets")
+    prefixes = signed.where("n > 0").select(F.col("doc_id").alias("set_id"), "digest", "prefix").dropDuplicates(["set_id", "digest"])
+    pairs = staged(candidate_groups(sets.join(prefixes, ["set_id", "digest"]).select("grp", "n", "band", "prefix"), percent), "pairs")
+    links = staged(open_groups(pairs, sets.select("set_id", "grp", "n"), docs, k, percent), "edges")
     components = connected_components(links)
-    classes = sets.select("digest", "set_id").join(components.withColumnRenamed("node", "set_id"), "set_id", "left").select("digest", F.coalesce("component", "set_id").alias("component"))
-    joined = signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    final = sets.select("digest", "set_id").join(components.withColumnRenamed("node", "set_id"), "set_id", "left").select("digest", F.coalesce("component", "set_id").alias("component"))
+    joined = signed.select("doc_id", "n", "digest").join(final, "digest", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -248,3 +305,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, k, percent)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+#: The components as SQL (all pairs that share a shingle; for small tables).
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - {k} + 1), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.node = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -11,6 +11,7 @@ from .bpe_stream import encode_decode_digest
 from .common import fresh_path, staged, table
 from .flac import flac_column, media_digest
 from .html_text import extract_main_text
+from .jaccard import SQL as JACCARD_SQL
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import SQL as QUALITY_SQL
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY_SQL.format(documents="documents")}
+    return {"op7_quality_rules": QUALITY_SQL.format(documents="documents"), "op9_jaccard_join": JACCARD_SQL.format(k=4, percent=85)}
