@@ -158,8 +158,8 @@ def gate(d) -> str:
     )
 
 
-def dom(d) -> str:
-    """f: page features, after urls(d)."""
+def dom(d, source: str = "u", more: str = "") -> str:
+    """f: page features of source, after urls(d); `more` columns are carried along."""
     inputs, forms = d.all("html", "<input[^>]*>"), d.all("html", "<form[^>]*>")
     name = f"replace({attr(d, 'i', 'name')}, '_', '-')"
     place = d.ex("i", ' placeholder="([^"]*)"')
@@ -175,18 +175,18 @@ def dom(d) -> str:
     cat = (lambda *xs: f"concat({', '.join(xs)})") if not isinstance(d, Duck) else (lambda *xs: f"list_concat(list_concat({xs[0]}, {xs[1]}), {xs[2]})")
     idp = ", ".join(map(d.lit, dims.IDENTITY_PROVIDERS))
     return (
-        f"f0 AS (SELECT page_id, url, label, scheme, host, etld1, html, {cat(acts, scr, ico)} AS links, {d.ex('html', '<title>([^<]*)</title>')} AS title, trim({d.rep(text, r'\s+', ' ')}) AS body, "
+        f"f0 AS (SELECT page_id, url, label, scheme, host, etld1, {more}html, {cat(acts, scr, ico)} AS links, {d.ex('html', '<title>([^<]*)</title>')} AS title, trim({d.rep(text, r'\s+', ' ')}) AS body, "
         f"{d.any(inputs, 'i', attr(d, 'i', 'type') + " = 'password'")} AS has_pw, "
         f"{d.any(inputs, 'i', f"instr({attr(d, 'i', 'autocomplete')}, 'one-time-code') > 0 OR {d.rx(attr(d, 'i', 'name'), '^(otp|otpcode|otp-code|one[-_]?time|2fa|tfa|verifycode|verification[-_]?code)$|(^|[-_])otp([-_]|$)')}")} AS has_otp, "
         f"{d.any(inputs, 'i', f"{d.rx(attr(d, 'i', 'autocomplete'), 'cc-number|^cc-csc$|^cc-exp$')} OR {d.rx(name, 'card|cc-number|ccnumber|cvv|cvc|csc|securitycode|security-code')} OR {d.rx(f'lower({place})', 'card number|信用卡|卡號')}")} AS has_card, "
         f"{d.any(inputs, 'i', f"{d.rx(name, 'idno|idnum|id-number|nationalid|national-id|twid|tw-id|personid|person-id|身分證|身份證|統一編號|統編')} OR {d.rx(place, '身分證|身份證|統一編號|統編')} OR {d.rx(place, '(^|[^A-Za-z0-9])[A-Z][12][0-9]{8}($|[^A-Za-z0-9])')}")} AS has_id, "
         f"{seed} AS seed_grid, CAST({d.size(d.all('html', '<iframe[^>]*(display: *none|visibility: *hidden|width="[01]" height="[01]")[^>]*>'))} AS BIGINT) AS hidden_iframes, CAST({d.size(d.all('html', '<(a|button|form) [^>]*style="[^"]*(opacity: *0(;|"| )|(left|top): *-[0-9]{4,}px)'))} AS BIGINT) AS tiny_elements, "
         f"{d.rx('html', r'<(body|html)[^>]*on(contextmenu|keydown|keyup|keypress)="[^"]*(return +false|preventDefault *\()|keyCode *===? *123|disableContextMenu|noDevTools?')} AS anti_debug, "
-        f"{d.rx('html', r'class="[^"]*cf-turnstile|challenges\.cloudflare\.com/turnstile')} AS turnstile, {d.rx('html', r'class="[^"]*h-captcha|hcaptcha\.com')} AS hcaptcha, CAST({d.size(d.distinct(d.map(forms, 'fo', attr(d, 'fo', 'action'))))} AS BIGINT) AS n_actions FROM u), "
+        f"{d.rx('html', r'class="[^"]*cf-turnstile|challenges\.cloudflare\.com/turnstile')} AS turnstile, {d.rx('html', r'class="[^"]*h-captcha|hcaptcha\.com')} AS hcaptcha, CAST({d.size(d.distinct(d.map(forms, 'fo', attr(d, 'fo', 'action'))))} AS BIGINT) AS n_actions FROM {source}), "
         f"l0 AS ({d.unnest('links', 'f0', 'page_id, etld1 AS page_site, host AS page_host', 'link')}), l1 AS (SELECT page_id, page_site, page_host, split_part(link, ':', 1) AS kind, split_part(link, ':', 2) AS lhost FROM l0), {with_site(d, 'l1', 'l2', 'lhost')}, "
         f"l3 AS (SELECT page_id, count(DISTINCT CASE WHEN kind = 'action' AND etld1 <> coalesce(page_site, '') AND etld1 NOT IN ({idp}) THEN etld1 END) AS n_cross, count(DISTINCT CASE WHEN kind = 'action' AND etld1 <> coalesce(page_site, '') AND etld1 IN ({idp}) THEN etld1 END) AS n_idp, "
         f"count(DISTINCT CASE WHEN kind = 'script' AND lhost <> page_host AND etld1 <> coalesce(page_site, '') THEN etld1 END) AS n_foreign, max(CASE WHEN kind = 'icon' THEN etld1 END) AS icon_site FROM l2 GROUP BY page_id), "
-        f"f AS (SELECT f0.page_id, url, label, scheme, host, etld1, title, substring(body, 1, 2000) AS text, CAST(length(body) AS BIGINT) AS body_len, has_pw, has_otp, has_card, has_id, seed_grid, hidden_iframes, tiny_elements, anti_debug, turnstile, hcaptcha, n_actions, "
+        f"f AS (SELECT f0.page_id, url, label, scheme, host, etld1, {more}title, substring(body, 1, 2000) AS text, CAST(length(body) AS BIGINT) AS body_len, has_pw, has_otp, has_card, has_id, seed_grid, hidden_iframes, tiny_elements, anti_debug, turnstile, hcaptcha, n_actions, "
         f"coalesce(n_cross, 0) AS n_cross, coalesce(n_idp, 0) AS n_idp, coalesce(n_foreign, 0) AS n_foreign, icon_site FROM f0 LEFT JOIN l3 ON f0.page_id = l3.page_id)"
     )
 
@@ -239,14 +239,16 @@ def cascade(d) -> str:
     stage1 = [r for r in url_rules(d) if r[0] != "url.bloomfilter_blacklist_hit"]
     gated = [(g, "0", f"gate = '{g}'") for g in ("url.parse_failed", "url.allowlist_hit", "url.tw_institutional_tld", "url.tw_allowlist_hit")]
     gated.append(("url.bloomfilter_blacklist_hit", "95", "gate = 'url.bloomfilter_blacklist_hit'"))
+    total = lambda a: d.fold(d.map(a, "e", "e.weight"), "CAST(0 AS BIGINT)", "acc", "v", "acc + v")
     return (
-        f"{urls(d)}, {dom(d)}, g AS (SELECT *, {gate(d)} AS gate FROM u), "
-        f"s1 AS ({d.explode('g', 'page_id', [*gated, *((k, w, f"gate = '' AND {p}") for k, w, p in stage1)])}), "
-        f"s2 AS ({d.explode('f', 'page_id', dom_rules(d))}), "
-        "t1 AS (SELECT page_id, least(100, sum(weight)) AS s1 FROM s1 GROUP BY page_id), t2 AS (SELECT page_id, sum(weight) AS s2 FROM s2 GROUP BY page_id), "
-        "t0 AS (SELECT g.page_id, g.url, g.host, g.etld1, g.label, g.gate, CAST(coalesce(t1.s1, 0) AS BIGINT) AS s1, CAST(CASE WHEN g.gate <> '' OR coalesce(t1.s1, 0) >= 85 THEN 0 ELSE coalesce(t2.s2, 0) END AS BIGINT) AS s2 FROM g LEFT JOIN t1 ON g.page_id = t1.page_id LEFT JOIN t2 ON g.page_id = t2.page_id), "
-        f"t AS (SELECT *, CAST(least(100, s1 + s2) AS BIGINT) AS total, {verdict('least(100, s1 + s2)')} AS verdict, gate <> '' OR s1 >= 85 AS short FROM t0), "
-        "sig AS (SELECT page_id, 'stage1' AS stage, ord, id, weight FROM s1 UNION ALL SELECT s2.page_id, 'stage2' AS stage, 100 + ord AS ord, id, weight FROM s2 JOIN t ON s2.page_id = t.page_id WHERE NOT t.short)"
+        f"{urls(d)}, g AS (SELECT *, {gate(d)} AS gate FROM u), "
+        f"g1 AS (SELECT *, {d.signals([*gated, *((k, w, f"gate = '' AND {p}") for k, w, p in stage1)])} AS sig1 FROM g), "
+        f"{dom(d, 'g1', 'gate, sig1, ')}, f2 AS (SELECT *, {d.signals(dom_rules(d), 100)} AS sig2 FROM f), "
+        f"f3 AS (SELECT page_id, url, host, etld1, label, gate, sig1, sig2, CAST(least(100, {total('sig1')}) AS BIGINT) AS s1 FROM f2), "
+        f"t0 AS (SELECT *, gate <> '' OR s1 >= 85 AS short, CAST(CASE WHEN gate <> '' OR s1 >= 85 THEN 0 ELSE {total('sig2')} END AS BIGINT) AS s2 FROM f3), "
+        f"t AS (SELECT page_id, url, host, etld1, label, gate, s1, s2, short, CAST(least(100, s1 + s2) AS BIGINT) AS total, {verdict('least(100, s1 + s2)')} AS verdict FROM t0), "
+        f"sig0 AS ({d.unnest(f'CASE WHEN short THEN sig1 ELSE {d.concat("sig1", "sig2")} END', 't0', 'page_id', 'e')}), "
+        "sig AS (SELECT page_id, CASE WHEN e.ord < 100 THEN 'stage1' ELSE 'stage2' END AS stage, e.ord AS ord, e.id AS id, e.weight AS weight FROM sig0)"
     )
 
 

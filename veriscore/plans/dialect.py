@@ -68,6 +68,14 @@ class Spark:
         items = ", ".join(f"CASE WHEN {p} THEN named_struct('ord', {i}, 'id', '{k}', 'weight', CAST({w} AS BIGINT)) END" for i, (k, w, p) in enumerate(rows))
         return f"SELECT {keep}, s.ord, s.id, s.weight FROM (SELECT *, explode(filter(array({items}), x -> x IS NOT NULL)) AS s FROM {source})"
 
+    def signals(self, rows: list[tuple[str, str, str]], first: int = 0) -> str:
+        """Array of (ord, id, weight) structs of the (id, weight, predicate) rows that hold: one pass over a row, no explode."""
+        items = ", ".join(f"CASE WHEN {p} THEN named_struct('ord', {first + i}, 'id', '{k}', 'weight', CAST({w} AS BIGINT)) END" for i, (k, w, p) in enumerate(rows))
+        return f"filter(array({items}), x -> x IS NOT NULL)"
+
+    def concat(self, a: str, b: str) -> str:
+        return f"concat({a}, {b})"
+
     def unnest(self, a: str, source: str, keep: str, name: str) -> str:
         return f"SELECT {keep}, {name} FROM {source} LATERAL VIEW explode({a}) t AS {name}"
 
@@ -143,6 +151,13 @@ class Duck(Spark):
         items = ", ".join(f"CASE WHEN {p} THEN {{'ord': {i}, 'id': '{k}', 'weight': CAST({w} AS BIGINT)}} END" for i, (k, w, p) in enumerate(rows))
         return f"SELECT {keep}, s.ord, s.id, s.weight FROM (SELECT *, unnest(list_filter([{items}], lambda x: x IS NOT NULL)) AS s FROM {source})"
 
+    def signals(self, rows: list[tuple[str, str, str]], first: int = 0) -> str:
+        items = ", ".join(f"CASE WHEN {p} THEN {{'ord': {first + i}, 'id': '{k}', 'weight': CAST({w} AS BIGINT)}} END" for i, (k, w, p) in enumerate(rows))
+        return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+    def concat(self, a: str, b: str) -> str:
+        return f"list_concat({a}, {b})"
+
     def unnest(self, a: str, source: str, keep: str, name: str) -> str:
         return f"SELECT {keep}, unnest({a}) AS {name} FROM {source}"
 
