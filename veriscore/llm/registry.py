@@ -19,7 +19,7 @@ from .quality import quality_table
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .toxicity import learn_lexicon, toxicity_scores
-from .url_filter import url_verdicts
+from .url_filter import tree_url_verdicts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,7 +36,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages"))
+    return tree_url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

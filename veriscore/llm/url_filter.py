@@ -3,16 +3,17 @@
 Rules: `host/path` fits the host and its subdomains where the url's path starts with the rule's; the longest that fits wins.
 Where none fits, the method decides:
 
-1. Paths become up to three segments and a tail mark. Numbers and long hexadecimal words are wildcards at once.
-2. Per node, children with less than a twentieth of the node's urls become one wildcard child, so a node keeps at most twenty
-   literal children (with a child's own labelled share, this makes the template tree of the host).
-3. First-level branches of a host are ordered by labelled share; neighbours whose shares do not differ (two-proportion
-   test) are merged into one branch.
-4. A template's purity is its share of blocked among labelled urls, smoothed towards its host's share, which is smoothed towards all
-   urls' share. Templates at or over `reject` are blocked, others allowed.
+1. Paths become segments, all of them. Numbers and long hexadecimal words are wildcards at once.
+2. Level by level, a branch's children whose labelled shares differ from that of their siblings (two-proportion test) leave it, those
+   above and those below as a branch each, until no child differs; the children that stay are one wildcard, at any number of urls.
+3. A branch ends where its labels agree or its paths end; levels at which none of its paths part are passed over.
+4. A branch's purity is its share of blocked among labelled urls, smoothed towards its host's share, which is smoothed towards all
+   urls' share. Branches at or over `reject` are blocked, others allowed.
 
 Labels come with the rules (a url under a block rule is labelled bad, under an allow rule good) and from `bad_terms` in host
 names. Null urls and urls without :// have an empty host and path and are judged like any host. Repeated rows get a row each.
+
+`url_verdicts` is the earlier form, with three segments and children under a twentieth of their parent as one; no query uses it.
 """
 
 from __future__ import annotations
@@ -51,14 +52,19 @@ def by_rules(rules, host: Column, path: Column) -> Column:
     return out
 
 
-def segments(path: Column) -> list[Column]:
-    """Three path segments with plain variables as wildcards, and a mark of what follows."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+def parts_of(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
 
-    def shape(s: Column) -> Column:
-        ext = F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
-        return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.concat(F.lit("{n}"), ext)).when(s.rlike("^[0-9a-fA-F]{8,}$"), F.lit("{h}")).otherwise(s)
+def shape(s: Column) -> Column:
+    """A segment, a plain variable as wildcard."""
+    ext = F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
+    return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.concat(F.lit("{n}"), ext)).when(s.rlike("^[0-9a-fA-F]{8,}$"), F.lit("{h}")).otherwise(s)
 
+
+def segments(path: Column) -> list[Column]:
+    """Three path segments with plain variables as wildcards, and a mark of what follows."""
+    parts = parts_of(path)
     own = [F.coalesce(shape(F.get(parts, i)), F.lit("")) for i in range(DEPTH)]
     return [*own, F.when(F.size(parts) > DEPTH, "more").otherwise("")]
 
@@ -87,6 +93,56 @@ def template_verdicts(nodes: DataFrame, prior: float, reject: float, weight: flo
     return placed.join(judged, template).select("node", "bad")
 
 
+def tree_branches(nodes: DataFrame) -> DataFrame:
+    """(node, host, branch, labelled, blocked) of nodes (node, host, segs, labelled, blocked)."""
+    rows = nodes.select("node", "host", "segs", "labelled", "blocked", F.xxhash64("host").alias("branch"), F.lit(0).alias("depth"))
+    done = []
+    while True:
+        rows = staged(rows, "branches")
+        if rows.isEmpty():
+            break
+        rest = F.when(F.size("segs") > F.col("depth"), F.slice("segs", F.col("depth") + 1, F.greatest(F.size("segs") - F.col("depth"), F.lit(0))))
+        totals = rows.groupBy("branch").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"), F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+        ended = (F.col("bb") == 0) | (F.col("bb") == F.col("bl")) | F.col("lo").isNull()
+        same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
+        shared = F.when(F.exists(same, lambda e: ~e), F.array_position(same, False) - 1).otherwise(F.size("lo"))
+        totals = staged(totals.select("branch", "bl", "bb", ended.alias("ended"), F.greatest(shared, F.lit(1)).cast("int").alias("step")), "totals")
+        placed = rows.join(totals, "branch")
+        done.append(placed.where("ended").select("node", "host", "branch", "labelled", "blocked"))
+        going = placed.where("NOT ended").withColumn("child", F.coalesce(F.get("segs", F.col("depth")), F.lit("")))
+        children = going.groupBy("branch", "child").agg(F.sum("labelled").alias("cl"), F.sum("blocked").alias("cb")).join(totals, "branch")
+        pooled = F.col("bb") / F.col("bl")
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "cl") + F.try_divide(F.lit(1.0), F.col("bl") - F.col("cl"))))
+        gap = F.try_divide("cb", "cl") - F.try_divide(F.col("bb") - F.col("cb"), F.col("bl") - F.col("cl"))
+        sides = staged(children.select("branch", "child", F.when(gap > 1.96 * error, 1).when(gap < -1.96 * error, -1).otherwise(0).alias("side")), "sides")
+        parts = sides.where("side <> 0").select("branch", F.lit(True).alias("parts")).distinct()
+        moved = going.join(sides, ["branch", "child"]).join(parts, "branch", "left")
+        rows = moved.select(
+            "node", "host", "segs", "labelled", "blocked",
+            F.when(F.col("parts"), F.xxhash64("branch", "depth", "side")).otherwise(F.col("branch")).alias("branch"),
+            F.when(F.col("parts"), F.col("depth")).otherwise(F.col("depth") + F.col("step")).alias("depth"),
+        )
+    return reduce(DataFrame.unionByName, done) if done else nodes.select("node", "host", F.lit(0).cast("long").alias("branch"), "labelled", "blocked")
+
+
+def tree_url_verdicts(pages: DataFrame, rules=RULES, bad_terms=BAD_TERMS, reject: float = 0.8, weight: float = 5.0) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of pages (page_id, url), by the whole tree."""
+    host, path = split_url(F.col("url"))
+    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    ruled = base.withColumn("_r", by_rules(rules, F.col("host"), F.col("path")))
+    spam = reduce(lambda a, b: a | b, (F.col("host").contains(t) for t in bad_terms), F.lit(False))
+    shaped = ruled.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("given"), F.transform(parts_of(F.col("path")), shape).alias("segs"))
+    shaped = shaped.withColumn("node", F.xxhash64("host", F.concat_ws("/", "segs"))).withColumn("label", F.when(spam, 1).when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0))
+    nodes = staged(shaped.groupBy("node", "host", "segs").agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "nodes")
+    total = nodes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("p")).first()["p"] or 0.0
+    hosts = nodes.groupBy("host").agg(((F.sum("blocked") + weight * total) / (F.sum("labelled") + weight)).alias("host_share"))
+    branches = staged(tree_branches(nodes), "tree")
+    judged = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb")).join(hosts, "host")
+    bad = judged.select("branch", ((F.col("tb") + weight * F.col("host_share")) / (F.col("tl") + weight) >= reject).alias("bad"))
+    verdicts = branches.join(bad, "branch").select("node", "bad")
+    return shaped.join(verdicts, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")).alias("verdict"))
+
+
 def url_verdicts(pages: DataFrame, rules=RULES, bad_terms=BAD_TERMS, reject: float = 0.8, weight: float = 5.0) -> DataFrame:
     """(page_id, host, path, rule, verdict) of pages (page_id, url)."""
     host, path = split_url(F.col("url"))
