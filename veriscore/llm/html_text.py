@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Text blocks give points (one, one per comma, up to three for length) to their container and half as many to the next
-ancestor. A container's points are discounted by its link density; the best one is kept, or the article around it, with
-those siblings that score well too. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
-styles are left out by element and by class or id words.
+ancestor. A container's points are discounted by its link density. Around the best one the article is kept, with sibling articles that
+score well too; without an article, the main element (or role=main), else the lowest ancestor of all good containers: those with a
+fifth of the best one's points or blocks a third as long as its own. Of it all blocks are kept but those of link-heavy containers. Menus, headers,
+footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by element and by class or id words.
 
 Null, empty or text-free html gives the empty string; unclosed and cut-off tags are read as browsers read them; repeated
 rows and null ids give a row each.
@@ -13,13 +14,15 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements without content of the article.
 DROPPED = frozenset("script style noscript template nav header footer aside form button select option textarea input iframe svg canvas object embed video audio map head title menu dialog".split())
 #: Their content is text up to their end tag.
@@ -38,12 +41,13 @@ UNWANTED = re.compile(
 
 
 class Node:
-    __slots__ = ("dropped", "links", "parent", "points", "size", "tag")
+    __slots__ = ("blocks", "chars", "dropped", "links", "main", "own", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.points = 0.0
-        self.size = self.links = 0
+        self.main = tag == "main"
+        self.points = self.own = 0.0
+        self.size = self.links = self.blocks = self.chars = 0
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
@@ -93,6 +97,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 names = " ".join("".join(x) for x in NAMES.findall(m[3]))
                 unwanted = tag in DROPPED and not (tag == "header" and within(node, "article")) or names and tag not in ("html", "body", "article", "main") and UNWANTED.search(names)
                 node = Node(tag, node, node.dropped or bool(unwanted))
+                if ROLE_MAIN.search(m[3]):
+                    node.main = True
             else:
                 end_block()
         elif closing:
@@ -125,6 +131,10 @@ def main_text(page: str | None) -> str:
     for node, text, links in blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         container = node.parent if node.tag in PARAGRAPHS and node.parent else node
+        container.own += points
+        if node.tag not in HEADINGS:
+            container.blocks += 1
+            container.chars += len(text) - links
         for share in (1, 2):
             if container is None:
                 break
@@ -138,22 +148,46 @@ def main_text(page: str | None) -> str:
             up = up.parent
     value = lambda n: n.points * (1 - n.links / max(n.size, 1))
     best = max(scored.values(), key=value)  # the first of equals
-    best_value = value(best)
-    best = within(best, "article") or best
-    kept = {id(best)}
-    if best.tag != "article":
-        kept |= {id(n) for n in scored.values() if n.parent is best.parent and n.parent is not None and value(n) >= max(10, best_value / 5)}
-    else:
-        kept |= {id(n) for n in scored.values() if n.tag == "article" and n.parent is best.parent and value(n) >= max(10, best_value / 5)}
+    article = within(best, "article")
+    if article:
+        kept = {id(article)} | {id(n) for n in scored.values() if n.tag == "article" and n.parent is article.parent and value(n) >= value(best) / 5}
+        return " ".join(t for node, t, _ in blocks if any(id(n) in kept for n in upwards(node)))
+    return around(best, scored, blocks, value)
+
+
+def upwards(node: Node | None) -> Iterator[Node]:
+    """The element and those around it."""
+    while node is not None:
+        yield node
+        node = node.parent
 
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
-        return False
 
-    return " ".join(t for node, t, links in blocks if inside(node) or best.tag != "article" and best.parent is not None and node.parent is best.parent and (node.tag == "h1" or node.tag == "p" and len(t) > 80 and links * 4 < len(t)))
+def around(best: Node, scored: dict[int, Node], blocks: list[tuple[Node, str, int]], value: Callable[[Node], float]) -> str:
+    """Text of a page without an article around its best container."""
+    light = lambda n: n.links * 2 < n.size
+    in_main = [n for n in scored.values() if value(n) * 5 >= value(best) and any(x.main for x in upwards(n))]
+    if in_main:
+        best = max(in_main, key=value)
+        top = next(n for n in upwards(best) if n.main)
+    else:
+        path = list(upwards(best))
+        place = {id(n): i for i, n in enumerate(path)}
+        lengths = [len(t) - links for node, t, links in blocks if node.tag not in HEADINGS and any(n is best for n in upwards(node))]
+        usual = sum(lengths) / max(len(lengths), 1)
+        good = [n for n in scored.values() if light(n) and n.blocks and (n.own * (1 - n.links / max(n.size, 1)) * 5 >= value(best) or 3 * n.chars >= usual * n.blocks)]
+        top = path[max((next(place[id(x)] for x in upwards(n) if id(x) in place) for n in good), default=0)]
+    out, begun = [], False
+    for node, text, links in blocks:
+        container = node.parent if node.tag in PARAGRAPHS and node.parent else node
+        if any(n is top for n in upwards(node)):
+            begun = True
+            keep = light(container) or any(n is best for n in upwards(node))
+        else:
+            beside = top.parent is not None and node.parent is top.parent
+            keep = beside and (node.tag == "h1" or node.tag in HEADINGS and not begun or node.tag == "p" and len(text) > 80 and links * 4 < len(text))
+        if keep:
+            out.append(text)
+    return " ".join(out)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
