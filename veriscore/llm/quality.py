@@ -3,7 +3,8 @@
 Every document gets its word counts and base rules. Then, per host (the `source` column) and soft rule, failures are added up
 and the failure rate is shrunk towards all hosts' rates by a beta prior fitted to them (moments). A host where the shrunk rate of
 a rule is half or more writes that way (code, tables): the rule is tolerated there; elsewhere documents that fail it go. A host
-whose shrunk rate of any failure reaches nine tenths is blocked whole.
+whose shrunk rate of any failure reaches nine tenths is blocked whole. `keep_good`, the pipeline's stage, tolerates no rule: a document
+that fails one goes on any host, however many there fail it. The table tolerates as its SQL does.
 
 Null text has no words and fails the base rules; null source is a host of its own; repeated rows count each. Windows of
 three words are compared by a 64-bit hash. The prior is six numbers, read to the driver; nothing else is.
@@ -73,12 +74,12 @@ def host_verdicts(features: DataFrame) -> DataFrame:
     return hosts.select("_host", (shrunk("any") >= BLOCKED).alias("_blocked"), *((shrunk(r) >= TOLERATED).alias(f"_tolerate_{r}") for r in SOFT))
 
 
-def judged(features: DataFrame) -> DataFrame:
+def judged(features: DataFrame, tolerant: bool) -> DataFrame:
     """features with _kept. `features` is read twice: pass a written table."""
     joined = features.withColumn("_host", F.coalesce("source", F.lit(""))).join(host_verdicts(features), "_host", "left")
     soft = F.lit(False)
     for r in SOFT:
-        soft = soft | (F.col(f"_fail_{r}") & ~F.col(f"_tolerate_{r}"))
+        soft = soft | (F.col(f"_fail_{r}") & ~F.col(f"_tolerate_{r}") if tolerant else F.col(f"_fail_{r}"))
     return joined.withColumn("_kept", ~F.col("_base_failed") & ~F.col("_blocked") & ~soft)
 
 
@@ -86,12 +87,12 @@ def quality_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of documents (doc_id, text, source)."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     features = staged(quality_features(docs.select("doc_id", "text", "source")).drop("text"), "quality")
-    return judged(features).select("doc_id", *(F.col(f"_{c}").alias(c) for c in own), F.col("_kept").alias("kept"))
+    return judged(features, tolerant=True).select("doc_id", *(F.col(f"_{c}").alias(c) for c in own), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that are kept, all columns as they are."""
-    return judged(staged(quality_features(docs), "quality")).where("_kept").select(docs.columns)
+    return judged(staged(quality_features(docs), "quality"), tolerant=False).where("_kept").select(docs.columns)
 
 
 #: The same result as SQL.
