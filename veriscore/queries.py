@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.homograph import punycode_signals
 from .functions.model_output import parse_model_output
 from .operators import evaluation, scoring
+from .plans.corpus import SCHEME
 from .plans.dialect import Duck, Spark
 from .plans.dims import suffix_frame
 
@@ -48,10 +49,16 @@ def q42_llm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_model_output(pages, "reply").select("page_id", "parsed.*")
 
 
+#: Made-up hosts that exercise the label rules; their ids are below zero.
+PROBES = ("xn--pypal-4ve.com", "xn--mnchen-3ya.de", "xn--pple-43d.com", "аррӏе.com", "plain.example.com")
+
+
 def q46_punycode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["xn--pypal-4ve.com", "xn--mnchen-3ya.de", "xn--pple-43d.com", "аррӏе.com", "plain.example.com"]
-    host = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % len(names) + 1).cast("int"))
-    return punycode_signals(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host.alias("host")))
+    """Label signals of the host of every page's own url, and of PROBES as pages -1, -2, ..."""
+    rest = F.regexp_extract("url", SCHEME + "([^/?#]*)", 2)
+    host = F.lower(F.regexp_replace(F.regexp_replace(rest, "^.*@", ""), ":[0-9]*$", ""))
+    probes = spark.createDataFrame([(-i, h) for i, h in enumerate(PROBES, 1)], "page_id long, host string")
+    return punycode_signals(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long"), host.alias("host")).unionByName(probes))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
