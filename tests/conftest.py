@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -15,7 +16,9 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.warehouse.dir", "/tmp/warehouse-tests")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-"))
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='shared-')}")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

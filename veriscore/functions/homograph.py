@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame
 from ..plans import dims
 from ..plans.spec import weight
 
-# Cyrillic, Greek and Latin look-alikes and the letters they pass for.
-CONFUSABLES = str.maketrans(dict(zip("аеорсухіјѕԁӏԛԝαοερνικτıһ", "aeopcyxijsdlqwaoepviktih")))
+# Look-alikes and the letters they pass for.
+CONFUSABLES = str.maketrans(
+    dict(zip("аеорсхуАВЕКМНОРСТХαορνιı", "aeopcxyABEKMHOPCTXaopvii")) | {"ﬁ": "fi", "ﬂ": "fl"}
+)
+# Code point ranges of scripts.
+SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A)), "cyrillic": ((0x400, 0x4FF),), "greek": ((0x370, 0x3FF),), "han": ((0x4E00, 0x9FFF),), "kana": ((0x3040, 0x309F), (0x30A0, 0x30FF)), "hangul": ((0xAC00, 0xD7A3),)}
 LABELS = frozenset(b.split(".")[0] for b in dims.BRANDS)
 
 
+def script_of(c: str) -> str:
+    return next((name for name, ranges in SCRIPTS.items() if any(a <= ord(c) <= b for a, b in ranges)), "other")
+
+
 def decode_label(label: str) -> str:
     """Unicode form of an xn-- label, the label itself if it is malformed."""
     if not label.startswith("xn--"):
@@ -27,13 +35,14 @@ def decode_label(label: str) -> str:
 
 
 def mixed_script(label: str) -> bool:
-    names = {unicodedata.name(c, "").split(" ")[0] for c in label if c.isalpha()}
-    return not label.isascii() and len(names & {"LATIN", "CYRILLIC", "GREEK"}) > 1
+    """Latin with Cyrillic or Greek, or the latter two, in one label that is not plain ASCII."""
+    found = {script_of(c) for c in label}
+    return not label.isascii() and ("latin" in found and bool(found & {"cyrillic", "greek"}) or {"cyrillic", "greek"} <= found)
 
 
 def looks_like_brand(label: str) -> bool:
-    plain = unicodedata.normalize("NFKC", label).lower()
-    folded = plain.translate(CONFUSABLES)
+    plain = unicodedata.normalize("NFKC", label.lower())
+    folded = plain.translate(CONFUSABLES).lower()
     return folded in LABELS and plain not in LABELS
 
 

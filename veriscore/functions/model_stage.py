@@ -25,6 +25,43 @@ def fallback(*models: Model) -> Model:
     return run
 
 
+def retried(model: Model, again: Model) -> Model:
+    """A model that is asked once more, by `again` (page_id, …, previous reply as `reply`), where its reply is not valid."""
+
+    def run(pages: DataFrame) -> DataFrame:
+        first = model(pages).select("page_id", "reply")
+        parsed = parse_model_output(first, "reply").select("page_id", "reply", F.col("parsed").isNotNull().alias("_valid"))
+        bad = pages.join(parsed.where("NOT _valid").select("page_id", "reply"), "page_id")
+        return parsed.where("_valid").select("page_id", "reply").unionByName(again(bad).select("page_id", "reply"))
+
+    return run
+
+
+def routed(tier: str, local: Model, builtin: Model, retry: Model | None = None) -> Model:
+    """Models by profile: pro asks the local one and falls back to the built-in one, lite and auto ask the built-in one alone."""
+    models = [local, builtin] if tier == "pro" else [builtin]
+    return fallback(*(retried(m, retry) if retry else m for m in models))
+
+
+def http_model(ask: Callable[[str], str | None], prompt: str = "prompt") -> Model:
+    """A model behind a function from prompt to reply (an HTTP client with its own time limit); a failed call has no reply."""
+
+    def run(pages: DataFrame) -> DataFrame:
+        def call(batches):
+            for batch in batches:
+                replies = []
+                for text in batch[prompt]:
+                    try:
+                        replies.append(ask(text))
+                    except Exception:  # noqa: BLE001 - no reply, whatever the reason
+                        replies.append(None)
+                yield batch[["page_id"]].assign(reply=replies)
+
+        return pages.select("page_id", prompt).mapInPandas(call, "page_id long, reply string")
+
+    return run
+
+
 def with_model(pages: DataFrame, model: Model, force: bool = False) -> DataFrame:
     """pages (page_id, total, …) with llm_score, llm_verdict, final and marker.
 

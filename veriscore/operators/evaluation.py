@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..plans import corpus as C
 from ..plans import dims
-from .scoring import LLM, cascade, llm
+from ..plans.blocklist import MASK, PRIME, SEED_A, SEED_B, planned_names, sizing
+from .scoring import cascade, llm
 
 CELLS = "count(CASE WHEN y = 1 AND p THEN 1 END) AS tp, count(CASE WHEN y = 0 AND p THEN 1 END) AS fp, count(CASE WHEN y = 1 AND NOT p THEN 1 END) AS fn, count(CASE WHEN y = 0 AND NOT p THEN 1 END) AS tn"
 
@@ -18,86 +19,236 @@ def rates(source: str, keep: str = "") -> str:
     return f"SELECT {keep}tp, fp, fn, tn, {ratio('tp', 'tp + fp')} AS precision_, {ratio('tp', 'tp + fn')} AS recall_, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {ratio('fp', 'fp + tn')} AS fpr, {ratio('tp + tn', 'tp + fp + fn + tn')} AS accuracy FROM ({source})"
 
 
-def scored(select: str, more=lambda d: ""):
-    return cascade(select, more)
-
-
 def variants(d):
+    """Rates rounded to even at three digits, precision also as null where undefined."""
     inner = f"SELECT {CELLS} FROM (SELECT label AS y, total >= 50 AS p FROM t)"
     p, r = "(CAST(tp AS DOUBLE) / nullif(tp + fp, 0))", "(CAST(tp AS DOUBLE) / nullif(tp + fn, 0))"
-    return f"WITH {C.cascade(d)} SELECT tp, fp, fn, tn, {d.even(p, 3)} AS precision_or_null, {d.even(f'coalesce({p}, 0.0)', 3)} AS precision_, {d.even(f'coalesce({r}, 0.0)', 3)} AS recall_, {d.even(f'coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0.0)', 3)} AS f1 FROM ({inner})"
+    return f" SELECT tp, fp, fn, tn, {d.even(p, 3)} AS precision_or_null, {d.even(f'coalesce({p}, 0.0)', 3)} AS precision_, {d.even(f'coalesce({r}, 0.0)', 3)} AS recall_, {d.even(f'coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0.0)', 3)} AS f1 FROM ({inner})"
+
+
+#: Thresholds of the two sweeps.
+FINE, COARSE = tuple(range(5, 100, 5)), (5, 15, 25, 50, 85)
 
 
-def sweep(d):
-    values = d.seq("5", "95")
-    return f"WITH {C.cascade(d)}, th AS (SELECT * FROM ({d.unnest(values, '(SELECT 1 AS one)', 'one', 'threshold')}) WHERE threshold % 5 = 0), cells AS (SELECT label, total, count(*) AS n FROM t GROUP BY label, total), e AS (SELECT CAST(threshold AS BIGINT) AS threshold, CAST(sum(CASE WHEN label = 1 AND total >= threshold THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN label = 0 AND total >= threshold THEN n ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN label = 1 AND total < threshold THEN n ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN label = 0 AND total < threshold THEN n ELSE 0 END) AS BIGINT) AS tn FROM cells CROSS JOIN th GROUP BY threshold) {rates('SELECT * FROM e', 'threshold, ')}"
+def sweep(thresholds):
+    """Rates at each threshold: scores are first counted per value and label, so what meets the thresholds is small at any input size."""
 
+    def select(d):
+        th = d.unnest(d.array(*map(str, thresholds)), "cells", "label, total, n", "threshold")
+        side = lambda name, y, op: f"CAST(sum(CASE WHEN label = {y} AND total {op} threshold THEN n ELSE 0 END) AS BIGINT) AS {name}"
+        cells = ", ".join(side(*a) for a in (("tp", 1, ">="), ("fp", 0, ">="), ("fn", 1, "<"), ("tn", 0, "<")))
+        return f", cells AS (SELECT label, total, count(*) AS n FROM t GROUP BY label, total), e AS (SELECT CAST(threshold AS BIGINT) AS threshold, {cells} FROM ({th}) GROUP BY threshold) {rates('SELECT * FROM e', 'threshold, ')}"
 
-#: Poisson(1) resampling weight of a row in a replicate, from an integer hash of both: each row meets each replicate alone, so no draw crosses rows.
-DRAW = "((page_id * 2654435761 + r * 40503 + (page_id * 7919 + r * 104729) % 65537 * 69069) % 1048576)"
-POISSON = f"CASE WHEN {DRAW} < 385750 THEN 0 WHEN {DRAW} < 771500 THEN 1 WHEN {DRAW} < 964375 THEN 2 WHEN {DRAW} < 1028666 THEN 3 ELSE 4 END"
+    return cascade(select)
 
 
-def bootstrap(d):
-    reps = d.unnest(d.seq("0", "199"), "t", "page_id, label, total", "r")
-    cells = ", ".join(f"CAST(sum(CASE WHEN label = {y} AND {c} THEN w ELSE 0 END) AS BIGINT) AS {n}" for n, y, c in (("tp", 1, "total >= 50"), ("fp", 0, "total >= 50"), ("fn", 1, "total < 50"), ("tn", 0, "total < 50")))
-    ranked = ", ".join(f"max(CASE WHEN k_{m} = {k} THEN {m} END) AS {m}_{n}" for m in ("precision_", "recall_", "f1", "fpr") for n, k in (("lo", 6), ("hi", 195)))
-    order = ", ".join(f"row_number() OVER (ORDER BY {m}) AS k_{m}" for m in ("precision_", "recall_", "f1", "fpr"))
-    return f"WITH {C.cascade(d)}, reps AS ({reps}), drawn AS (SELECT r, label, total, {POISSON} AS w FROM reps), sums AS (SELECT r, {cells} FROM drawn GROUP BY r), m AS ({rates('SELECT * FROM sums', 'r, ')}), o AS (SELECT {order}, precision_, recall_, f1, fpr FROM m) SELECT {ranked} FROM o"
+def bootstrap(replicates: int = 200, blocks: int = 1024):
+    """95 % intervals at threshold 50 from `replicates` resamples.
+
+    Pages fall into blocks by an integer hash of their id, and a resample draws blocks: each block counts Poisson(1) times, by an integer
+    hash of block and replicate. Pages meet no replicate, only the blocks' counts do. Bounds are values at the nearest rank.
+    """
+    block = f"(page_id * 2654435761 % 4294967296 + 4294967296) % {blocks}"
+    draw = "((block * 2654435761 + r * 40503 + (block * 7919 + r * 104729) % 65537 * 69069) % 1048576)"
+    weight = f"CASE WHEN {draw} < 385750 THEN 0 WHEN {draw} < 771500 THEN 1 WHEN {draw} < 964375 THEN 2 WHEN {draw} < 1028666 THEN 3 ELSE 4 END"
+    lo, hi = (round(q * (replicates - 1)) + 1 for q in (0.025, 0.975))
+
+    def select(d):
+        cells = ", ".join(f"count(CASE WHEN label = {y} AND {c} THEN 1 END) AS {n}" for n, y, c in (("tp", 1, "total >= 50"), ("fp", 0, "total >= 50"), ("fn", 1, "total < 50"), ("tn", 0, "total < 50")))
+        reps = d.unnest(d.seq("0", str(replicates - 1)), "blocks", "block, tp, fp, fn, tn", "r")
+        sums = ", ".join(f"CAST(sum({n} * w) AS BIGINT) AS {n}" for n in ("tp", "fp", "fn", "tn"))
+        order = ", ".join(f"row_number() OVER (ORDER BY {m}) AS k_{m}" for m in ("precision_", "recall_", "f1", "fpr"))
+        ranked = ", ".join(f"max(CASE WHEN k_{m} = {k} THEN {m} END) AS {m}_{n}" for m in ("precision_", "recall_", "f1", "fpr") for n, k in (("lo", lo), ("hi", hi)))
+        return f", blocks AS (SELECT {block} AS block, {cells} FROM t GROUP BY {block}), drawn AS (SELECT r, tp, fp, fn, tn, {weight} AS w FROM ({reps})), sums AS (SELECT r, {sums} FROM drawn GROUP BY r), m AS ({rates('SELECT * FROM sums', 'r, ')}), o AS (SELECT {order}, precision_, recall_, f1, fpr FROM m) SELECT {ranked} FROM o"
+
+    return cascade(select)
 
 
 def per_signal(distinct: bool):
-    rows = "SELECT DISTINCT page_id, id FROM sig" if distinct else "SELECT page_id, id FROM sig WHERE weight > 0"
-    return lambda d: f"WITH {C.cascade(d)}, k AS ({rows}) SELECT id, count(*) AS fires, count(CASE WHEN label = 1 THEN 1 END) AS on_bad, count(CASE WHEN label = 0 THEN 1 END) AS on_good, {d.even('CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) / count(*)', 3)} AS precision_ FROM k JOIN t ON k.page_id = t.page_id GROUP BY id"
+    """Pages per signal by label: every emission with weight, or distinct signals of a page with hit rates."""
+
+    def select(d):
+        ids = d.distinct(d.map("sig", "e", "e.id")) if distinct else d.map(d.filter("sig", "e", "e.weight > 0"), "e", "e.id")
+        counts = "count(*) AS fires, count(CASE WHEN label = 1 THEN 1 END) AS on_bad, count(CASE WHEN label = 0 THEN 1 END) AS on_good"
+        long = d.unnest(ids, "t", "label", "id")
+        share = d.even("CAST(on_bad AS DOUBLE) / fires", 3)
+        if not distinct:
+            return f" SELECT id, fires, on_bad, on_good, {share} AS precision_ FROM (SELECT id, {counts} FROM ({long}) GROUP BY id)"
+        size = "SELECT count(CASE WHEN label = 1 THEN 1 END) AS bad, count(CASE WHEN label = 0 THEN 1 END) AS good FROM t"
+        rate = lambda a, b: d.even(f"coalesce(CAST({a} AS DOUBLE) / nullif((SELECT {b} FROM sizes), 0), 0.0)", 3)
+        return f", sizes AS ({size}) SELECT id, fires, on_bad, on_good, {share} AS precision_, {rate('on_bad', 'bad')} AS rate_bad, {rate('on_good', 'good')} AS rate_good, CAST(row_number() OVER (ORDER BY {share} DESC, fires DESC, id) AS BIGINT) AS place FROM (SELECT id, {counts} FROM ({long}) GROUP BY id)"
+
+    return cascade(select)
+
+
+VERDICTS = ("safe", "caution", "suspicious", "dangerous", "unknown")
 
 
 def histogram(d):
-    dim = " UNION ALL ".join(f"SELECT '{v}' AS verdict" for v in ("safe", "caution", "suspicious", "dangerous", "unknown"))
-    return f"WITH {C.cascade(d)}, v AS ({dim}) SELECT v.verdict, count(t.page_id) AS n, count(CASE WHEN t.label = 1 THEN 1 END) AS bad FROM v LEFT JOIN t ON v.verdict = t.verdict GROUP BY v.verdict"
+    """Pages and bad pages of each of the five verdicts, those with none included: counted in one row, which then becomes five."""
+    counts = ", ".join(f"count(CASE WHEN verdict = '{v}' THEN 1 END) AS n{i}, count(CASE WHEN verdict = '{v}' AND label = 1 THEN 1 END) AS b{i}" for i, v in enumerate(VERDICTS))
+    rows = d.array(*(d.struct(v=f"'{v}'", n=f"n{i}", b=f"b{i}") for i, v in enumerate(VERDICTS)))
+    return f", tallies AS (SELECT {counts} FROM t) SELECT e.v AS verdict, e.n AS n, e.b AS bad FROM ({d.unnest(rows, 'tallies', 'n0', 'e')})"
+
+
+def confusion(score: str, prefix: str) -> str:
+    return ", ".join(f"count(CASE WHEN label = {y} AND {score} {op} 50 THEN 1 END) AS {prefix}_{n}" for n, y, op in (("tp", 1, ">="), ("fp", 0, ">="), ("fn", 1, "<"), ("tn", 0, "<")))
+
+
+def side_by_side(force: bool):
+    """Rules against rules with model, per gating mode, and where harmless pages are misjudged."""
+    extra = "count(llm_score) AS llm_called, count(CASE WHEN label = 0 AND llm_score >= 50 THEN 1 END) AS llm_fp_alone, count(CASE WHEN label = 0 AND llm_score IS NOT NULL AND final >= 50 THEN 1 END) AS cascade_fp, count(CASE WHEN final > total THEN 1 END) AS escalated, count(CASE WHEN label = 0 AND llm_score IS NOT NULL THEN 1 END) AS benign_called"
+
+    def select(d):
+        inner = f"SELECT {confusion('total', 'rules')}, {confusion('final', 'final')}, {extra} FROM m"
+        more = ", ".join(f"round({ratio(f'final_{a}', f'final_{a} + final_{b}')} - {ratio(f'rules_{a}', f'rules_{a} + rules_{b}')}, 6) AS {n}_delta" for n, a, b in (("recall", "tp", "fn"), ("precision", "tp", "fp"), ("fpr", "fp", "tn")))
+        return f" SELECT *, {more} FROM ({inner})"
 
+    return cascade(select, lambda d: llm(d, force))
 
-def side_by_side(d):
-    cells = lambda s, c: f"count(CASE WHEN label = 1 AND {c} >= 50 THEN 1 END) AS {s}_tp, count(CASE WHEN label = 0 AND {c} >= 50 THEN 1 END) AS {s}_fp"
-    return f"WITH {C.cascade(d)}{llm(d)} SELECT {cells('rules', 'total')}, {cells('final', 'final')}, count(llm_score) AS llm_called, count(CASE WHEN label = 0 AND llm_score >= 50 THEN 1 END) AS llm_fp_alone, count(CASE WHEN label = 0 AND llm_score IS NOT NULL AND final >= 50 THEN 1 END) AS cascade_fp, count(CASE WHEN final > total THEN 1 END) AS escalated FROM m"
+
+#: Features of the reduced set that two runs are compared by.
+DRIFT = ("has_pw", "body_len", "n_actions", "hidden_iframes", "n_foreign", "title", "turnstile")
+
+
+def twins(d) -> str:
+    """st, rn: features per url of the pages with a title as they are, and of the pages with an advert or a form after a simulated rendering. Of repeated urls the last counts."""
+    last = lambda f: ", ".join(f"max_by({c}, page_id) AS {c}" for c in (*DRIFT, "has_card"))
+    rendered = f"replace(html, {d.lit('<div class="ad">')}, {d.lit(C.RENDERED)})"
+    return (
+        f"WITH {C.urls(d)}, us AS (SELECT * FROM u WHERE instr(html, '<title>') > 0), ur AS (SELECT * FROM u WHERE instr(html, '<form') > 0 OR instr(html, 'class=\"ad\"') > 0), "
+        f"{C.dom(d, 'us', p='s_').replace(C.step('s_f'), '')}, {C.dom(d, 'ur', html=rendered, p='r_').replace(C.step('r_f'), '')}, st AS (SELECT url, {last('s')} FROM s_f GROUP BY url), rn AS (SELECT url, {last('r')} FROM r_f GROUP BY url)"
+    )
 
 
 def drift(d):
-    return f"""WITH {C.urls(d)}, {C.dom(d)}, r AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NOT has_pw ELSE has_pw END AS has_pw, CASE WHEN page_id % 11 = 0 THEN body_len + 5 ELSE body_len END AS body_len, CASE WHEN page_id % 22 = 0 THEN n_actions + 1 ELSE n_actions END AS n_actions FROM f WHERE page_id % 13 <> 0),
-j AS (SELECT f.has_pw AS a1, r.has_pw AS b1, f.body_len AS a2, r.body_len AS b2, f.n_actions AS a3, r.n_actions AS b3 FROM f JOIN r ON f.page_id = r.page_id)
-SELECT count(*) AS joined, count(CASE WHEN a1 <> b1 THEN 1 END) AS password, count(CASE WHEN a2 <> b2 THEN 1 END) AS body_length, count(CASE WHEN a3 <> b3 THEN 1 END) AS forms, count(CASE WHEN NOT a1 AND b1 THEN 1 END) AS password_by_script, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.page_id = f.page_id)) AS only_static FROM j"""
+    counts = ", ".join(f"count(CASE WHEN st.{c} <> rn.{c} THEN 1 END) AS {c}" for c in DRIFT)
+    return f"{twins(d)}, j AS (SELECT count(*) AS joined, {counts}, count(CASE WHEN NOT st.has_pw AND rn.has_pw THEN 1 END) AS password_by_script, count(CASE WHEN st.n_actions = 0 AND rn.n_actions > 0 THEN 1 END) AS form_by_script, count(CASE WHEN rn.turnstile AND NOT st.turnstile THEN 1 END) AS wall_only_rendered FROM st JOIN rn ON st.url = rn.url), left_only AS (SELECT count(*) AS only_static FROM st {d.anti} rn ON st.url = rn.url), right_only AS (SELECT count(*) AS only_rendered FROM rn {d.anti} st ON st.url = rn.url) SELECT * FROM j CROSS JOIN left_only CROSS JOIN right_only"
 
 
 def what_if(d):
-    allow = ", ".join(map(d.lit, dims.INSTITUTIONS + ["evil1.tk", "gov-tw.com", "paypa1.com"]))
-    after = f"CASE WHEN coalesce(etld1 IN ({allow}), false) THEN 0 ELSE final END"
-    cells = lambda s, c: f"count(CASE WHEN label = 1 AND {c} >= 50 THEN 1 END) AS {s}_tp, count(CASE WHEN label = 0 AND {c} >= 50 THEN 1 END) AS {s}_fp"
-    return f"WITH {C.cascade(d)}{llm(d)} SELECT {cells('before', 'final')}, {cells('after', after)}, count(CASE WHEN etld1 IN ({allow}) THEN 1 END) AS short_circuited FROM m"
+    """The scores if sites were allowed afterwards."""
+    allow = C.listed(d, "etld1", [*dims.INSTITUTIONS, "evil-1.tk", "gov-tw.com", "paypa1.com"])
+    return f", w AS (SELECT label, final, coalesce({allow}, false) AS allowed, CASE WHEN coalesce({allow}, false) THEN 0 ELSE final END AS after FROM m) SELECT {confusion('final', 'before')}, {confusion('after', 'after')}, count(CASE WHEN allowed THEN 1 END) AS short_circuited FROM w"
+
+
+def pairs(d):
+    """Control and adversarial page of a url: whether the second fooled the rules, by either reading of a downgrade."""
+    best = lambda part, c: f"max(CASE WHEN part = '{part}' THEN {c} END)"
+    rank = "CASE {} WHEN 'safe' THEN 0 WHEN 'caution' THEN 1 WHEN 'suspicious' THEN 2 ELSE 3 END"
+    inner = f"SELECT url, {best('control', 'total')} AS control_score, {best('adversarial', 'total')} AS adversarial_score, {best('control', rank.format('verdict'))} AS c, {best('adversarial', rank.format('verdict'))} AS a FROM t GROUP BY url"
+    return f" SELECT url, control_score, adversarial_score, adversarial_score < 50 AND control_score - adversarial_score >= 30 AS fooled, adversarial_score < control_score AS score_dropped, a < c AS verdict_dropped, greatest(control_score, adversarial_score) = control_score AS max_held FROM ({inner}) WHERE control_score IS NOT NULL"
+
+
+#: A service's hits on urls; a stand-in for an external blocklist lookup: url part -> threat.
+EXTERNAL = {"evil": "SOCIAL_ENGINEERING", ".tk/": "MALWARE", "acct-": "SOCIAL_ENGINEERING"}
+
+
+def external(d) -> str:
+    """ex(url, threats): matches of the external service, several rows a url in its reply, collected per url."""
+    rows = " UNION ALL ".join(f"SELECT url, '{threat}' AS threat FROM x WHERE instr(url, '{part}') > 0" for part, threat in EXTERNAL.items())
+    collected = "array_join(array_sort(collect_set(threat)), '|')" if d.name == "spark" else "string_agg(DISTINCT threat, '|' ORDER BY threat)"
+    return f"ex AS (SELECT url, {collected} AS threats FROM ({rows}) GROUP BY url)"
+
+
+def external_join(d):
+    return f"WITH {C.corpus(d)}, {external(d)} SELECT x.page_id AS page_id, x.url AS url, coalesce(ex.threats, '') AS threats FROM x LEFT JOIN ex ON x.url = ex.url"
+
+
+def external_rollup(d):
+    """Confusion of the external service per part of the corpus and for all of it."""
+    return f"WITH {C.corpus(d)}, {external(d)}, parts AS (SELECT x.part AS part, x.label AS y, ex.threats IS NOT NULL AS p FROM x LEFT JOIN ex ON x.url = ex.url) SELECT coalesce(part, 'combined') AS part, {CELLS} FROM parts GROUP BY GROUPING SETS ((part), ())"
+
+
+def tier_summary(d):
+    """Pages caught at 50 and at 85 and emissions per signal, in the evaluation dialect with all signals summed."""
+    long = d.unnest(d.map("sig", "e", "e.id"), "t", "page_id, total", "id")
+    return f"WITH {C.cascade(d, 'eval')}, n AS (SELECT 'pages' AS name, count(*) AS n FROM t UNION ALL SELECT 'caught_50' AS name, count(CASE WHEN total >= 50 THEN 1 END) AS n FROM t UNION ALL SELECT 'caught_85' AS name, count(CASE WHEN total >= 85 THEN 1 END) AS n FROM t UNION ALL SELECT id AS name, count(*) AS n FROM ({long}) GROUP BY id) SELECT name, n FROM n"
 
 
-def bits(d, host: str) -> str:
-    """FNV-1a with two seeds over a host's bytes; ten positions in 4,096 bits."""
-    mask = "4294967295"
-    fnv = lambda seed: d.fold(d.codes(host), f"CAST({seed} AS BIGINT)", "h", "b", f"({d.xor('h', 'b')} * 16777619) & {mask}")
-    return f"{fnv(2166136261)} AS h1, {fnv(3421674724)} AS h2"
+BITS, HASHES = sizing(planned_names(len(dims.BLOCKLIST)))
 
 
-def bloom(d, select: str):
-    feed = " UNION ALL ".join(f"SELECT {d.lit(h)} AS host" for h in dims.BLOCKLIST)
-    odd = "CASE WHEN h2 % 2 = 0 THEN h2 + 1 ELSE h2 END"
-    pos = lambda source, keep: f"SELECT {keep}, ((h1 + i * h2o) & 4294967295) % 4096 AS pos FROM ({d.unnest(d.seq('0', '9'), f'(SELECT *, {odd} AS h2o FROM (SELECT {keep}, {bits(d, 'host')} FROM {source}))', f'{keep}, h1, h2o', 'i')})"
-    return f"WITH {C.urls(d)}, feed AS ({feed}), hosts AS (SELECT DISTINCT host FROM u WHERE host <> ''), bp AS (SELECT DISTINCT pos FROM ({pos('feed', 'host')})), probe AS ({pos('hosts', 'host')}){select}"
+def placed(d, source: str, keep: str) -> str:
+    """Bit positions of the names of source (keep, host)."""
+    fnv = lambda seed: d.fold(d.codes("host"), f"CAST({seed} AS BIGINT)", "h", "b", f"({d.xor('h', 'b')} * {PRIME}) & {MASK}")
+    return f"SELECT {keep}, {d.map(d.seq('0', str(HASHES - 1)), 'i', f'((h1 + i * h2) & {MASK}) % {BITS}')} AS places FROM (SELECT {keep}, {fnv(SEED_A)} AS h1, {fnv(SEED_B)} | 1 AS h2 FROM {source})"
+
+
+def feed(d) -> str:
+    return "feed AS (" + " UNION ALL ".join(f"SELECT {d.lit(h)} AS host" for h in dims.BLOCKLIST) + ")"
+
+
+def bloom_bytes(d) -> str:
+    """Bytes of the filter that have a bit set."""
+    value = "CASE pos % 8 WHEN 0 THEN 128 WHEN 1 THEN 64 WHEN 2 THEN 32 WHEN 3 THEN 16 WHEN 4 THEN 8 WHEN 5 THEN 4 WHEN 6 THEN 2 ELSE 1 END"
+    return f"SELECT CAST({d.div('pos', '8')} AS BIGINT) AS byte_no, CAST(sum({value}) AS BIGINT) AS byte_value FROM (SELECT DISTINCT pos FROM ({d.unnest('places', f'({placed(d, "feed", "host")})', 'host', 'pos')})) GROUP BY {d.div('pos', '8')}"
 
 
 def bloom_build(d):
-    return bloom(d, f" SELECT CAST({d.div('pos', '8')} AS BIGINT) AS byte_no, CAST(sum(CASE pos % 8 WHEN 0 THEN 128 WHEN 1 THEN 64 WHEN 2 THEN 32 WHEN 3 THEN 16 WHEN 4 THEN 8 WHEN 5 THEN 4 WHEN 6 THEN 2 ELSE 1 END) AS BIGINT) AS byte_value FROM bp GROUP BY {d.div('pos', '8')}")
+    return f"WITH {feed(d)} {bloom_bytes(d)}"
+
+
+def bloom_base64(d):
+    """The stored form: all bytes, base64."""
+    all_ = d.unnest(d.seq("0", str(BITS // 8 - 1)), "(SELECT 1 AS one)", "one", "no")
+    octet = "lpad(hex(coalesce(byte_value, 0)), 2, '0')" if d.name == "spark" else "printf('%02X', CAST(coalesce(byte_value, 0) AS INTEGER))"
+    text = "array_join(transform(array_sort(collect_list(struct(no, o))), e -> e.o), '')" if d.name == "spark" else "string_agg(o, '' ORDER BY no)"
+    b64 = f"replace(base64(unhex({text})), '\\r\\n', '')" if d.name == "spark" else f"to_base64(from_hex({text}))"
+    return f"WITH {feed(d)}, b AS ({bloom_bytes(d)}), n AS ({all_}), o AS (SELECT n.no AS no, {octet} AS o FROM n LEFT JOIN b ON n.no = b.byte_no) SELECT {BITS} AS m_bits, {HASHES} AS k_hashes, {b64} AS bits_b64 FROM o"
 
 
 def bloom_probe(d):
-    return bloom(d, " SELECT probe.host, count(bp.pos) = count(*) AS hit, count(*) AS k FROM probe LEFT JOIN bp ON probe.pos = bp.pos GROUP BY probe.host")
+    """Every distinct host against the filter, its bits tested in the row."""
+    return f"WITH {C.urls(d)}, q AS (SELECT DISTINCT host, CAST(NULL AS {d.text}) AS etld1 FROM u WHERE host <> '') SELECT host, {C.bloom_hit(d)} AS hit FROM {d.bloomed('q')} q0"
 
 
-MIX = "(page_id * 2654435761 % 4294967296)"
-ISLANDS = "SELECT user_id, event_id, event_type, us, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 600000000 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)"
+def bloom_audit(d):
+    """Names of the feed that the filter misses (none may be), and made-up names that it hits."""
+    made = d.unnest(d.seq("1", "1000"), "(SELECT 1 AS one)", "one", "n")
+    q = f"SELECT host, CAST(NULL AS {d.text}) AS etld1, 1 AS own FROM feed UNION ALL SELECT concat('probe-', (n * 2654435761) % 4294967296, '.invalid') AS host, CAST(NULL AS {d.text}) AS etld1, 0 AS own FROM ({made})"
+    return f"WITH {feed(d)}, q AS ({q}), hit AS (SELECT own, {C.bloom_hit(d)} AS hit FROM {d.bloomed('q')} q0) SELECT count(CASE WHEN own = 1 THEN 1 END) AS names, count(CASE WHEN own = 1 AND NOT hit THEN 1 END) AS missed, count(CASE WHEN own = 0 THEN 1 END) AS probes, count(CASE WHEN own = 0 AND hit THEN 1 END) AS false_hits FROM hit"
+
+
+MIX = "((page_id * 2654435761 % 4294967296 + 4294967296) % 4294967296)"
+# Top-level names and brands with a bucket of their own.
+BUCKET_TLDS = "tk ml ga cf gq xyz top click zip mov country".split()
+BUCKET_BRANDS = "paypal microsoft google apple amazon".split()
+
+
+def buckets(d) -> str:
+    return f"CASE WHEN NOT valid THEN 'unparseable' WHEN is_ip THEN 'ip-host' WHEN {C.listed(d, "split_part(host, '.', -1)", BUCKET_TLDS)} THEN concat('susp-tld-', split_part(host, '.', -1)) WHEN {d.rx('host', '|'.join(BUCKET_BRANDS))} THEN 'brand-in-host' ELSE 'other' END"
+
+
+def stratified(wanted: int = 60):
+    """max(1, wanted / buckets) pages of each url bucket, in an order by an integer hash, and at most `wanted` in all."""
+
+    def text(d):
+        ranked = f"SELECT page_id, bucket, mix, row_number() OVER (PARTITION BY bucket ORDER BY mix, page_id) AS rn FROM (SELECT page_id, {MIX} AS mix, {buckets(d)} AS bucket FROM u)"
+        return f"WITH {C.urls(d)}, r AS ({ranked}), q AS (SELECT greatest(1, {d.div(str(wanted), 'count(DISTINCT bucket)')}) AS each_ FROM r) SELECT page_id, bucket FROM (SELECT page_id, bucket, row_number() OVER (ORDER BY mix, page_id) AS place FROM r CROSS JOIN q WHERE rn <= each_) WHERE place <= {wanted}"
+
+    return text
+
+
+def balanced(each: int = 20):
+    """The same number of pages of each label, in an order by an integer hash."""
+    return lambda d: (f"WITH {C.corpus(d)} SELECT page_id, label FROM (SELECT page_id, label, row_number() OVER (PARTITION BY label ORDER BY mix, page_id) AS rn FROM (SELECT page_id, label, {MIX} AS mix FROM x)) WHERE rn <= {each}")
+
+
+def misjudged(most: int = 100):
+    """The newest misjudged pages, at most `most`."""
+
+    def select(d):
+        wrong = C.kept(d, "t", "(label = 1) <> (total >= 50)", page_id="page_id", url="url", verdict="verdict", expected="CASE WHEN label = 1 THEN 'dangerous' ELSE 'safe' END", total="total")
+        return f" SELECT * FROM ({wrong}) ORDER BY page_id DESC LIMIT {most}"
+
+    return cascade(select)
+
+
+def normalised(d, raw: str) -> str:
+    """Host of a url or bare name: trimmed, outer dots, scheme and www. gone, lower case; null if it is no name."""
+    bare = d.rep(d.rep(f"lower({d.trim(f'trim({raw})', '.')})", r"^[a-z][a-z0-9+.-]*://([^/?#:]*).*$", r"\1" if d.name == "duckdb" else "$1"), r"^www\.", "")
+    return f"CASE WHEN instr({bare}, '.') > 0 AND NOT {d.rx(bare, r'[\s/@?]')} THEN {bare} END"
 
 
 def events(d) -> str:
@@ -105,33 +256,57 @@ def events(d) -> str:
     return f"ev AS (SELECT event_id, user_id, event_type, value, {us} AS us FROM events)"
 
 
+ISLANDS = "SELECT user_id, event_id, event_type, us, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 600000000 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)"
+
+
+def in_flight(seconds: int = 600):
+    """Calls that start while the user's last started call still runs are dropped: a fold over the user's events in order."""
+
+    def text(d):
+        state = d.fold("rows", d.struct(us=f"CAST({-seconds * 1000000} AS BIGINT)", e="CAST(0 AS BIGINT)", n="CAST(0 AS BIGINT)"), "s", "v", f"CASE WHEN v.us - s.us >= {seconds * 1000000} THEN {d.struct(us='v.us', e='v.e', n='s.n + 1')} ELSE s END")
+        rows = "array_sort(collect_list(named_struct('us', us, 'e', CAST(event_id AS BIGINT), 'n', CAST(0 AS BIGINT))))" if d.name == "spark" else "list_sort(list({'us': us, 'e': CAST(event_id AS BIGINT), 'n': CAST(0 AS BIGINT)}))"
+        day = "CAST(floor(us / 86400000000) AS BIGINT)"
+        return f"WITH {events(d)}, g AS (SELECT user_id, {day} AS day, {rows} AS rows FROM ev GROUP BY user_id, {day}), s AS (SELECT user_id, day, {d.size('rows')} AS calls, {state} AS st FROM g) SELECT user_id, day, CAST(calls AS BIGINT) AS calls, st.n AS started, st.e AS last_started FROM s"
+
+    return text
+
+
 QUERIES = {
-    "q25_confusion": scored(rates(f"SELECT {CELLS} FROM (SELECT label AS y, total >= 50 AS p FROM t)")),
+    "q25_confusion": cascade(" " + rates(f"SELECT {CELLS} FROM (SELECT label AS y, total >= 50 AS p FROM t)")),
     "q25_confusion_documents": lambda d: rates(f"SELECT {CELLS} FROM (SELECT toxic AS y, quality = 0 AS p FROM labels JOIN documents ON labels.doc_id = documents.doc_id)"),
-    "q26_confusion_variants": variants,
-    "q27_sweep": sweep,
-    "q28_bootstrap": bootstrap,
+    "q25_confusion_verdict": cascade(" " + rates(f"SELECT {CELLS} FROM (SELECT label AS y, verdict IN ('suspicious', 'dangerous') AS p FROM t)")),
+    "q26_confusion_variants": cascade(variants),
+    "q27_sweep": sweep(FINE),
+    "q27_sweep_coarse": sweep(COARSE),
+    "q28_bootstrap": bootstrap(),
     "q29_per_signal": per_signal(False),
     "q30_signal_precision": per_signal(True),
-    "q31_verdict_hist": histogram,
-    "q32_side_by_side": side_by_side,
+    "q31_verdict_hist": cascade(histogram),
+    "q32_side_by_side": side_by_side(False),
+    "q32_force_model": side_by_side(True),
     "q33_drift": drift,
-    "q34_left_join_proxy": lambda d: f"WITH {C.cascade(d)}, r AS (SELECT page_id, verdict FROM t WHERE page_id % 3 = 0) SELECT t.page_id, t.total, coalesce(r.verdict, '') AS rendered_verdict FROM t LEFT JOIN r ON t.page_id = r.page_id",
-    "q35_whatif_allowlist": what_if,
-    "q36_pairs": scored(f"SELECT c.page_id AS control, a.page_id AS adversarial, c.total AS control_score, a.adv AS adversarial_score, a.adv < 50 AND c.total - a.adv >= 30 AS fooled, a.adv < c.total AS downgraded FROM t c JOIN (SELECT page_id, CAST(greatest(0, total - ({LLM.replace('CASE WHEN total BETWEEN 15 AND 84 THEN ', '').replace(' END', '')}) % 60) AS BIGINT) AS adv FROM t) a ON c.page_id + 24 = a.page_id"),
-    "q37_stratified": lambda d: f"WITH {C.urls(d)} SELECT page_id, bucket FROM (SELECT page_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY mix, page_id) AS rn FROM (SELECT page_id, {MIX} AS mix, CASE WHEN NOT valid THEN 'unparseable' WHEN is_ip THEN 'ip-host' WHEN split_part(host, '.', -1) IN ('tk', 'zip', 'click', 'xyz', 'top', 'shop', 'info') THEN concat('susp-tld-', split_part(host, '.', -1)) WHEN {d.rx('host', 'paypal|microsoft|google|apple|amazon')} THEN 'brand-in-host' ELSE 'other' END AS bucket FROM u)) WHERE rn <= 5",
-    "q38_union_dedup": lambda d: f"WITH {C.urls(d)}, n AS (SELECT page_id AS ord, {d.rep('host', '^www\\.', '')} AS domain FROM u WHERE instr(host, '.') > 0 UNION ALL SELECT page_id + 1000000 AS ord, {d.rep('host', '^(m|blog|www)\\.', '')} AS domain FROM u WHERE instr(host, '.') > 0) SELECT domain, min(ord) AS first_seen, count(*) AS copies FROM n GROUP BY domain",
-    "q38_set_difference": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE page_id % 2 = 0 EXCEPT SELECT host FROM u WHERE page_id % 2 = 1",
-    "q38_set_intersect": lambda d: f"WITH {C.urls(d)} SELECT coalesce(etld1, '') AS site FROM u WHERE page_id % 2 = 0 INTERSECT SELECT coalesce(etld1, '') AS site FROM u WHERE page_id % 2 = 1",
+    "q34_left_join_proxy": lambda d: f"{twins(d)} SELECT st.url AS url, st.has_pw AS has_pw, coalesce(CAST(rn.n_actions AS BIGINT), -1) AS rendered_actions, rn.url IS NOT NULL AS rendered FROM st LEFT JOIN rn ON st.url = rn.url",
+    "q34_external_join": external_join,
+    "q35_whatif_allowlist": cascade(what_if, llm),
+    "q36_pairs": cascade(pairs),
+    "q37_stratified": stratified(),
+    "q38_union_dedup": lambda d: f"WITH {C.urls(d)}, n AS (SELECT page_id AS ord, {normalised(d, 'url')} AS domain FROM u UNION ALL SELECT page_id AS ord, {normalised(d, 'host')} AS domain FROM u) SELECT domain, min(ord) AS first_seen, count(*) AS copies FROM n WHERE domain IS NOT NULL GROUP BY domain",
+    "q38_set_difference": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE scheme = 'http' EXCEPT SELECT host FROM u WHERE scheme = 'https'",
+    "q38_set_intersect": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE scheme = 'http' INTERSECT SELECT host FROM u WHERE scheme = 'https'",
     "q39_bloom_build": bloom_build,
+    "q39_bloom_base64": bloom_base64,
     "q40_bloom_probe": bloom_probe,
+    "q40_bloom_audit": bloom_audit,
     "q43_debounce": lambda d: f"WITH {events(d)}, i AS ({ISLANDS}), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS burst FROM i) SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS events, max(us) AS run_at, max(event_id) AS last_event FROM s GROUP BY user_id, burst",
-    "q44_latest_verdict": lambda d: f"WITH {events(d)} SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rn FROM ev) WHERE rn = 1 AND event_type <> 'error'",
-    "q44_sequence_check": lambda d: f"WITH {events(d)}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seq FROM ev), m AS (SELECT user_id, max(seq) AS latest FROM q GROUP BY user_id) SELECT q.user_id, q.event_id, CAST(q.seq AS BIGINT) AS seq FROM q JOIN m ON q.user_id = m.user_id AND q.seq = m.latest",
+    "q43_in_flight": in_flight(),
+    "q44_latest_verdict": lambda d: f"WITH {events(d)}, l AS (SELECT user_id, max_by({d.struct(event_id='event_id', event_type='event_type')}, {d.struct(us='us', e='event_id')}) AS e FROM ev GROUP BY user_id) SELECT user_id, e.event_id AS event_id, e.event_type AS event_type FROM l WHERE e.event_type <> 'error'",
+    "q44_sequence_check": lambda d: f"WITH {events(d)} SELECT user_id, max_by(event_id, {d.struct(us='us', e='event_id')}) AS event_id, count(*) AS seq FROM ev GROUP BY user_id",
     "q45_lru": lambda d: f"WITH {events(d)}, k AS (SELECT user_id, value, max(us) AS used, max(event_id) AS e FROM ev GROUP BY user_id, value) SELECT user_id, e AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY used DESC, e DESC) AS rn FROM k) WHERE rn <= 32",
-    "q47_subset_rollup": lambda d: f"WITH {C.cascade(d)}, parts AS (SELECT CASE WHEN page_id % 3 = 0 THEN 'golden' WHEN page_id % 3 = 1 THEN 'local' ELSE 'feed' END AS subset, label AS y, total >= 50 AS p FROM t) SELECT coalesce(subset, 'combined') AS subset, {CELLS} FROM parts GROUP BY GROUPING SETS ((subset), ())",
-    "q48_misjudgment_top": scored("SELECT page_id, url, verdict, total FROM (SELECT *, row_number() OVER (ORDER BY page_id DESC) AS rn FROM (SELECT * FROM t WHERE (label = 1) <> (total >= 50) ORDER BY page_id DESC LIMIT 100)) WHERE rn <= 100"),
-    "q50_normalised_domains": lambda d: f"WITH {C.urls(d)} SELECT DISTINCT CASE WHEN instr({d.rep('lower(trim(host))', '^www\\.', '')}, '.') > 0 THEN {d.rep('lower(trim(host))', '^www\\.', '')} END AS domain FROM u WHERE host <> ''",
-    "q51_balanced_sample": scored(f"SELECT page_id, label FROM (SELECT page_id, label, row_number() OVER (PARTITION BY label ORDER BY {MIX}, page_id) AS rn FROM t) WHERE rn <= 20"),
-    "q52_submit_histogram": scored("SELECT verdict, gate, count(*) AS n FROM t GROUP BY verdict, gate"),
+    "q47_subset_rollup": cascade(f" SELECT coalesce(part, 'combined') AS part, {CELLS} FROM (SELECT part, label AS y, total >= 50 AS p FROM t) GROUP BY GROUPING SETS ((part), ())"),
+    "q47_external_rollup": external_rollup,
+    "q48_misjudgment_top": misjudged(),
+    "q50_normalised_domains": lambda d: f"WITH {C.corpus(d)} SELECT DISTINCT {normalised(d, 'url')} AS domain FROM x",
+    "q51_balanced_sample": balanced(),
+    "q52_submit_histogram": cascade(" SELECT verdict, gate, count(*) AS n FROM t GROUP BY verdict, gate"),
+    "q58_tier_summary": tier_summary,
 }

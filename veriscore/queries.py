@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .functions.homograph import punycode_signals
 from .functions.model_output import parse_model_output
 from .operators import evaluation, scoring
+from .plans import dims
+from .plans.blocklist import bloom_frame
 from .plans.corpus import SCHEME
 from .plans.dialect import Duck, Spark
 from .plans.dims import suffix_frame
@@ -18,33 +21,48 @@ TEXTS = scoring.QUERIES | evaluation.QUERIES
 TABLES = ("pages", "documents", "labels", "events")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where a small input has fewer splits than there are cores; inputs of many files are read as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _views(spark: SparkSession, sf_dir: str, text: str) -> None:
     for t in TABLES:
-        if f" {t}" in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    if " psl " in text:
-        s = suffix_frame(spark)
-        kinds = {c: F.bool_or(F.col("kind") == k).alias(c) for c, k in (("is_rule", "rule"), ("is_wild", "wild"), ("is_exc", "except"))}
-        F.broadcast(s.groupBy("suffix").agg(*kinds.values())).createOrReplaceTempView("psl")
+        if re.search(rf"\b(FROM|JOIN) {t}\b", text):
+            spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
+    if "FROM suffixes)" in text:
+        suffix_frame(spark).createOrReplaceTempView("suffixes")
+    if "FROM bloom_words)" in text:
+        bloom_frame(spark, dims.BLOCKLIST).createOrReplaceTempView("bloom_words")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = TEXTS[name](Spark())
         _views(spark, sf_dir, text)
-        return spark.sql(text)
+        head, *rest = re.split(r"/\*step (\w+)\*/", text)
+        for level, more in zip(rest[::2], rest[1::2]):
+            spark.sql(f"{head} SELECT * FROM {level}").createOrReplaceTempView(f"level_{level}")
+            head = f"WITH {level} AS (SELECT * FROM level_{level}){more}"
+        return spark.sql(head)
 
     run.__name__ = name
     return run
 
 
 def q42_llm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies in seven shapes (plain, fenced, truncated, with text around, wrong types, out of range, no JSON), parsed and repaired."""
-    good = F.concat(F.lit('{"risk_score": '), F.pmod(F.col("page_id") * 37, F.lit(101)).cast("string"), F.lit(', "verdict": "caution", "category": "login", "reasons": ["a", "b'), F.col("page_id").cast("string"), F.lit('"]}'))
-    shapes = {0: good, 1: F.concat(F.lit("```json\n"), good, F.lit("\n```")), 2: F.substring(good, 1, 60), 3: F.concat(F.lit("Sure: "), good, F.lit(" done")), 4: F.lit('{"risk_score": "high", "verdict": "caution"}'), 5: F.lit('{"risk_score": 300, "verdict": "caution", "category": ["x"]}')}
+    """Model replies in seven shapes (plain, fenced, truncated, with text around, wrong types, out of range, no JSON), parsed and repaired.
+
+    The replies are stand-ins made from each page's url and html length.
+    """
+    size = F.length("html")
+    good = F.concat(F.lit('{"risk_score": '), F.pmod(size * 37, F.lit(101)).cast("string"), F.lit(', "verdict": "caution", "category": "login", "reasons": ["a", '), F.to_json(F.struct(F.col("url").alias("u"))).substr(F.lit(6), F.length("url") + 20), F.lit(', "need_visual": true}'))
+    good = F.replace(good, F.lit('},'), F.lit('],'))
+    shapes = {0: good, 1: F.concat(F.lit("```json\n"), good, F.lit("\n```")), 2: F.substring(good, 1, 90), 3: F.concat(F.lit("Sure: "), good, F.lit(" done")), 4: F.lit('{"risk_score": "high", "verdict": "caution"}'), 5: F.lit('{"risk_score": 300, "verdict": "caution", "category": ["x"]}')}
     reply = F.lit("no answer")
     for k, c in shapes.items():
-        reply = F.when(F.col("page_id") % 7 == k, c).otherwise(reply)
+        reply = F.when(size % 7 == k, c).otherwise(reply)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", reply.alias("reply"))
     return parse_model_output(pages, "reply").select("page_id", "parsed.*")
 
@@ -66,4 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f(Duck()) for name, f in TEXTS.items()}
+    """Oracle text by query, each built on its own: one that can't be built is left out."""
+    out = {}
+    for name, f in TEXTS.items():
+        try:
+            out[name] = f(Duck())
+        except Exception as e:  # noqa: BLE001 - the others must not be lost with it
+            print(f"no oracle text for {name}: {e}")
+    return out

@@ -23,11 +23,32 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def feed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header in any known variant: trimmed cells, domain from the first filled column, first row of each domain."""
+    """CSV with a header in any known variant: cells and names trimmed, broken bytes replaced, domain from the first filled column.
+
+    Of each domain the first row in file order counts.
+    """
     df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     df = df.toDF(*(c.strip().lstrip("﻿") for c in df.columns))
+    df = df.select(*(F.trim(F.regexp_replace(F.col(f"`{c}`").cast("string"), "\ufeff", "")).alias(c) for c in df.columns))
     known = [c for c in ("網域", "網址", "Domain", "domain") if c in df.columns]
-    return df.withColumn("domain", domain_of(F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in known)))).where("domain IS NOT NULL").dropDuplicates(["domain"])
+    named = df.withColumn("domain", domain_of(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in known)))).where("domain IS NOT NULL")
+    ordered = named.withColumn("_at", F.monotonically_increasing_id())
+    columns = [c for c in named.columns if c != "domain"]
+    return ordered.groupBy("domain").agg(*(F.min_by(c, "_at").alias(c) for c in columns)).select(*named.columns)
+
+
+def lists_of(spark: SparkSession, folder: str, **defaults: list[str]) -> dict[str, list[str]]:
+    """Small lists (brands, allow-lists, providers) from <folder>/<name>.json, {"domains": [...]}; the default where a file is missing."""
+    from pyspark.errors import AnalysisException
+
+    out = {}
+    for name, default in defaults.items():
+        try:
+            rows = spark.read.option("multiLine", True).json(f"{folder}/{name}.json").select(F.explode("domains").alias("d")).limit(100_000).collect()
+            out[name] = [r.d.lower() for r in rows]
+        except AnalysisException:
+            out[name] = default
+    return out
 
 
 def domain_of(c: Column) -> Column:
@@ -53,11 +74,17 @@ def articles(spark: SparkSession, path: str, per_category: int) -> DataFrame:
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV of scored pages (url, label, total, verdict, sig): signals with weight as id+weight, joined by |."""
+    signals = F.array_join(F.transform(F.filter("sig", lambda e: e["weight"] > 0), lambda e: F.concat(e["id"], F.lit("+"), e["weight"].cast("string"))), "|")
+    df.select("url", "label", F.col("total").alias("score"), "verdict", signals.alias("signals")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_summary(df: DataFrame, path: str, **nested: DataFrame) -> None:
+    """One JSON object: the columns of the one-row df, and each nested frame as an array of objects (metrics: a few rows each)."""
+    out = df
+    for name, rows in nested.items():
+        out = out.crossJoin(rows.agg(F.collect_list(F.struct("*")).alias(name)))  # one row by one row
+    out.coalesce(1).write.mode("overwrite").json(path)
 
 
 def with_meta(rows: DataFrame, path: str, **meta: int) -> None:
@@ -68,7 +95,24 @@ def with_meta(rows: DataFrame, path: str, **meta: int) -> None:
     rows.write.mode("overwrite").json(f"{path}/kind=rows")
 
 
-def latest_wins(*batches: DataFrame, key: str, order: str) -> DataFrame:
-    """A small store: later rows replace earlier ones of the same key."""
+def latest_wins(*batches: DataFrame, key: str, order: str, most: int | None = None, deleted: str | None = None) -> DataFrame:
+    """A small store: later rows replace earlier ones of the same key (compared in lower case), rows whose `deleted` column is true remove it.
+
+    With `most`, the newest that many rows are kept.
+    """
     rows = reduce(DataFrame.unionByName, batches)
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
+    key_value = F.lower(key) if dict(rows.dtypes)[key] == "string" else F.col(key)
+    last = rows.groupBy(key_value.alias("_key")).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    if dict(rows.dtypes)[key] == "string":
+        last = last.withColumn(key, F.lower(key))
+    if deleted:
+        last = last.where(~F.coalesce(F.col(deleted), F.lit(False)))
+    return last.orderBy(F.desc(order)).limit(most) if most else last
+
+
+def swapped(current: DataFrame, fresh: DataFrame | None, fields: tuple[str, ...]) -> DataFrame:
+    """The refreshed one-row table if it came and every field is there and filled, else the current one."""
+    if fresh is None or any(f not in fresh.columns for f in fields):
+        return current
+    row = fresh.limit(2).collect()  # one row by contract
+    return fresh if len(row) == 1 and all(row[0][f] is not None for f in fields) else current

@@ -1,7 +1,10 @@
-"""Per-tab event semantics as Structured Streaming: debounce, latest state, stale-result check."""
+"""Per-tab event semantics as Structured Streaming: debounce, calls in flight, model queue, latest state, daily lists, stale results."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,59 @@ def block_before_load(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
 def unseen(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """First sight of each (tab, url) within the watermark: the result cache."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tab", "url"])
+
+
+def not_in_flight(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Calls (tab, ts, done, url) that start while no earlier call of the tab runs; those that overlap one are dropped.
+
+    `done` is when a call ends. State is one time per tab, dropped after `delay` without calls.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(frames).sort_values("ts")
+        busy = pd.Timestamp(state.get[0]) if state.exists else pd.Timestamp.min
+        kept = []
+        for row in rows.itertuples(index=False):
+            if row.ts >= busy:
+                kept.append(row)
+                busy = row.done
+        state.update((busy.to_pydatetime(),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + 600_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(kept, columns=rows.columns)
+
+    schema = "tab int, ts timestamp, done timestamp, url string"
+    return calls.select("tab", "ts", "done", "url").withWatermark("ts", delay).groupBy("tab").applyInPandasWithState(run, schema, "busy timestamp", "append", "EventTimeTimeout")
+
+
+def queue_order(requests: DataFrame, active: int | None) -> DataFrame:
+    """The model queue of one micro-batch (tab, seq, url): per tab only the newest request, the active tab first, then in order of arrival."""
+    newest = requests.groupBy("tab").agg(F.max_by(F.struct("seq", "url"), "seq").alias("r"), F.min("seq").alias("_first")).select("tab", "r.seq", "r.url", "_first")
+    return newest.orderBy(F.coalesce(F.col("tab") == F.lit(active), F.lit(False)).desc(), "_first").drop("_first")
+
+
+def current_results(results: DataFrame, requests: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Results (tab, seq, …) that still count: those of the tab's newest request, unless the tab was cancelled at or after it (tab, seq)."""
+    latest = requests.groupBy("tab").agg(F.max("seq").alias("_latest"))
+    gone = cancelled.groupBy("tab").agg(F.max("seq").alias("_gone"))
+    return results.join(latest, "tab").where("seq = _latest").join(gone, "tab", "left").where("_gone IS NULL OR _gone < seq").drop("_latest", "_gone")
+
+
+def refreshed(stream: DataFrame, load: Callable[[], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame], None], every: str = "200 milliseconds"):
+    """Writer of a stream judged against a small list that is read anew for every micro-batch; a failed read keeps the last list.
+
+    One batch is written at once every `every`, so single results are not written one by one.
+    """
+    held: list[DataFrame] = []
+
+    def batch(rows: DataFrame, _: int) -> None:
+        try:
+            held[:] = [load()]
+        except Exception:  # noqa: BLE001 - any failure of the refresh leaves the list of the batch before
+            if not held:
+                raise
+        sink(judge(rows, held[0]))
+
+    return stream.writeStream.foreachBatch(batch).trigger(processingTime=every)
