@@ -259,6 +259,26 @@ def test_jaccard_small_cases(spark, odd, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9_jaccard_join(spark, sf).collect()} == plain_components(rows, 4, 85)
 
 
+def test_an_id_with_two_texts_links_both(spark):
+    rng = random.Random(5)
+    a, b = ([f"{side}{rng.randrange(10**6)}" for _ in range(80)] for side in "ab")
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    rows = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "alone " * 9)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(rows).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert {(r.doc_id, r.text[:1]) for r in one_of_each(rows).collect()} == {(1, "a"), (1, "b"), (4, "a")}
+
+
+def test_hot_tokens_are_dealt_out(spark, monkeypatch):
+    from veriscore.llm import common, jaccard
+
+    monkeypatch.setattr(jaccard, "SHARED", 2)
+    monkeypatch.setattr(common, "HOT", 20)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage + [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 30))])) for i in range(150)] + [(500 + i, " ".join(passage)) for i in range(50)]
+    check_components(spark, rows, 4, 60, group_tokens=200, group_sets=4)
+
+
 def test_pipeline_against_plain_version(spark, sf):
     import corpus_pipeline
 

@@ -7,13 +7,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a temporary one is set."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local session without one, as in tests, gets a temporary one; a cluster must set it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -32,6 +35,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: A key with more than one in HOT of all rows is hot; there are fewer than HOT such keys.
+HOT = 200
+
+
+def joined_split(left: DataFrame, right: DataFrame, on: list[str], rows: Column, total: int) -> DataFrame:
+    """Inner join on keys of which a few may hold a large share of left: right's hot keys are broadcast (fewer than HOT rows, by
+    `rows`, the number of left's rows a key of right has), the rest is shuffled. right has one row per key; left is read twice."""
+    hot = right.where(rows * HOT > total)
+    cold = right.where(~(rows * HOT > total))
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,10 +2,10 @@
 
 Sets of word shingles are joined at a Jaccard threshold, exactly:
 
-1. Equal sets are collapsed: one representative (the smallest doc_id) stands for all copies.
+1. Equal sets are collapsed: one class, named by a 128-bit digest of its shingles, stands for all copies.
 2. Two similar sets share one of their first few shingles in any fixed order (`needed` of them must be common). The order is
-   by hash, with shingles that are frequent anywhere put last; frequency comes from counts over all documents in a
-   fixed number of hash buckets, so its size does not grow with the corpus. Any such order is right; this one is fast.
+   by hash, with frequent shingles put last; frequency comes from counts over all documents in a fixed number of hash
+   buckets, so its size does not grow with the corpus. Any such order is right; this one is fast.
 3. Similar sets form groups: those with the same least shingle and about the same size, cut into parts of bounded size. The token-group matrix holds,
    for each group, the union of its members' first shingles, as rows (token, group).
 4. The common tokens of two groups bound the overlap of any two of their sets; groups that can't qualify are not opened. Of
@@ -13,8 +13,11 @@ Sets of word shingles are joined at a Jaccard threshold, exactly:
    gives a spanning forest of its links.
 5. Components come from label propagation with pointer jumping over the links.
 
-Nothing is capped: groups are parts of bounded size, and all pairs of parts that share a token are opened. Empty sets link with
-nothing. Null text is empty, null ids keep a row (their own component is null), repeated rows are copies.
+Nothing is capped: groups are parts of bounded size, and all pairs of parts that share a token are opened. Tokens, classes and least
+shingles that hold many rows are dealt out by salt or joined by broadcast. Empty sets link with nothing. Null text is empty, null
+ids keep a row (their own component is null), repeated rows are copies, and an id with several texts takes part with each of them.
+Shingles are compared by 64-bit hashes: a collision counts two different shingles as one, which can move the similarity of a pair at the
+threshold; among 10^9 different shingles about one pair in 10^10 of them collides.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import joined_split, staged
 
-BUCKETS = 1 << 22
-_SHIFT = np.uint64(42)
+BUCKETS, CHUNK = 1 << 20, 1 << 16
+_SHIFT = np.uint64(44)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,70 +73,116 @@ def _per_batch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.A
             yield part.column(0), [shingles(t, k) for t in part.column(1).to_pylist()]
 
 
+def _versions(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray], pa.Array]]:
+    for batch in batches:
+        for a in range(0, len(batch), 512):
+            part = batch.slice(a, 512)
+            yield part.column(0), [shingles(t, k) for t in part.column(1).to_pylist()], part.column(2)
+
+
 def frequent_buckets(docs: DataFrame, k: int) -> np.ndarray:
-    """Hash buckets with far more shingles than usual in some partition, as a table of BUCKETS booleans."""
+    """Hash buckets with far more shingles than usual in all documents, as a table of BUCKETS booleans.
+
+    Every task counts its shingles per bucket (up to 255); the counts of all tasks are added up, chunk by chunk, and then compared with
+    three times the usual count.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total, held, size = np.zeros(BUCKETS, np.int32), 0, [], 0
+        counts, held, size = np.zeros(BUCKETS, np.int32), [], 0
         for _, sets in _per_batch(batches, k):
             held += sets
             size += sum(map(len, sets))
             if size > 1 << 20:
                 counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-                total, held, size = total + size, [], 0
+                held, size = [], 0
         if held:
             counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > 3 + 3 * (total + size) / BUCKETS))], names=["bucket"])
+        if counts.any():
+            parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
-    hot = docs.select("doc_id", "text").mapInArrow(count, "bucket long").distinct().collect()  # at most BUCKETS numbers
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = sums.setdefault(c, np.zeros(CHUNK, np.int64))
+                own += np.frombuffer(raw, np.uint8)
+        for c, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(c * CHUNK + np.flatnonzero(own > 3 + 3 * own.mean()))], names=["bucket"])
+
+    parts = BUCKETS // CHUNK
+    counted = docs.select("doc_id", "text").mapInArrow(count, "chunk int, counts binary").repartition(parts, "chunk")
     table = np.zeros(BUCKETS, bool)
-    table[[r.bucket for r in hot]] = True
+    table[counted.mapInArrow(add, "bucket long").toArrow().column(0).to_numpy()] = True  # at most BUCKETS numbers, in practice a third at most
     return table
 
 
 def signatures(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, digest, first, prefix): set size, 128-bit set digest, least shingle, and the first shingles in the common order."""
+    """(doc_id, version, n, digest, first, prefix, rare): hash of the text, set size, 128-bit set digest, least shingle, the first shingles in the common order, and how many of those are not frequent."""
     packed = np.packbits(hot).tobytes()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for ids, sets in _per_batch(batches, k):
-            digests, prefixes = [], []
+        for ids, sets, versions in _versions(batches, k):
+            digests, prefixes, rare = [], [], []
             for s in sets:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 last = hot[(s >> _SHIFT).astype(np.int64)]
                 first = np.concatenate([s[~last], s[last]]) if last.any() else s
                 prefixes.append(first[: len(s) - needed(len(s), percent) + 1 if len(s) else 0].view(np.int64))
+                rare.append(min(len(prefixes[-1]), len(s) - int(last.sum())))
             sizes = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([int(x.view(np.int64)[0]) if len(x) else None for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["doc_id", "n", "digest", "first", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, versions, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([int(x.view(np.int64)[0]) if len(x) else None for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(rare, pa.int32())], names=["doc_id", "version", "n", "digest", "first", "prefix", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, first long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(sign, "doc_id long, version long, n long, digest binary, first long, prefix array<long>, rare int")
 
 
 def group_of(sets: DataFrame, tokens: int, members: int) -> DataFrame:
-    """sets (set_id, n, first) with `grp`: least shingle, size to 2 percent, part number; about `tokens` shingles and `members` sets at most."""
+    """sets (digest, n, first) with `grp`: least shingle, size to 2 percent, part number; about `tokens` shingles and `members` sets at most.
+
+    `sets` is read several times: pass a written table. Few least shingles need parts; those of many sets are joined by broadcast.
+    """
     sets = sets.withColumn("band", F.floor(F.log("n") / math.log(1.02)))  # like sizes keep the bounds between groups sharp
     sets = sets.withColumn("first", F.xxhash64("first", "band"))
-    sizes = sets.groupBy("first").agg(F.greatest(F.ceil(F.sum("n") / tokens), F.ceil(F.count("*") / members)).alias("parts"))
-    split = sizes.where(F.col("parts") > 1)
-    return sets.join(split, "first", "left").withColumn("grp", F.xxhash64("first", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1)))))
+    sizes = staged(sets.groupBy("first").agg(F.count("*").alias("sets"), F.greatest(F.ceil(F.sum("n") / tokens), F.ceil(F.count("*") / members)).alias("parts")), "firsts")
+    total = sizes.agg(F.sum("sets")).first()[0] or 0
+    placed = joined_split(sets, sizes, ["first"], F.col("sets"), total)
+    return placed.withColumn("grp", F.xxhash64("first", F.pmod(F.xxhash64("digest"), "parts"))).drop("sets", "parts")
+
+
+#: A token shared by more groups than this is dealt out to several tasks.
+SHARED = 512
+
+
+def token_matrix(grouped: DataFrame) -> DataFrame:
+    """(token, grp, band, groups) of tokens that several groups share. grouped: (grp, band, prefix, rare).
+
+    A token outside the frequent buckets has few rows, so they are counted where they meet. Frequent ones are counted before the shuffle,
+    and those with a large share of the rows get their count by broadcast.
+    """
+    tokens = grouped.select(F.posexplode("prefix").alias("at", "token"), "grp", "band", "rare")
+    some = tokens.where("at < rare").select("token", "grp", "band").repartition("token").distinct()
+    some = some.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1")
+    many = staged(tokens.where("at >= rare").select("token", "grp", "band").distinct(), "frequent")
+    counts = many.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    return some.unionByName(joined_split(many, counts, ["token"], F.col("groups"), many.count()).select(*some.columns))
 
 
 def candidate_groups(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a <= b, of groups that may hold similar sets; a = b for groups of two sets and more. grouped: (grp, n, band, prefix).
+    """Pairs (a, b), a <= b, of groups that may hold similar sets; a = b for groups of two sets and more. grouped: (grp, n, band, prefix, rare).
 
-    The matrix has the rows (token, group); tokens of one group only are dropped before it meets itself. For sets x of one and y of
-    the other group, with c common tokens: the last prefix token of one, say x, is not after the other's, so x has at most c
-    + n(x) - |prefix(x)| shingles in common with y, and percent / (100 + percent) of both sizes are needed. Groups for which this
-    can't hold for any sizes they have, either way round, are no candidates.
+    The matrix has the rows (token, group); tokens of one group only are dropped before it meets itself, and a token of many groups
+    meets itself in several parts. For sets x of one and y of the other group, with c common tokens: the last prefix token of one,
+    say x, is not after the other's, so x has at most c + n(x) - |prefix(x)| shingles in common with y, and percent / (100 + percent)
+    of both sizes are needed. Groups for which this can't hold for any sizes they have, either way round, are no candidates.
     """
     ranges = grouped.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("sets"))
-    rows = grouped.select(F.explode("prefix").alias("token"), "grp", "band").repartition("token")
-    matrix = rows.distinct().withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1").select("token", "grp", "band")
+    matrix = staged(token_matrix(grouped), "matrix").withColumn("parts", F.ceil(F.col("groups") / SHARED).cast("int"))
     apart = math.ceil(math.log(100 / percent) / math.log(1.02)) + 1  # bands farther apart hold no similar sizes
-    left, right = matrix.alias("l"), matrix.alias("r")
-    common = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") < F.col("r.grp")) & (F.abs(F.col("l.band") - F.col("r.band")) <= apart)).groupBy(F.col("l.grp").alias("a"), F.col("r.grp").alias("b")).agg(F.count("*").alias("c"))
+    left = matrix.withColumn("part", F.pmod(F.xxhash64("grp"), "parts").cast("int")).alias("l")
+    right = matrix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
+    common = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.grp") < F.col("r.grp")) & (F.abs(F.col("l.band") - F.col("r.band")) <= apart)).groupBy(F.col("l.grp").alias("a"), F.col("r.grp").alias("b")).agg(F.count("*").alias("c"))
     sized = common.join(ranges.select(F.col("grp").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), "a").join(ranges.select(F.col("grp").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb")), "b")
     fits = (F.col("la") * percent <= F.col("hb") * 100) & (F.col("lb") * percent <= F.col("ha") * 100)
 
@@ -190,36 +239,37 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-BITS = 1 << 22
+#: Bits of the table of wanted documents per wanted set, and at most.
+BITS_EACH, MOST_BITS = 16, 1 << 26
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set_id, shingles binary) of the documents named in wanted (set_id), and of a few more.
+    """(digest, shingles binary) of the classes whose representative's doc_id is in wanted (doc_id), and of some more.
 
-    A bitmap of fixed size (BITS) tells most other documents apart in the scan, so that their texts are neither cut up nor shuffled.
+    A table of bits, sized by the number of wanted documents up to 8 MB, tells most other documents apart in the scan, so that their texts are
+    neither cut up nor shuffled. Where it lets others through, the join by digest drops them.
     """
-    bit = F.pmod(F.xxhash64("set_id"), F.lit(BITS))
-    words = wanted.select(bit.cast("int").alias("bit")).selectExpr("bit div 64 AS word", "shiftleft(1L, bit % 64) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    table = np.zeros(BITS // 64, np.int64)
-    for r in words:  # at most BITS / 64 numbers
-        table[r.word] = r.bits
+    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (BITS_EACH * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select(bit.alias("bit")).selectExpr("CAST(bit div 64 AS INT) AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()  # at most MOST_BITS / 64 numbers
     packed = table.tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(packed, np.uint64)
         for batch in batches:
-            place = batch.column(2).to_numpy().astype(np.int64)
+            place = batch.column(1).to_numpy().astype(np.int64)
             batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for a in range(0, len(batch), 512):
-                part = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["set_id", "shingles"])
+                sets = [s for t in batch.column(0).slice(a, 512).to_pylist() if len(s := shingles(t, k))]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
 
-    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("set_id"), "text")
-    return named.select("set_id", "text", bit.alias("bit")).mapInArrow(cut, "set_id long, shingles binary")
+    return docs.where("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(cut, "digest binary, shingles binary")
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, tokens: int = 1 << 20, sets: int = 4096) -> DataFrame:
-    """Links (a, b) between representatives, a spanning forest per opening. members: (set_id, grp, n); pairs and members are written tables.
+    """Links (a, b) between classes, a spanning forest per opening. members: (digest, doc_id, grp, n); pairs and members are written tables.
 
     Groups around the same smallest neighbour are opened together, so that families of copies are shipped once; such a bundle has at
     most `tokens` shingles and `sets` sets, else its groups stay alone. Pairs of groups in different bundles are opened pair by pair.
@@ -230,32 +280,35 @@ def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, p
     sizes = members.groupBy("grp").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).join(near, "grp")
     fitting = sizes.groupBy("label").agg(F.sum("tokens").alias("tokens"), F.sum("sets").alias("sets")).where((F.col("tokens") <= tokens) & (F.col("sets") <= sets)).select("label", F.lit(True).alias("fits"))
     homes = staged(sizes.join(fitting, "label", "left").select("grp", F.when(F.col("fits"), F.col("label")).otherwise(F.col("grp")).alias("home")), "homes")
-    chosen = members.join(homes, "grp").select("set_id", "grp", "home")
-    opened = staged(chosen.join(wanted_sets(docs, chosen, k).dropDuplicates(["set_id"]), "set_id"), "opened")
+    chosen = staged(members.join(homes, "grp").select("digest", "doc_id", "grp", "home"), "chosen")
+    opened = staged(chosen.drop("doc_id").join(wanted_sets(docs, chosen.select("doc_id"), k).dropDuplicates(["digest"]), "digest"), "opened")
 
-    def read(value: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+    def read(value: pa.Scalar) -> tuple[list[bytes], list[np.ndarray]]:
         rows = value.values
-        return rows.field("set_id").to_numpy(), [np.frombuffer(v, np.uint64) for v in rows.field("shingles").to_pylist()]
+        return rows.field("digest").to_pylist(), [np.frombuffer(v, np.uint64) for v in rows.field("shingles").to_pylist()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int]] = []
+            links: list[tuple[bytes, bytes]] = []
             for i in range(len(batch)):
-                ids, own = read(batch.column(1)[i])
-                right_ids, right = read(batch.column(2)[i]) if batch.num_columns == 3 else (ids, own)
+                names, own = read(batch.column(1)[i])
+                right, shift = own, 0
+                if batch.num_columns == 3:
+                    more, right = read(batch.column(2)[i])
+                    names, shift = names + more, len(own)
                 group = _Opened(right)
                 found = [group.similar(q, percent) for q in own]
-                links += _forest(np.repeat(ids, [len(f) for f in found]), right_ids[np.concatenate(found)])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+                links += [(names[x], names[y]) for x, y in _forest(np.repeat(np.arange(len(own)), [len(f) for f in found]), np.concatenate(found) + shift)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
-    entry = F.collect_list(F.struct("set_id", "shingles"))
-    within = opened.groupBy("home").agg(entry.alias("x")).where(F.size("x") > 1).mapInArrow(compare, "a long, b long")
+    entry = F.collect_list(F.struct("digest", "shingles"))
+    within = opened.groupBy("home").agg(entry.alias("x")).where(F.size("x") > 1).mapInArrow(compare, "a binary, b binary")
     side = {c: homes.select(F.col("grp").alias(c), F.col("home").alias(f"h{c}")) for c in "ab"}
     apart = staged(pairs.join(side["a"], "a").join(side["b"], "b").where("ha <> hb").select("a", "b"), "apart")
     needed_groups = apart.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
     groups = opened.join(needed_groups, "grp", "left_semi").groupBy("grp").agg(entry.alias("sets"))
     rows = apart.join(groups.select(F.col("grp").alias("a"), F.col("sets").alias("x")), "a").join(groups.select(F.col("grp").alias("b"), F.col("sets").alias("y")), "b")
-    across = rows.select(F.lit(0).alias("_"), "x", "y").mapInArrow(compare, "a long, b long")
+    across = rows.select(F.lit(0).alias("_"), "x", "y").mapInArrow(compare, "a binary, b binary")
     return within.unionByName(across).where("a <> b")
 
 
@@ -285,26 +338,42 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, group_tokens: int = 1 << 16, group_sets: int = 256) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document (doc_id, text), exactly."""
+def classed(docs: DataFrame, k: int, percent: int, group_tokens: int, group_sets: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc_id, version, n, digest) of every row, and (digest, copies, root, component) of every class: its component's least digest and smallest doc_id."""
     docs = docs.select("doc_id", "text")
     signed = staged(signatures(docs, k, percent, frequent_buckets(docs, k)), "signatures")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("set_id"), F.min("n").alias("n"), F.min("first").alias("first"))
-    sets = staged(group_of(classes, group_tokens, group_sets).select("digest", "set_id", "grp", "n", "band"), "sets")
-    prefixes = signed.where("n > 0").select(F.col("doc_id").alias("set_id"), "digest", "prefix").dropDuplicates(["set_id", "digest"])
-    pairs = staged(candidate_groups(sets.join(prefixes, ["set_id", "digest"]).select("grp", "n", "band", "prefix"), percent), "pairs")
-    links = staged(open_groups(pairs, sets.select("set_id", "grp", "n"), docs, k, percent), "edges")
+    filled = signed.where("n > 0 and doc_id is not null")
+    one = F.min_by(F.struct("first", "prefix", "rare"), "doc_id").alias("_s")  # the same for all rows of a class
+    classes = staged(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n").alias("n"), one).select("digest", "doc_id", "copies", "n", "_s.*"), "classes")
+    sets = staged(group_of(classes, group_tokens, group_sets), "sets")
+    pairs = staged(candidate_groups(sets.select("grp", "n", "band", "prefix", "rare"), percent), "pairs")
+    links = staged(open_groups(pairs, sets.select("digest", "doc_id", "grp", "n"), docs, k, percent), "edges")
     components = connected_components(links)
-    final = sets.select("digest", "set_id").join(components.withColumnRenamed("node", "set_id"), "set_id", "left").select("digest", F.coalesce("component", "set_id").alias("component"))
-    joined = signed.select("doc_id", "n", "digest").join(final, "digest", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = sets.select("digest", "doc_id", "copies").join(components.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    named = staged(named, "named")
+    least = staged(named.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")), "least")
+    total = least.agg(F.sum("members")).first()[0] or 0
+    final = joined_split(named, least, ["component"], F.col("members"), total).select("digest", "copies", F.col("component").alias("root"), F.col("least").alias("component"))
+    return signed.select("doc_id", "version", "n", "digest"), staged(final, "final")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, group_tokens: int = 1 << 16, group_sets: int = 256) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document (doc_id, text), exactly."""
+    rows, final = classed(docs, k, percent, group_tokens, group_sets)
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = joined_split(rows.where("n > 0 and doc_id is not null"), final, ["digest"], F.col("copies"), rows.count())
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Documents that have the smallest doc_id of their component, one row of each such id; rows without id stay. All columns kept."""
-    found = jaccard_components(docs, k, percent)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each component, that of its smallest doc_id, and all rows without words or without id; rows equal in id and text count once. All columns kept."""
+    rows, final = classed(docs, k, percent, 1 << 16, 256)
+    linked = joined_split(rows.where("n > 0 and doc_id is not null"), final, ["digest"], F.col("copies"), rows.count())
+    chosen = linked.where("doc_id = component").groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("version").alias("_version")).select("_id", "_version")
+    chosen = staged(chosen.unionByName(rows.where("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()), "chosen")
+    named = docs.where("doc_id is not null").withColumn("_v_e_r", F.xxhash64("text"))
+    kept = named.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_v_e_r") == F.col("_version")), "left_semi").dropDuplicates(["doc_id", "_v_e_r"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 #: The components as SQL (all pairs that share a shingle; for small tables).
