@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import joined_split, staged
 
-BUCKETS, CHUNK = 1 << 20, 1 << 16
-_SHIFT = np.uint64(44)
+BUCKETS, CHUNK = 1 << 24, 1 << 18
+_SHIFT = np.uint64(40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,37 +83,46 @@ def _versions(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Ar
 def frequent_buckets(docs: DataFrame, k: int) -> np.ndarray:
     """Hash buckets with far more shingles than usual in all documents, as a table of BUCKETS booleans.
 
-    Every task counts its shingles per bucket (up to 255); the counts of all tasks are added up, chunk by chunk, and then compared with
-    three times the usual count.
+    Every task counts its shingles per bucket (up to 255) and gives out what it met twice or more, which leaves out most chance meetings; these
+    counts of all tasks are added up, chunk by chunk, and a bucket counts as frequent above three times the usual sum.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(BUCKETS, np.int32), [], 0
+        counts, held, size = np.zeros(BUCKETS, np.uint8), [], 0
+
+        def flush() -> None:
+            found, n = np.unique(np.concatenate(held) >> _SHIFT, return_counts=True)
+            found = found.astype(np.int64)
+            counts[found] = np.minimum(counts[found] + n, 255)
+
         for _, sets in _per_batch(batches, k):
             held += sets
             size += sum(map(len, sets))
             if size > 1 << 20:
-                counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-                held, size = [], 0
+                flush()
+                held.clear()
+                size = 0
         if held:
-            counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-        if counts.any():
-            parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+            flush()
+        for c in range(BUCKETS // CHUNK):
+            own = counts[c * CHUNK : (c + 1) * CHUNK]
+            at = np.flatnonzero(own > 1)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=["chunk", "buckets", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sums.setdefault(c, np.zeros(CHUNK, np.int64))
-                own += np.frombuffer(raw, np.uint8)
+            for c, at, n in zip(*(x.to_pylist() for x in batch.columns)):
+                own = sums.setdefault(c, np.zeros(CHUNK, np.int32))
+                own[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint8)
         for c, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(c * CHUNK + np.flatnonzero(own > 3 + 3 * own.mean()))], names=["bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(own > 3 + 3 * own.mean()).tobytes()], pa.binary())], names=["chunk", "frequent"])
 
-    parts = BUCKETS // CHUNK
-    counted = docs.select("doc_id", "text").mapInArrow(count, "chunk int, counts binary").repartition(parts, "chunk")
+    counted = docs.select("doc_id", "text").mapInArrow(count, "chunk int, buckets binary, counts binary").repartition(BUCKETS // CHUNK, "chunk")
     table = np.zeros(BUCKETS, bool)
-    table[counted.mapInArrow(add, "bucket long").toArrow().column(0).to_numpy()] = True  # at most BUCKETS numbers, in practice a third at most
+    for r in counted.mapInArrow(add, "chunk int, frequent binary").collect():  # BUCKETS bits in all
+        table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(r.frequent, np.uint8)).astype(bool)
     return table
 
 
@@ -275,8 +284,9 @@ def open_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, p
     most `tokens` shingles and `sets` sets, else its groups stay alone. Pairs of groups in different bundles are opened pair by pair.
     """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    near = both.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy(F.col("a").alias("grp")).agg(F.min("label").alias("label"))
+    near = staged(both.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count("*").alias("rows")), "near")
+    beside = joined_split(both, near, ["b"], F.col("rows"), near.agg(F.sum("rows")).first()[0] or 0)
+    near = beside.groupBy(F.col("a").alias("grp")).agg(F.min("label").alias("label"))
     sizes = members.groupBy("grp").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).join(near, "grp")
     fitting = sizes.groupBy("label").agg(F.sum("tokens").alias("tokens"), F.sum("sets").alias("sets")).where((F.col("tokens") <= tokens) & (F.col("sets") <= sets)).select("label", F.lit(True).alias("fits"))
     homes = staged(sizes.join(fitting, "label", "left").select("grp", F.when(F.col("fits"), F.col("label")).otherwise(F.col("grp")).alias("home")), "homes")
