@@ -15,7 +15,7 @@ def test_tree_goes_to_the_end_of_paths(spark):
     asked = {"http://big.net/promo/other": "block", "http://big.net/a/b/c/bad/other": "block", "http://big.net/a/b/c/good/other": "allow", "http://big.net/rest/other": "allow"}
     asked["http://big.net/" + "p/" * 5000] = "allow"
     rows = spark.createDataFrame(list(enumerate([*urls, *asked])), "page_id long, url string")
-    got = {r.page_id: (r.rule, r.verdict) for r in tree_url_verdicts(rows, rules=rules, bad_terms=()).collect()}
+    got = {r.page_id: (r.rule, r.verdict) for r in tree_url_verdicts(rows, rules=rules).collect()}
     assert [got[len(urls) + i] for i in range(len(asked))] == [(None, v) for v in asked.values()]
     assert len(got) == len(rows.collect())
 

@@ -2,13 +2,14 @@
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from itertools import zip_longest
 
 from pyspark.sql import functions as F
 
 from veriscore.llm.html_text import extract_main_text, main_text
 from veriscore.llm.registry import op3_url_filter, op6_html_text
-from veriscore.llm.url_filter import BAD_TERMS, RULES, url_verdicts
+from veriscore.llm.url_filter import RULES, tree_url_verdicts
 
 
 def split(url):
@@ -19,69 +20,66 @@ def split(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
-def ruled(host, path):
+def ruled(host, path, rules=RULES):
     best = ""
-    for rule, _ in RULES:
+    for rule, _ in rules:
         name, _, prefix = rule.partition("/")
         if (host == name or host.endswith("." + name)) and path.startswith("/" + prefix) and len(rule) > len(best):
             best = rule
     return best or None
 
 
-def brute(urls, reject=0.8, weight=5.0):
-    """The method in plain Python, row by row."""
-    rows = []
+def branches(nodes):
+    """Branches of one host's nodes (segs, labelled, blocked), as lists of nodes: the method in plain Python."""
+    work, out = [(nodes, 0)], []
+    while work:
+        own, depth = work.pop()
+        n, bad = sum(x[1] for x in own), sum(x[2] for x in own)
+        rests = [x[0][depth:] for x in own if len(x[0]) > depth]
+        if bad in (0, n) or not rests:
+            out.append(own)
+            continue
+        lo, hi = min(rests), max(rests)
+        step = next((i for i, (x, y) in enumerate(zip_longest(lo, hi)) if x != y), len(lo))
+        kids = defaultdict(list)
+        for x in own:
+            kids[x[0][depth] if len(x[0]) > depth else ""].append(x)
+        sides = defaultdict(list)
+        for kid in kids.values():
+            cn, cb, side = sum(x[1] for x in kid), sum(x[2] for x in kid), 0
+            if 0 < cn < n:
+                p = bad / n
+                gap, error = cb / cn - (bad - cb) / (n - cn), (p * (1 - p) * (1 / cn + 1 / (n - cn))) ** 0.5
+                side = (gap > 1.96 * error) - (gap < -1.96 * error)
+            sides[side] += kid
+        if set(sides) == {0}:
+            work.append((own, depth + max(1, step)))
+        else:
+            work += [(part, depth) for part in sides.values()]
+    return out
+
+
+def brute(urls, labels=None, rules=RULES, reject=0.8, weight=5.0):
+    rows, nodes = [], defaultdict(lambda: [0, 0])
     for u in urls:
         host, path = split(u)
-        rule = ruled(host, path)
-        parts = [p for p in path.split("/") if p]
-        shape = [re.sub(r"^[0-9]+(?=(\.[A-Za-z]{1,5})?$)", "{n}", p) if re.fullmatch(r"[0-9]+(\.[A-Za-z]{1,5})?", p) else "{h}" if re.fullmatch("[0-9a-fA-F]{8,}", p) else p for p in parts]
-        s = [*(shape + ["", "", ""])[:3], "more" if len(parts) > 3 else ""]
-        given = dict(RULES).get(rule)
-        label = 1 if any(t in host for t in BAD_TERMS) else {"block": 1, "allow": 0}.get(given)
-        rows.append([host, path, rule, given, label, s])
-    known = [r[4] for r in rows if r[4] is not None]
-    prior = sum(known) / len(known) if known else 0.0
-    t = [[] for _ in rows]
-    for d in range(3):
-        children, parents = Counter(), Counter()
-        for i, r in enumerate(rows):
-            children[(r[0], *t[i], r[5][d])] += 1
-            parents[(r[0], *t[i])] += 1
-        names = [r[5][d] if children[(r[0], *t[i], r[5][d])] * 20 >= parents[(r[0], *t[i])] else "{*}" for i, r in enumerate(rows)]
-        for i, n in enumerate(names):
-            t[i].append(n)
-    host, branch = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for i, r in enumerate(rows):
-        for c in (host[r[0]], branch[(r[0], t[i][0])]):
-            c[0] += r[4] is not None
-            c[1] += r[4] or 0
-    merged = {}
-    for h in host:
-        order = sorted((k for k in branch if k[0] == h), key=lambda k: (branch[k][1] / branch[k][0] if branch[k][0] else -1.0, k[1]))
-        n, last = 0, None
-        for k in order:
-            share = branch[k][1] / branch[k][0] if branch[k][0] else -1.0
-            if last is not None:
-                s0 = branch[last][1] / branch[last][0] if branch[last][0] else -1.0
-                if share != s0:
-                    if s0 < 0:
-                        n += 1
-                    else:
-                        p = (branch[k][1] + branch[last][1]) / (branch[k][0] + branch[last][0])
-                        n += share - s0 > 1.96 * (p * (1 - p) * (1 / branch[k][0] + 1 / branch[last][0])) ** 0.5
-            merged[k], last = n, k
-    template = defaultdict(lambda: [0, 0])
-    key = lambda i: (rows[i][0], merged[(rows[i][0], t[i][0])], t[i][1], t[i][2], rows[i][5][3])
-    for i, r in enumerate(rows):
-        template[key(i)][0] += r[4] is not None
-        template[key(i)][1] += r[4] or 0
-    out = []
-    for i, r in enumerate(rows):
-        share = (host[r[0]][1] + weight * prior) / (host[r[0]][0] + weight)
-        bad = (template[key(i)][1] + weight * share) / (template[key(i)][0] + weight) >= reject
-        out.append((r[0], r[1], r[2], r[3] or ("block" if bad else "allow")))
-    return out
+        rule = ruled(host, path, rules)
+        segs = tuple(re.sub(r"^[0-9]+", "{n}", p) if re.fullmatch(r"[0-9]+(\.[A-Za-z]{1,5})?", p) else "{h}" if re.fullmatch("[0-9a-fA-F]{8,}", p) else p for p in path.split("/") if p)
+        given = dict(rules).get(rule)
+        label = (labels or {}).get(u, {"block": 1, "allow": 0}.get(given))
+        rows.append((host, path, rule, given, segs))
+        nodes[host, segs][0] += label is not None
+        nodes[host, segs][1] += label or 0
+    total, blocked = (sum(n[i] for n in nodes.values()) for i in (0, 1))
+    prior, hosts, bad = blocked / total if total else 0.0, defaultdict(list), {}
+    for (host, segs), (n, b) in nodes.items():
+        hosts[host].append((segs, n, b))
+    for host, own in hosts.items():
+        share = (sum(x[2] for x in own) + weight * prior) / (sum(x[1] for x in own) + weight)
+        for branch in branches(own):
+            purity = (sum(x[2] for x in branch) + weight * share) / (sum(x[1] for x in branch) + weight)
+            bad |= {(host, x[0]): purity >= reject for x in branch}
+    return [(h, p, r, g or ("block" if bad[h, s] else "allow")) for h, p, r, g, s in rows]
 
 
 ODD = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG", "http://EXAMPLE.org/es/x", "https://a.example.org/en/1x?q=/en/2", "http://x.com/fr/#/de/", "http://xcom/fr/", "http://com/de/", "http://a.net?x", "http://a.net/" + "p/" * 5000] * 2
@@ -91,10 +89,39 @@ def test_filter_matches_plain_version(spark, sf):
     urls = [r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     urls += [f"http://shop.net/p{i}/{i}" for i in range(60)] + [f"http://shop.net/item/{i}.html" for i in range(60)] + ODD
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(None).cast("int"))
-    got = {r.page_id: tuple(r[1:]) for r in url_verdicts(rows).collect()}
+    got = {r.page_id: tuple(r[1:]) for r in tree_url_verdicts(rows).collect()}
     assert [got[i] for i in range(len(urls))] == brute(urls)
     assert op3_url_filter(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert url_verdicts(rows.limit(0)).count() == 0
+    assert tree_url_verdicts(rows.limit(0)).count() == 0
+
+
+def test_labels_decide_inside_a_host(spark):
+    """On one host without rules: labelled branches are told apart, small ones alike are judged together, and unseen names share their verdict."""
+    name = lambda i: "w" + "".join("abcdefghij"[int(c)] for c in str(i))
+    labels = {f"http://mixed.net/forum/{name(i)}/x": 1 for i in range(40)} | {f"http://mixed.net/docs/{name(i)}": 0 for i in range(60)}
+    labels |= {f"http://mixed.net/{kind}/{name(i)}": 1 for kind in ("spam", "junk", "rubbish") for i in range(4)}
+    unseen = {"http://mixed.net/forum/never/x": "block", "http://mixed.net/forum/other/y/z": "block", "http://mixed.net/docs/never": "allow", "http://mixed.net/spam/never": "block", "http://mixed.net/junk/never": "block", "http://free.net/forum/never": "allow"}
+    urls = [*labels, *unseen, None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([*labels.items(), ("http://mixed.net/docs/" + name(1), 0), ("http://elsewhere.net/", 1)], "url string, bad int")
+    got = {r.page_id: tuple(r[1:]) for r in tree_url_verdicts(pages, labels=marks).collect()}
+    assert [got[len(labels) + i][3] for i in range(len(unseen))] == list(unseen.values())
+    assert [got[i] for i in range(len(urls))] == brute(urls, labels)
+    alone = {u: v for u, v in labels.items() if "/docs/" in u or "/junk/" in u}
+    few = [*alone, "http://mixed.net/junk/never"]
+    pages = spark.createDataFrame(list(enumerate(few)), "page_id long, url string")
+    got = {r.page_id: tuple(r[1:]) for r in tree_url_verdicts(pages, labels=marks.where("url LIKE '%/docs/%' OR url LIKE '%/junk/%'")).collect()}
+    assert [got[i] for i in range(len(few))] == brute(few, alone) and got[len(few) - 1][3] == "allow"  # four labels alone are too few
+
+
+def test_scoring_alone_finds_the_articles(spark, sf):
+    """Pages without the article element give the same text."""
+    from veriscore.llm.html_text import extract_main_text
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    assert bare.where("html LIKE '%<article%'").count() == 0
+    assert {r.page_id: r.text for r in extract_main_text(bare).collect()} == {r.page_id: r.text for r in extract_main_text(pages).collect()}
 
 
 def test_articles_come_out_whole(spark, sf):

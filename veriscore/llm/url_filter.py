@@ -6,30 +6,28 @@ Where none fits, the method decides:
 1. Paths become segments, all of them. Numbers and long hexadecimal words are wildcards at once.
 2. Level by level, a branch's children whose labelled shares differ from that of their siblings (two-proportion test) leave it, those
    above and those below as a branch each, until no child differs; the children that stay are one wildcard, at any number of urls.
+   Similar branches are one at every level.
 3. A branch ends where its labels agree or its paths end; levels at which none of its paths part are passed over.
 4. A branch's purity is its share of blocked among labelled urls, smoothed towards its host's share, which is smoothed towards all
-   urls' share. Branches at or over `reject` are blocked, others allowed.
+   urls' share. Branches at or over `reject` are blocked, others allowed: a host without labels has the share of all urls.
 
-Labels come with the rules (a url under a block rule is labelled bad, under an allow rule good) and from `bad_terms` in host
-names. Null urls and urls without :// have an empty host and path and are judged like any host. Repeated rows get a row each.
-
-`url_verdicts` is the earlier form, with three segments and children under a twentieth of their parent as one; no query uses it.
+Labels are those of a table `labels` (url, bad) where it has the url, else the rules' (a url under a block rule is bad, under an allow
+rule good). No words of hosts or paths are known to it. Null urls and urls without :// have an empty host and path and are judged like any
+host. Repeated rows get a row each; of a url with several labels the worst counts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import joined_split, staged
 
 #: (rule, verdict), fixed by the contract of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-BAD_TERMS = ("casino", "bets", "pills", "ads-track", "porn", "warez")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DEPTH = 3
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -62,53 +60,22 @@ def shape(s: Column) -> Column:
     return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.concat(F.lit("{n}"), ext)).when(s.rlike("^[0-9a-fA-F]{8,}$"), F.lit("{h}")).otherwise(s)
 
 
-def segments(path: Column) -> list[Column]:
-    """Three path segments with plain variables as wildcards, and a mark of what follows."""
-    parts = parts_of(path)
-    own = [F.coalesce(shape(F.get(parts, i)), F.lit("")) for i in range(DEPTH)]
-    return [*own, F.when(F.size(parts) > DEPTH, "more").otherwise("")]
-
-
-def template_verdicts(nodes: DataFrame, prior: float, reject: float, weight: float) -> DataFrame:
-    """(node, bad) of nodes (node, host, s0..s3, n, labelled, blocked)."""
-    tree = nodes
-    for d in range(DEPTH):
-        above = ["host", *(f"t{i}" for i in range(d))]
-        children = tree.groupBy(*above, f"s{d}").agg(F.sum("n").alias("cn"))
-        literal = children.join(children.groupBy(*above).agg(F.sum("cn").alias("pn")), above).where(F.col("cn") * 20 >= F.col("pn")).select(*above, f"s{d}", F.lit(True).alias("literal"))
-        tree = tree.join(literal, [*above, f"s{d}"], "left").withColumn(f"t{d}", F.when(F.col("literal"), F.col(f"s{d}")).otherwise("{*}")).drop("literal")
-        tree = staged(tree, "tree")  # a small table; every level reads it twice
-    hosts = tree.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb")).select("host", ((F.col("hb") + weight * prior) / (F.col("hl") + weight)).alias("host_share"))
-    branches = tree.groupBy("host", "t0").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb")).withColumn("share", F.coalesce(F.try_divide("bb", "bl"), F.lit(-1.0)))
-    order = Window.partitionBy("host").orderBy("share", "t0")  # at most twenty-one branches a host
-    before = {c: F.lag(c).over(order) for c in ("share", "bl", "bb")}
-    pooled = F.try_divide(F.col("bb") + before["bb"], F.col("bl") + before["bl"])
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "bl") + F.try_divide(F.lit(1.0), before["bl"])))
-    differs = before["share"].isNotNull() & (F.col("share") != before["share"]) & ((before["share"] < 0) | (F.col("share") - before["share"] > 1.96 * error))
-    merged = branches.withColumn("_new", F.when(differs, 1).otherwise(0)).withColumn("branch", F.sum("_new").over(order)).select("host", "t0", "branch")
-    placed = tree.join(merged, ["host", "t0"])
-    template = ["host", "branch", *(f"t{i}" for i in range(1, DEPTH)), f"s{DEPTH}"]
-    judged = placed.groupBy(*template).agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb")).join(hosts, "host")
-    judged = judged.select(*template, ((F.col("tb") + weight * F.col("host_share")) / (F.col("tl") + weight) >= reject).alias("bad"))
-    return placed.join(judged, template).select("node", "bad")
-
-
 def tree_branches(nodes: DataFrame) -> DataFrame:
-    """(node, host, branch, labelled, blocked) of nodes (node, host, segs, labelled, blocked)."""
-    rows = nodes.select("node", "host", "segs", "labelled", "blocked", F.xxhash64("host").alias("branch"), F.lit(0).alias("depth"))
+    """(node, host, segs, urls, branch, labelled, blocked) of nodes (node, host, segs, urls, labelled, blocked)."""
+    rows = nodes.select("node", "host", "segs", "urls", "labelled", "blocked", F.xxhash64("host").alias("branch"), F.lit(0).alias("depth"))
     done = []
     while True:
         rows = staged(rows, "branches")
         if rows.isEmpty():
             break
         rest = F.when(F.size("segs") > F.col("depth"), F.slice("segs", F.col("depth") + 1, F.greatest(F.size("segs") - F.col("depth"), F.lit(0))))
-        totals = rows.groupBy("branch").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"), F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+        totals = rows.groupBy("branch").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"), F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.count("*").alias("nodes"))
         ended = (F.col("bb") == 0) | (F.col("bb") == F.col("bl")) | F.col("lo").isNull()
         same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
         shared = F.when(F.exists(same, lambda e: ~e), F.array_position(same, False) - 1).otherwise(F.size("lo"))
-        totals = staged(totals.select("branch", "bl", "bb", ended.alias("ended"), F.greatest(shared, F.lit(1)).cast("int").alias("step")), "totals")
-        placed = rows.join(totals, "branch")
-        done.append(placed.where("ended").select("node", "host", "branch", "labelled", "blocked"))
+        totals = staged(totals.select("branch", "bl", "bb", "nodes", ended.alias("ended"), F.greatest(shared, F.lit(1)).cast("int").alias("step")), "totals")
+        placed = joined_split(rows, totals, ["branch"], F.col("nodes"), rows.count())
+        done.append(placed.where("ended").select("node", "host", "segs", "urls", "branch", "labelled", "blocked"))
         going = placed.where("NOT ended").withColumn("child", F.coalesce(F.get("segs", F.col("depth")), F.lit("")))
         children = going.groupBy("branch", "child").agg(F.sum("labelled").alias("cl"), F.sum("blocked").alias("cb")).join(totals, "branch")
         pooled = F.col("bb") / F.col("bl")
@@ -118,41 +85,33 @@ def tree_branches(nodes: DataFrame) -> DataFrame:
         parts = sides.where("side <> 0").select("branch", F.lit(True).alias("parts")).distinct()
         moved = going.join(sides, ["branch", "child"]).join(parts, "branch", "left")
         rows = moved.select(
-            "node", "host", "segs", "labelled", "blocked",
+            "node", "host", "segs", "urls", "labelled", "blocked",
             F.when(F.col("parts"), F.xxhash64("branch", "depth", "side")).otherwise(F.col("branch")).alias("branch"),
             F.when(F.col("parts"), F.col("depth")).otherwise(F.col("depth") + F.col("step")).alias("depth"),
         )
-    return reduce(DataFrame.unionByName, done) if done else nodes.select("node", "host", F.lit(0).cast("long").alias("branch"), "labelled", "blocked")
+    return reduce(DataFrame.unionByName, done) if done else nodes.select("node", "host", "segs", "urls", F.lit(0).cast("long").alias("branch"), "labelled", "blocked")
 
 
-def tree_url_verdicts(pages: DataFrame, rules=RULES, bad_terms=BAD_TERMS, reject: float = 0.8, weight: float = 5.0) -> DataFrame:
+def tree_url_verdicts(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, reject: float = 0.8, weight: float = 5.0) -> DataFrame:
     """(page_id, host, path, rule, verdict) of pages (page_id, url), by the whole tree."""
     host, path = split_url(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = base.withColumn("_r", by_rules(rules, F.col("host"), F.col("path")))
-    spam = reduce(lambda a, b: a | b, (F.col("host").contains(t) for t in bad_terms), F.lit(False))
-    shaped = ruled.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("given"), F.transform(parts_of(F.col("path")), shape).alias("segs"))
-    shaped = shaped.withColumn("node", F.xxhash64("host", F.concat_ws("/", "segs"))).withColumn("label", F.when(spam, 1).when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0))
-    nodes = staged(shaped.groupBy("node", "host", "segs").agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "nodes")
-    total = nodes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("p")).first()["p"] or 0.0
-    hosts = nodes.groupBy("host").agg(((F.sum("blocked") + weight * total) / (F.sum("labelled") + weight)).alias("host_share"))
-    branches = staged(tree_branches(nodes), "tree")
-    judged = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb")).join(hosts, "host")
-    bad = judged.select("branch", ((F.col("tb") + weight * F.col("host_share")) / (F.col("tl") + weight) >= reject).alias("bad"))
-    verdicts = branches.join(bad, "branch").select("node", "bad")
-    return shaped.join(verdicts, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")).alias("verdict"))
-
-
-def url_verdicts(pages: DataFrame, rules=RULES, bad_terms=BAD_TERMS, reject: float = 0.8, weight: float = 5.0) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of pages (page_id, url)."""
-    host, path = split_url(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = base.withColumn("_r", by_rules(rules, F.col("host"), F.col("path")))
-    spam = reduce(lambda a, b: a | b, (F.col("host").contains(t) for t in bad_terms), F.lit(False))
-    shaped = ruled.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("given"), *(c.alias(f"s{i}") for i, c in enumerate(segments(F.col("path")))))
-    shaped = shaped.withColumn("node", F.xxhash64("host", *(f"s{i}" for i in range(DEPTH + 1)))).withColumn("label", F.when(spam, 1).when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0))
-    keys = ["node", "host", *(f"s{i}" for i in range(DEPTH + 1))]
-    nodes = staged(shaped.groupBy(*keys).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "nodes")
-    total = nodes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("p")).first()["p"] or 0.0
-    verdicts = template_verdicts(nodes, total, reject, weight)
-    return shaped.join(verdicts, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")).alias("verdict"))
+    given = by_rules(rules, F.col("host"), F.col("path"))
+    base = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_r", given)
+    shaped = base.select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("given"), F.transform(parts_of(F.col("path")), shape).alias("segs"))
+    label = F.when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0)
+    if labels is not None:
+        own = labels.groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("own"))
+        shaped, label = shaped.join(own, "url", "left"), F.coalesce("own", label)
+    shaped = shaped.withColumn("label", label).withColumn("node", F.xxhash64("host", F.concat_ws("/", "segs"))).drop("url")
+    if labels is not None:
+        shaped = staged(shaped, "shaped")  # read three times, and here behind a join
+    nodes = staged(shaped.groupBy("node", "host", "segs").agg(F.count("*").alias("urls"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "nodes")
+    sums = nodes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("p"), F.sum("urls").alias("n")).first()
+    prior, total = sums["p"] or 0.0, sums["n"] or 0
+    hosts = nodes.groupBy("host").agg(((F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)).alias("host_share"))
+    branches = staged(tree_branches(nodes.select("node", "host", "segs", "urls", "labelled", "blocked")), "tree")
+    judged = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb"), F.count("*").alias("nodes")).join(hosts, "host")
+    bad = staged(judged.select("host", "branch", "nodes", ((F.col("tb") + weight * F.col("host_share")) / (F.col("tl") + weight) >= reject).alias("bad")), "judged")
+    verdicts = joined_split(branches, bad, ["host", "branch"], F.col("nodes"), branches.count()).select("node", "host", "segs", "urls", "bad")
+    out = joined_split(shaped, staged(verdicts, "verdicts"), ["node", "host", "segs"], F.col("urls"), total)  # host and segments too: two nodes may have one hash
+    return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
