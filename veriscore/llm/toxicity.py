@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # Letters of other scripts that look like Latin ones, and signs written in place of letters.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁԛԝαβεικνορτυχ", "abekmhopctyxijsdqwabeiknoptux"))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -38,6 +40,8 @@ _WIDE = re.compile("[！-～]")
 _MIXED = re.compile(r"(?<=[^\W\d_])[0-9@$!]{1,3}(?=[^\W\d_])|(?<![^\W_])[0-9@$](?=[^\W\d_])|(?<=[^\W\d_]{2})[0-9@$](?![^\W_])")
 _GAP = re.compile(r"[\W_]+")
 PREFIXES = range(4, 8)
+#: Tasks over the training rows, which are few.
+TRAINING_PARTS = 16
 
 
 def fold(text: str) -> str:
@@ -116,11 +120,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """(text, toxic) of about most_rows labelled rows outside the held-out third, near copies dropped."""
-    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+    """(text, toxic), a written table, of about most_rows labelled rows outside the held-out third, near copies dropped."""
+    own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     cut = min(1.0, most_rows / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(cut * (1 << 20)))  # about most_rows rows of 12 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = staged(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "labelled")  # the one pass over all documents
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +135,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(2)], names=["doc_id", "sketch", "toxic"])
 
     kept = rows.select("doc_id", "text", "toxic").mapInArrow(sketch, "doc_id long, sketch long, toxic int").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return docs.select("doc_id", "text").join(F.broadcast(kept.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # again at most most_rows small rows
+    return staged(rows.select("doc_id", "text").join(F.broadcast(kept.select("doc_id", "toxic")), "doc_id").select("text", "toxic").repartition(TRAINING_PARTS), "training")  # again at most most_rows small rows
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
