@@ -383,6 +383,29 @@ def feature_of(payload: bytes) -> str:
     return f"sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero(np.diff(x < 0))};peak={np.abs(x).max()}"
 
 
+def read_streams(streams: list[bytes]) -> list[bytes]:
+    """Payloads of any streams of 8-bit mono: those written here all at once, those of other encoders (other block sizes, quantised linear
+    predictors, several Rice partitions) one by one. Broken streams of either kind raise ValueError."""
+    foreign = [i for i, s in enumerate(streams) if not _own(s)]
+    if not foreign:
+        return decode_streams(streams)
+    rest = iter(decode_streams([s for s in streams if _own(s)]))
+    return [(decode_any(s).astype(np.int8).view(np.uint8) + np.uint8(CENTRE)).tobytes() if i in set(foreign) else next(rest) for i, s in enumerate(streams)]
+
+
+def _own(stream: bytes) -> bool:
+    """Whether encode_payloads has written a stream: its block size, and seek points every SEEK frames from the first on."""
+    facts, at = _layout(stream)
+    points = facts["points"]
+    return facts["block"] == (BLOCK, BLOCK) and points is not None and len(points) > 0 and bool((points["sample"] == np.arange(len(points)) * BLOCK * SEEK).all()) and stream[at + 2 : at + 4] == b"\x20\x02"
+
+
+def blocks_of(payload: bytes) -> Iterator[tuple[int, bytes]]:
+    """PCM blocks of a payload: (first sample, bytes)."""
+    for first in range(0, len(payload), BLOCK):
+        yield first, payload[first : first + BLOCK]
+
+
 def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of about `most` bytes of a text or binary column, null as empty."""
     run: list[bytes] = []
@@ -414,10 +437,11 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, streams in _parts(batch.column(1)):
-                for i, p in enumerate(decode_streams(streams)):
-                    n = len(p) // BLOCK
+                for i, p in enumerate(read_streams(streams)):
+                    starts, pcm = zip(*blocks_of(p))
+                    n = len(starts)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a + i, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()), pa.array(range(0, len(p), BLOCK), pa.int64()), pa.array([BLOCK] * n, pa.int32()), pa.array([p[k : k + BLOCK] for k in range(0, len(p), BLOCK)], pa.binary())],
+                        [batch.column(0).slice(a + i, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) for x in pcm], pa.int32()), pa.array(pcm, pa.binary())],
                         names=["doc_id", "block", "first_sample", "n_samples", "pcm"],
                     )
 
@@ -432,7 +456,13 @@ def media_digest(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, streams in _parts(batch.column(2)):
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature_of(p)) for p, s in zip(decode_streams(streams), streams)]
+                rows = []
+                for payload, s in zip(read_streams(streams), streams):
+                    read, length = hashlib.sha256(), 0
+                    for first, pcm in blocks_of(payload):
+                        read.update(pcm)
+                        length = first + len(pcm)
+                    rows.append((length, read.hexdigest(), zlib.crc32(payload[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature_of(payload)))
                 columns = [batch.column(0).slice(a, len(rows)), batch.column(1).slice(a, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
