@@ -79,7 +79,34 @@ def test_toxicity_odd_rows(spark, odd, sf):
     model = learn_lexicon(odd, labels)
     assert toxicity_scores(odd, model).count() == len(ROWS) and not model.weights
     assert learn_lexicon(odd.limit(0), labels.limit(0)).weights == {} and toxicity_scores(odd.limit(0), model).count() == 0
-    assert op4_toxicity(spark, sf).count() == len(texts_of(spark, sf))
+    docs, marks = labelled(spark, 300)
+    model = learn_lexicon(docs, marks)
+    for kind in ("long", "boolean", "double", "string"):
+        assert learn_lexicon(docs, marks.selectExpr("doc_id", f"CAST(toxic AS {kind}) AS toxic") if kind != "string" else marks.selectExpr("doc_id", "CAST(toxic AS string) AS toxic")) == model
+
+
+def plain_score(lexicon, text):
+    """The score without an automaton: every entry is looked for at every place."""
+    folded = fold(text or "")
+    spared = {i for p in lexicon.exceptions for m in range(len(folded)) if folded.startswith(p, m) for i in range(m, m + len(p) - 1)}
+    best = {}
+    for start in (i for i, c in enumerate(folded) if c == " " and i not in spared):
+        found = [w for p, w in lexicon.weights.items() if folded.startswith(p, start)]
+        if found:
+            best[start] = max(found)
+    words = len(folded.split())
+    x = (np.log1p(sum(best.values())), np.log1p(len(best)), np.log1p(1000 * len(best) / max(words, 20)))
+    return 1 / (1 + np.exp(-np.clip(lexicon.beta[0] + np.dot(lexicon.beta[1:], x), -30, 30))) if lexicon.weights else 0.0
+
+
+def test_toxicity_of_the_whole_table_like_a_plain_version(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has too few toxic rows for a lexicon
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model, texts = learn_lexicon(docs, labels), texts_of(spark, sf)
+    rows = op4_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts) and model.weights
+    for r in rows:
+        assert abs(r.score - plain_score(model, texts[r.doc_id])) < 1e-9 and r.predicted == int(r.score >= 0.7)
 
 
 # BPE
@@ -116,7 +143,13 @@ def test_bpe_like_library(spark, odd, library, sf):
     assert rows[0].n_tokens == 0 and rows[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     back = {r.doc_id: r.text for r in decode_documents(encode_documents(odd, WORD_BPE), WORD_BPE).collect()}
     assert back[6] == "a b c d "
-    assert encode_decode_digest(odd.limit(0), WORD_BPE).count() == 0 and op5_bpe_stream(spark, sf).count() == len(texts_of(spark, sf))
+    assert encode_decode_digest(odd.limit(0), WORD_BPE).count() == 0
+    texts, rows = texts_of(spark, sf), {r.doc_id: r for r in op5_bpe_stream(spark, sf).collect()}
+    assert set(rows) == set(texts)
+    for i, t in texts.items():
+        want = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(want, skip_special_tokens=False)
+        assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
 # Quality
@@ -135,6 +168,8 @@ def test_quality_counts(spark, odd, sf):
     assert got == sorted((i is not None, i or 0, *plain_quality(t)) for i, t, *_ in ROWS)
     assert not any(r.kept for r in quality_table(odd).collect() if r.base_failed)
     assert quality_table(odd.limit(0)).count() == 0 and keep_good(odd).columns == odd.columns
+    clash = odd.selectExpr("*", "1 AS _words", "2 AS _host", "3 AS _kept", "4 AS _row", "5 AS n", "6 AS `dotted.name`")
+    assert sorted(map(repr, keep_good(clash).select(odd.columns).collect())) == sorted(map(repr, keep_good(odd).collect())) and keep_good(clash).columns == clash.columns
     assert "_base_failed" in quality_features(odd).columns
     rows = sorted(map(tuple, op7_quality_rules(spark, sf).collect()))
     assert rows == sorted(duckdb.sql(SQL.format(documents=f"'{sf}/documents.parquet'")).fetchall())
@@ -183,6 +218,32 @@ def test_flac_linear_predictor():
     assert flac.decode_any(b"fLaC\x80\x00\x00\x22" + info + frame).tolist() == x
 
 
+def test_streams_of_other_encoders_are_read_with_own_ones():
+    raw = bytes(range(192))
+    crc = lambda b, t, n: int(flac.crc_rows(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), t, n)[0])
+    head = bytes([0xFF, 0xF8, 0x10, 0x02, 0])
+    frame = head + bytes([crc(head, flac.CRC8, 8), 0x02]) + bytes((b - flac.CENTRE) & 255 for b in raw)
+    frame += crc(frame, flac.CRC16, 16).to_bytes(2, "big")
+    other = b"fLaC\x80\x00\x00\x22" + (192).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | 192).to_bytes(8, "big") + bytes(16) + frame
+    own = flac.pad(b"own text " * 200)
+    assert flac.read_streams([*flac.encode_payloads([own]), other, *flac.encode_payloads([flac.pad(b"")])]) == [own, raw, flac.pad(b"")]
+    assert flac.read_streams([]) == [] and [n for n, _ in flac.blocks_of(own)] == list(range(0, len(own), 576))
+    with pytest.raises((ValueError, IndexError)):
+        flac.read_streams([other[:-9] + b"x" + other[-8:]])
+
+
+def test_flac_table_values(spark, sf):
+    texts = texts_of(spark, sf)
+    media = {r.doc_id: bytes(r.media) for r in flac.flac_column(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for r in op8_flac_column(spark, sf).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        x = [b - 128 for b in payload]
+        feature = f"sum={sum(x)};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};peak={max(map(abs, x))}"
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest(), feature)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
+
+
 def test_flac_rows(spark, odd, sf):
     media = flac.flac_column(odd)
     rows = {r.doc_id: r for r in flac.media_digest(media).collect()}

@@ -21,7 +21,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -201,12 +201,16 @@ def state(path: str) -> tuple[WordEncoder, dict[str, list[bytes]]]:
     return _STATE[path]
 
 
-def decode(path: str, ids: Iterable[int], form: str = "tokens", step: int = 4096) -> Iterator[str]:
-    """Parts of the decoded text, as the machine gives them out."""
+def decode(path: str, ids: Iterable[int] | np.ndarray, form: str = "tokens", step: int = 4096) -> Iterator[str]:
+    """Parts of the decoded text, as the machine gives them out; at most `step` ids are held as numbers at a time."""
     machine = ByteMachine(state(path)[1][form], b" " if form == "tokens" else b"")
-    held = list(ids)
-    for a in range(0, len(held), step):
-        yield machine.feed(held[a : a + step])
+    if isinstance(ids, np.ndarray):
+        for a in range(0, len(ids), step):
+            yield machine.feed(ids[a : a + step].tolist())
+    else:
+        coming = iter(ids)
+        while part := list(islice(coming, step)):
+            yield machine.feed(part)
     yield machine.close()
 
 
@@ -244,7 +248,7 @@ def encode_decode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
                 rows = []
                 for x, y in pairwise(offsets.tolist()):
                     text = hashlib.sha256()
-                    for part in decode(tokenizer, ids[x:y].tolist()):
+                    for part in decode(tokenizer, ids[x:y]):
                         text.update(part.encode())
                     rows.append((y - x, hashlib.sha256(wide[4 * x : 4 * y]).hexdigest(), text.hexdigest()))
                 n, h, d = zip(*rows)
