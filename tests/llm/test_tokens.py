@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from veriscore.llm.packing import best_fit_packing, combinations, pack_documents, token_pieces
+from veriscore.llm.packing import best_fit_packing, combinations, pack_documents, salts_for, token_pieces
 from veriscore.llm.registry import BYTE_BPE, op1_token_files, op2_best_fit_packing, op10_token_counts
 from veriscore.llm.segments import SegmentEncoder, safe_segments
 from veriscore.llm.token_counts import token_counts
@@ -123,3 +123,8 @@ def test_counts(spark, sf, plain):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, BYTE_BPE).collect()) == want
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in op10_token_counts(spark, sf).collect()} == {d: len(plain(t)) for d, t in texts.items()}
+
+
+def test_parts_of_a_length_grow_with_it():
+    assert salts_for({}) == salts_for({3: 1000}) == 256
+    assert all(n / salts_for({2048: n, 7: n // 3}) <= 1 << 16 for n in (10**7, 10**9, 10**11))

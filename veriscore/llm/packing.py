@@ -99,7 +99,12 @@ def combinations(histogram: dict[int, int], capacity: int) -> list[tuple[int, li
     return out
 
 
-def best_fit_packing(pieces: DataFrame, capacity: int = 2048, salts: int = 256) -> DataFrame:
+def salts_for(histogram: dict[int, int], rows: int = 1 << 16) -> int:
+    """Parts of each length, so that one of the commonest length holds about `rows` pieces at any input size; 256 at least."""
+    return max(256, -(-max(histogram.values(), default=0) // rows))
+
+
+def best_fit_packing(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces (…, length) with sequence_id and offset. `pieces` is read more than once: pass a written table."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     first_bin, slots = 0, {}
@@ -122,7 +127,7 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048, salts: int = 256)
             sequence[rows], offset[rows] = bins[slot] + k - begins[slot], offsets[slot]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts_for(histogram))).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
