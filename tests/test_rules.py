@@ -96,6 +96,12 @@ def test_page_cases(spark, tmp_path):
     assert text[0].body_len == 3 and text[1].body_len == 0 and text[2].body_len > 2000
 
 
+def test_only_so_many_elements_of_a_kind_count(spark, tmp_path):
+    rows = [(i, "https://a.b.com/", "<iframe width=1 height=1>" * n + "<input>" * (n - 1) + "<input type=password>") for i, n in enumerate((C.MOST_NODES, C.MOST_NODES + 1))]
+    got = judged(spark, tmp_path, rows, "q14_dom_features")
+    assert [(got[i].hidden_iframes, got[i].has_pw) for i in (0, 1)] == [(C.MOST_NODES, True), (C.MOST_NODES, False)]
+
+
 # Pages built like the offline evaluation's fixtures: url, html, url score, page score, total, verdict.
 EVAL_CASES = [
     ("https://post-parcel.tk/x", FORM.replace('<input name="otp">', "").format("https://c.evil.com/p") + TW, 25, 142, 100, "dangerous"),

@@ -254,9 +254,14 @@ def host_of(d, ref: str, own: str) -> str:
     return f"CASE WHEN {d.rx(ref, '(?i)^([a-z][a-z0-9+.-]*:)?//')} THEN lower({d.ex(ref, '(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)')}) WHEN {d.rx(ref, '(?i)^[a-z][a-z0-9+.-]*:')} THEN '' ELSE {own} END"
 
 
+#: Fixed value: elements of a kind (forms, fields, frames, scripts) that a page's features look at.
+MOST_NODES = 5000
+
+
 def dom(d, source: str = "u", mode: str = "page", html: str = "html", p: str = "") -> str:
     """f: page features of source, after urls(d), in place of html; p is a prefix of the level's names."""
-    tags = lambda name: d.all("html", rf"(?i)<{name}\b[^>]*>")
+    most = (lambda a: d.slice(a, str(MOST_NODES))) if mode == "page" else (lambda a: a)
+    tags = lambda name: most(d.all("html", rf"(?i)<{name}\b[^>]*>"))
     blank = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|" + (r"<title\b.*?</title>|" if mode == "page" else "") + "<[^>]+>"
     field = d.map(tags("input"), "t", d.struct(type=f"lower({attr(d, 't', 'type')})", name=f"lower({attr(d, 't', 'name')})", place=attr(d, "t", "placeholder"), auto=f"lower({attr(d, 't', 'autocomplete')})", pattern=attr(d, "t", "pattern")))
     roots = lambda fm: d.filter(d.map(d.filter(d.all(fm, r"(?i)<input\b[^>]*>"), "t", f"lower({attr(d, 't', 'type')}) IN ('text', '')"), "t", f"lower(trim({d.rep(f"CASE WHEN {attr(d, 't', 'name')} <> '' THEN {attr(d, 't', 'name')} ELSE {attr(d, 't', 'placeholder')} END", '[0-9]+$', '')}))"), "q", "q <> ''")
@@ -271,9 +276,9 @@ def dom(d, source: str = "u", mode: str = "page", html: str = "html", p: str = "
     blocked = d.any(roots_tags, "t", " OR ".join(d.rx(attr(d, "t", a), dims.BLOCKING) for a in ("oncontextmenu", "onkeydown", "onkeyup", "onkeypress")))
     divs = d.all("html", r"(?i)<div\b[^>]*(?:turnstile|h-captcha)[^>]*>")
     widget = lambda name, word: f"{d.any(divs, 't', f"{d.rx(attr(d, 't', 'class'), rf'(^|\s){name}(\s|$)')} OR {d.rx('t', r'(?i)\sdata-sitekey')} AND instr(lower({attr(d, 't', 'class')}), '{word}') > 0")}"
-    sources = d.filter(d.map(d.all("html", r"(?i)<script\b[^>]*>"), "t", attr(d, "t", "src")), "q", "q <> ''")
+    sources = d.filter(d.map(tags("script"), "t", attr(d, "t", "src")), "q", "q <> ''")
     frames = d.filter(d.map(tags("iframe"), "t", attr(d, "t", "src")), "q", "q <> ''")
-    icon = d.first(d.map(d.filter(tags("link"), "t", f"{d.rx(attr(d, 't', 'rel'), r'(?i)(^|\s)icon(\s|$)|^apple-touch-icon$')} AND {attr(d, 't', 'href')} <> ''"), "t", attr(d, "t", "href")))
+    icon = d.first(d.map(d.filter(d.all("html", r"(?i)<link\b[^>]*>"), "t", f"{d.rx(attr(d, 't', 'rel'), r'(?i)(^|\s)icon(\s|$)|^apple-touch-icon$')} AND {attr(d, 't', 'href')} <> ''"), "t", attr(d, "t", "href")))
     acts = d.map(tags("form"), "t", attr(d, "t", "action"))
     target = "CASE WHEN ac = '' THEN href ELSE ac END" if mode == "page" else "ac"  # a form without action posts to its page
     sample = f"trim({d.rep('substring(raw, 1, 2000)', r'\s+', ' ')})" if mode == "page" else f"substring(trim({d.rep('raw', r'\s+', ' ')}), 1, 2000)"
