@@ -84,3 +84,14 @@ def test_model_stage(spark):
     rows = {r.page_id: (r.llm_score, r.final, r.marker) for r in with_model(pages, fallback(first, second)).collect()}
     assert rows == {1: (None, 10, ""), 2: (40, 40, "llm.score"), 3: (None, 60, "llm.unavailable"), 4: (None, 90, ""), 5: (None, 40, "llm.unavailable")}
     assert with_model(pages, second, force=True).where("llm_score IS NOT NULL").count() == 4
+
+
+def test_event_times_do_not_depend_on_the_session_zone(spark):
+    before, seen = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            seen.append(sorted(map(tuple, queries()["q43_debounce"](spark, SF).collect())))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert seen[0] == seen[1] != []

@@ -253,7 +253,7 @@ def normalised(d, raw: str) -> str:
 
 def events(d) -> str:
     since = "(CAST(ts AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ '1970-01-01 00:00:00')"  # the clock as written, whatever the session's zone
-    us = "epoch_us(ts)" if d.name == "duckdb" else f"(extract(DAY FROM {since}) * 86400000000 + extract(HOUR FROM {since}) * 3600000000 + extract(MINUTE FROM {since}) * 60000000 + CAST(extract(SECOND FROM {since}) * 1000000 AS BIGINT))"
+    us = "epoch_us(ts)" if d.name == "duckdb" else f"(extract(DAY FROM {since}) * 86400000000L + extract(HOUR FROM {since}) * 3600000000L + extract(MINUTE FROM {since}) * 60000000L + CAST(extract(SECOND FROM {since}) * 1000000 AS BIGINT))"
     return f"ev AS (SELECT event_id, user_id, event_type, value, {us} AS us FROM events)"
 
 
