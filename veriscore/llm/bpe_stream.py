@@ -141,12 +141,12 @@ class WordEncoder(SegmentMemo):
         part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)  # letter by letter: no final sigma
         return [i for w in self.words.findall(part) for i in self._word(w)]
 
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.word_ids) > self.limit:
             self.word_ids.clear()
         flat: list[int] = []
         ends = []
-        for part in new:
+        for part in new.to_pylist():
             at = 0
             if "<|" in part:
                 for m in self.specials.finditer(part):
@@ -155,7 +155,8 @@ class WordEncoder(SegmentMemo):
                     at = m.end()
             flat += self._plain(part[at:])
             ends.append(len(flat))
-        return np.array(flat, self.dtype), np.diff(np.array(ends, np.int64), prepend=0)
+        lengths = np.diff(np.array(ends, np.int64), prepend=0)
+        return np.array(flat, self.dtype), np.array(ends, np.int64) - lengths, lengths
 
 
 class ByteMachine:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MARK = "\0"
 #: The published pattern of this family of byte-level pre-tokenizers (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same over segments with MARK between them: a mark is a word of its own and counts as the end of the text.
+WORDS_AND_MARKS = WORDS.replace(r"[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}\x00]").replace(r"(?!\S)", r"(?![^\s\x00])") + r"|\x00"
 #: Two white-space characters in a row, by any definition of white space in use.
 RUN = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{2}"
 #: A segment that starts with one space and ends without: such may be joined.
 JOINS = re.compile(r" (?=\S)(?s:.*)(?<=\S)\Z").match
 #: What the quick way leaves to the whole tokenizer: characters outside stable Latin blocks and possible special tokens.
-ODD = re.compile(r"[^\n -~\xa1-\u024f]|<\|")
+ODD = r"[^\n -~\x{a1}-\x{24f}]|<\|"
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+#: The letter of each byte as a UTF-16 unit; byte 0, MARK, stays what it is.
+LETTER_OF_BYTE = np.array([0, *(BYTE_LETTERS[b] for b in range(1, 256))], "<u2")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -50,8 +55,8 @@ class SegmentMemo:
         """(parts of all texts in a row, first part of each text and the end)."""
         raise NotImplementedError
 
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all these parts in a row, how many each has)."""
+    def _encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of these parts in any order, where each part's ids start, how many it has)."""
         raise NotImplementedError
 
     def _forget(self) -> None:
@@ -69,9 +74,9 @@ class SegmentMemo:
         place = where.fill_null(-1).to_numpy().astype(np.int64)
         if len(missing):
             fresh = coded.dictionary.take(pa.array(missing))
-            ids, lengths = self._encode_new(fresh.to_pylist())
+            ids, starts, lengths = self._encode_new(fresh)
             place[missing] = len(self.known) + np.arange(len(missing))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.start = np.concatenate([self.start, len(self.ids) + starts])
             self.length = np.concatenate([self.length, lengths])
             self.ids = np.concatenate([self.ids, ids])
             self.known = pa.concat_arrays([self.known, fresh])
@@ -93,7 +98,7 @@ class SegmentMemo:
 
 
 class SegmentEncoder(SegmentMemo):
-    """ids of whole texts by a tokenizers file."""
+    """ids of whole texts by a tokenizers file. Remembers at most `limit` segments and `limit` words."""
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
@@ -108,36 +113,44 @@ class SegmentEncoder(SegmentMemo):
             self.width[i] = len(token)
         for i, added in self.tokenizer.get_added_tokens_decoder().items():
             self.width[i] = len(added.content.encode())
-        self.word_ids: dict[str, bytes] = {}
         pre = json.loads(self.tokenizer.to_str())
         byte_level = pre["normalizer"] is None and (p := pre["pre_tokenizer"] or {}).get("type") == "ByteLevel" and p["use_regex"] and not p["add_prefix_space"]
-        self.words = regex.compile(WORDS) if byte_level else None
+        self.words = regex.compile(WORDS_AND_MARKS) if byte_level else None
+        self._forget_words()
         super().__init__(dtype, limit)
 
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """ids of each unit: plain Latin text word by word with the tokenizer's own model, remembering words; the rest by the whole tokenizer."""
-        out: list[bytes | None] = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if not ODD.search(u)] if self.words else []
-        split = [self.words.findall(units[i]) for i in plain]
-        if len(self.word_ids) > self.limit // 3:
-            self.word_ids.clear()
-        new = list(set().union(*split) - self.word_ids.keys())
-        model, table = self.tokenizer.model, BYTE_LETTERS
-        for w in new:
-            self.word_ids[w] = np.array([t.id for t in model.tokenize(w.encode().decode("latin1").translate(table))], self.dtype).tobytes()
-        get = self.word_ids.__getitem__
-        for i, words in zip(plain, split):
-            out[i] = b"".join(map(get, words))
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, self.dtype).tobytes()
-        return out
-
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all segments in a row, and how many each has. Segments that may stand side by side go in joined runs of about 1,000 characters."""
+    def _forget_words(self) -> None:
+        self.word_at = {MARK: 0}  # the mark has no ids
+        self.word_ids = array("I")
+        self.word_end = array("q", [0])
+
+    def _plain_ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these segments of plain Latin text in a row, how many each has), each new word by the tokenizer's own model."""
+        found = self.words.findall(MARK.join(segments))
+        if len(self.word_at) > self.limit:
+            self._forget_words()
+        new = list(set(found) - self.word_at.keys())
+        if new:
+            letters = LETTER_OF_BYTE[np.frombuffer(MARK.join(new).encode(), np.uint8)].tobytes().decode("utf-16-le").split(MARK)
+            tokenize, ids, end = self.tokenizer.model.tokenize, self.word_ids, self.word_end
+            for w in letters:
+                ids.extend([t.id for t in tokenize(w)])
+                end.append(len(ids))
+            self.word_at.update(zip(new, range(len(self.word_at), len(end))))
+        at = np.fromiter(map(self.word_at.__getitem__, found), np.int64, len(found))
+        ends = np.frombuffer(self.word_end, np.int64)
+        lengths = np.diff(ends, prepend=0)[at]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(ends[at] - total[1:], lengths) + np.arange(total[-1])
+        stops = np.concatenate([[0], total[np.flatnonzero(at == 0)], total[-1:]])
+        ids = np.frombuffer(self.word_ids, np.uint32) if self.word_ids else np.zeros(0, np.uint32)
+        return ids[take].astype(self.dtype), np.diff(stops)
+
+    def _other_ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these segments in a row, how many each has) by the whole tokenizer. Segments that may stand side by side go in joined runs of about 1,000 characters."""
         units: list[list[str]] = []
         size, joins = 0, False
-        for s in new:
+        for s in segments:
             can = JOINS(s) is not None
             if can and joins and size < 1000:
                 units[-1].append(s)
@@ -145,11 +158,24 @@ class SegmentEncoder(SegmentMemo):
             else:
                 units.append([s])
                 size, joins = len(s), can
-        flat = np.frombuffer(b"".join(self._unit_ids(["".join(u) for u in units])), self.dtype)
+        coded = self.tokenizer.encode_batch_fast(["".join(u) for u in units], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, self.dtype) for e in coded])
         ends = np.cumsum(self.width[flat])  # byte positions of the token ends; every segment ends with a token
-        stops = np.cumsum(pc.binary_length(pa.array(new, pa.large_string())).to_numpy())
+        stops = np.cumsum(pc.binary_length(pa.array(segments, pa.large_string())).to_numpy())
         return flat, np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
 
+    def _encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(new, ODD).to_numpy(zero_copy_only=False) if self.words else np.ones(len(new), bool)
+        length, ids, at = np.zeros(len(new), np.int64), [], 0
+        start = np.zeros(len(new), np.int64)
+        for chosen, encode in ((~odd, self._plain_ids), (odd, self._other_ids)):
+            if chosen.any():
+                own, n = encode(new.filter(pa.array(chosen)).to_pylist())
+                start[chosen], length[chosen] = at + np.cumsum(n) - n, n
+                ids.append(own)
+                at += len(own)
+        return np.concatenate(ids), start, length
+
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.or_(pc.match_substring_regex(texts, RUN), pc.match_substring(texts, MARK))
