@@ -37,6 +37,16 @@ def test_segments_join_and_encode(plain):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [plain(t) for t in ODD]
 
 
+def test_segments_beside_marks_and_forgotten_words(plain):
+    import pyarrow as pa
+
+    texts = ["\0", "a\0b c\0 d", "a\n", "b\n\n", " . .. \n", "\n\n a", "x\xa0y z", "it's 's 12ab3 $$a", "  a  ", "ends. \0", "don't  we'll\t x", "", None]
+    small = SegmentEncoder(BYTE_BPE, limit=3)
+    for batch in (texts, texts[::-1], ["new words in a third batch", *texts]):
+        ids, offsets = small.encode(pa.array(batch, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [plain(t) for t in batch]
+
+
 @pytest.mark.parametrize("ids", [[], [7], [0] * 9, list(range(70_000)), [5, 5, 300, 2, 5, 65_537, 1 << 18]])
 def test_control_bytes_round_trip(ids):
     a = np.array(ids, np.int64)
