@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,27 @@ def by_bytes(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as it takes to differ (in any case) from the names taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def positions(rows: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
+    """rows with `name`, their place in their group (a column) in the given order, gapless from 0; equal rows in any order.
+
+    rows is read more than once: pass a written table of few columns. They are dealt out by range and sorted there; no task holds a
+    group, also of equal rows, and the parts' counts (at most partitions + groups rows) are all that is broadcast.
+    """
+    every = rows.withColumn("_row", F.monotonically_increasing_id())
+    keys = [F.col(group), *order, "_row"]
+    dealt = every.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row").withColumn("_at", F.monotonically_increasing_id())
+    dealt = staged(dealt, "dealt").withColumn("_part", F.shiftright("_at", 33))
+    runs = dealt.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")
+    runs = runs.select("_part", group, (before - F.col("_first")).alias("_shift"))
+    return dealt.join(F.broadcast(runs), ["_part", group]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))

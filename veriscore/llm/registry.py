@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import resampling, sharding, vector_codes
 from .bpe_stream import encode_decode_digest
 from .common import fresh_path, staged, table
 from .flac import flac_column, media_digest
@@ -23,6 +25,7 @@ from .url_filter import tree_url_verdicts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SHARDS = 24
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    sha = F.lit(books.sha256() if books else None).cast("string")
+    return vector_codes.with_label_error(codes).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", sha.alias("codebooks_sha256"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,8 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_url_filter, op4_toxicity, op5_bpe_stream, op6_html_text, op7_quality_rules, op8_flac_column, op9_jaccard_join, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_url_filter, op4_toxicity, op5_bpe_stream, op6_html_text, op7_quality_rules, op8_flac_column, op9_jaccard_join, op10_token_counts, op11_rendezvous_shards, op12_vector_codes, op13_target_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY_SQL.format(documents="documents"), "op9_jaccard_join": JACCARD_SQL.format(k=4, percent=85)}
+    return {"op7_quality_rules": QUALITY_SQL.format(documents="documents"), "op9_jaccard_join": JACCARD_SQL.format(k=4, percent=85), "op11_rendezvous_shards": sharding.sql(SHARDS), "op12_vector_codes": vector_codes.sql(), "op13_target_resampling": resampling.sql()}
