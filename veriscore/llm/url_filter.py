@@ -8,8 +8,11 @@ Where none fits, the method decides:
    above and those below as a branch each, until no child differs; the children that stay are one wildcard, at any number of urls.
    Similar branches are one at every level.
 3. A branch ends where its labels agree or its paths end; levels at which none of its paths part are passed over.
-4. A branch's purity is its share of blocked among labelled urls, smoothed towards its host's share, which is smoothed towards all
-   urls' share. Branches at or over `reject` are blocked, others allowed: a host without labels has the share of all urls.
+4. The same tree is grown once more over the paths of all hosts together (as the host `/`, which no url has), so each template has a
+   purity wherever it occurs, smoothed towards all urls' share.
+5. A branch's purity is its share of blocked among labelled urls, smoothed towards its host's share, which is smoothed towards the
+   purity of the url's template over all hosts: a host without labels is judged by what its templates are elsewhere. Urls whose
+   purity is at or over `reject` are blocked, others allowed.
 
 Labels are those of a table `labels` (url, bad) where it has the url, else the rules' (a url under a block rule is bad, under an allow
 rule good). No words of hosts or paths are known to it. Null urls and urls without :// have an empty host and path and are judged like any
@@ -27,6 +30,8 @@ from .common import joined_split, staged
 
 #: (rule, verdict), fixed by the contract of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Stands for all hosts together; a url's host holds no slash.
+ALL = "/"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -108,10 +113,18 @@ def tree_url_verdicts(pages: DataFrame, rules=RULES, labels: DataFrame | None =
     nodes = staged(shaped.groupBy("node", "host", "segs").agg(F.count("*").alias("urls"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "nodes")
     sums = nodes.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("p"), F.sum("urls").alias("n")).first()
     prior, total = sums["p"] or 0.0, sums["n"] or 0
-    hosts = nodes.groupBy("host").agg(((F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)).alias("host_share"))
-    branches = staged(tree_branches(nodes.select("node", "host", "segs", "urls", "labelled", "blocked")), "tree")
-    judged = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb"), F.count("*").alias("nodes")).join(hosts, "host")
-    bad = staged(judged.select("host", "branch", "nodes", ((F.col("tb") + weight * F.col("host_share")) / (F.col("tl") + weight) >= reject).alias("bad")), "judged")
-    verdicts = joined_split(branches, bad, ["host", "branch"], F.col("nodes"), branches.count()).select("node", "host", "segs", "urls", "bad")
+    everywhere = nodes.groupBy("segs").agg(*(F.sum(c).alias(c) for c in ("urls", "labelled", "blocked"))).select(F.xxhash64(F.lit(ALL), F.concat_ws("/", "segs")).alias("node"), F.lit(ALL).alias("host"), "segs", "urls", "labelled", "blocked")
+    own = ["node", "host", "segs", "urls", "labelled", "blocked"]
+    tree = staged(tree_branches(nodes.select(*own).unionByName(everywhere)), "tree")
+    sides = staged(tree.groupBy("host", "branch").agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb"), F.count("*").alias("nodes")), "purity")
+    shared = sides.where(F.col("host") == ALL).select("branch", ((F.col("tb") + weight * prior) / (F.col("tl") + weight)).alias("elsewhere"), "nodes")
+    templates = tree.where(F.col("host") == ALL)
+    known = joined_split(templates, shared, ["branch"], F.col("nodes"), templates.count()).select("segs", "elsewhere")
+    hosts = nodes.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
+    judged = sides.where(F.col("host") != ALL).join(hosts, "host")
+    branches = joined_split(tree.where(F.col("host") != ALL), judged, ["host", "branch"], F.col("nodes"), tree.count())
+    host_share = (F.col("hb") + weight * F.col("elsewhere")) / (F.col("hl") + weight)
+    purity = (F.col("tb") + weight * host_share) / (F.col("tl") + weight)
+    verdicts = branches.join(known, "segs").select("node", "host", "segs", "urls", (purity >= reject).alias("bad"))
     out = joined_split(shaped, staged(verdicts, "verdicts"), ["node", "host", "segs"], F.col("urls"), total)  # host and segments too: two nodes may have one hash
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
