@@ -1,10 +1,11 @@
 """Quality rules with host-level verdicts, in DataFrame functions only.
 
-Every document gets its word counts and base rules. Then, per host (the `source` column) and soft rule, failures are added up
-and the failure rate is shrunk towards all hosts' rates by a beta prior fitted to them (moments). A host where the shrunk rate of
-a rule is half or more writes that way (code, tables): the rule is tolerated there; elsewhere documents that fail it go. A host
-whose shrunk rate of any failure reaches nine tenths is blocked whole. `keep_good`, the pipeline's stage, tolerates no rule: a document
-that fails one goes on any host, however many there fail it. The table tolerates as its SQL does.
+Every document gets its word counts, base rules and soft rules (symbols for words, repeated lines, word length). A soft rule has two
+degrees: a document fails it outright, or comes near failing. Per host (the `source` column) and soft rule, failures of either degree
+are added up, and the rate is shrunk towards all hosts' rates by a beta prior fitted to them (moments). A host whose shrunk rate
+lies above the prior's mean is strict for the rule. Documents that fail the base rules or a soft rule outright go on any host; those
+that come near one go on the hosts that are strict for it, where the host's record speaks against them. A host whose shrunk rate of
+any outright failure reaches nine tenths is blocked whole. The table and the pipeline's stage judge alike.
 
 Null text has no words and fails the base rules; null source is a host of its own; repeated rows count each. Windows of
 three words are compared by a 64-bit hash. The prior is six numbers, read to the driver; nothing else is.
@@ -15,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import joined_split, staged
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Soft rules: symbols for words, repeated lines, word length.
 SOFT = ("symbols", "lines", "length")
-TOLERATED, BLOCKED = 0.5, 0.9
+#: Shrunk rate of outright failures at which a host is blocked, and how far above the prior's mean a strict host's rate lies.
+BLOCKED, ABOVE = 0.9, 1e-9
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -29,7 +31,7 @@ def _without(c: Column, chars: str) -> Column:
 
 
 def quality_features(docs: DataFrame) -> DataFrame:
-    """docs (text, …) with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed and _fail_<rule>."""
+    """docs (text, …) with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _fail_<rule> and _near_<rule>."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACE)) > 0)
@@ -55,12 +57,15 @@ def quality_features(docs: DataFrame) -> DataFrame:
         (10 * F.col("_n_symbols") > F.col("_n_words")).alias("_fail_symbols"),
         ((F.col("_n_dup_lines") >= 3) & (4 * F.col("_n_dup_lines") > F.col("_n_lines"))).alias("_fail_lines"),
         ((F.col("_word_chars") < 2 * F.col("_n_words")) | (F.col("_word_chars") > 20 * F.col("_n_words"))).alias("_fail_length"),
+        (20 * F.col("_n_symbols") > F.col("_n_words")).alias("_near_symbols"),
+        ((F.col("_n_dup_lines") >= 3) & (8 * F.col("_n_dup_lines") > F.col("_n_lines"))).alias("_near_lines"),
+        ((2 * F.col("_word_chars") < 5 * F.col("_n_words")) | (F.col("_word_chars") > 7 * F.col("_n_words"))).alias("_near_length"),
     ).drop("_n_lines")
 
 
 def host_verdicts(features: DataFrame) -> DataFrame:
-    """(_host, _blocked, _tolerate_<rule>) from shrunk failure rates per host."""
-    failed = {"any": F.col("_base_failed") | F.col("_fail_symbols") | F.col("_fail_lines") | F.col("_fail_length")} | {r: F.col(f"_fail_{r}") for r in SOFT}
+    """(_host, _blocked, _strict_<rule>) from shrunk failure rates per host."""
+    failed = {"any": F.col("_base_failed") | F.col("_fail_symbols") | F.col("_fail_lines") | F.col("_fail_length")} | {r: F.col(f"_near_{r}") for r in SOFT}
     hosts = features.groupBy(F.coalesce("source", F.lit("")).alias("_host")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(r) for r, c in failed.items()))
     mean = {r: F.sum(r) / F.sum("n") for r in failed}
     means = hosts.agg(*(m.alias(r) for r, m in mean.items())).first()
@@ -71,15 +76,16 @@ def host_verdicts(features: DataFrame) -> DataFrame:
         strength = min(1000.0, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
         return (F.col(r) + m * strength) / (F.col("n") + strength)
 
-    return hosts.select("_host", (shrunk("any") >= BLOCKED).alias("_blocked"), *((shrunk(r) >= TOLERATED).alias(f"_tolerate_{r}") for r in SOFT))
+    return hosts.select("_host", (shrunk("any") >= BLOCKED).alias("_blocked"), *((shrunk(r) > (means[r] or 0.0) + ABOVE).alias(f"_strict_{r}") for r in SOFT), F.col("n").alias("_rows"))
 
 
-def judged(features: DataFrame, tolerant: bool) -> DataFrame:
-    """features with _kept. `features` is read twice: pass a written table."""
-    joined = features.withColumn("_host", F.coalesce("source", F.lit(""))).join(host_verdicts(features), "_host", "left")
+def judged(features: DataFrame) -> DataFrame:
+    """features with _kept. `features` is read more than once: pass a written table."""
+    hosts = staged(host_verdicts(features), "hosts")
+    joined = joined_split(features.withColumn("_host", F.coalesce("source", F.lit(""))), hosts, ["_host"], F.col("_rows"), features.count())
     soft = F.lit(False)
     for r in SOFT:
-        soft = soft | (F.col(f"_fail_{r}") & ~F.col(f"_tolerate_{r}") if tolerant else F.col(f"_fail_{r}"))
+        soft = soft | F.col(f"_fail_{r}") | F.col(f"_near_{r}") & F.col(f"_strict_{r}")
     return joined.withColumn("_kept", ~F.col("_base_failed") & ~F.col("_blocked") & ~soft)
 
 
@@ -87,13 +93,13 @@ def quality_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of documents (doc_id, text, source)."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     features = staged(quality_features(docs.select("doc_id", "text", "source")).drop("text"), "quality")
-    return judged(features, tolerant=True).select("doc_id", *(F.col(f"_{c}").alias(c) for c in own), F.col("_kept").alias("kept"))
+    return judged(features).select("doc_id", *(F.col(f"_{c}").alias(c) for c in own), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that are kept, all columns as they are: they travel in one struct, so their names meet no others."""
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "source")
-    kept = judged(staged(quality_features(own).drop("text"), "quality"), tolerant=False).where("_kept")
+    kept = judged(staged(quality_features(own).drop("text"), "quality")).where("_kept")
     return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
@@ -112,14 +118,15 @@ f AS (SELECT d.rid, doc_id, host, coalesce(n_words, 0) AS n_words, length(regexp
       coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN c USING (rid)),
 g AS (SELECT *, n_lines - n_distinct_lines AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       10 * n_symbols > n_words AS f1, n_lines - n_distinct_lines >= 3 AND 4 * (n_lines - n_distinct_lines) > n_lines AS f2,
-      word_chars < 2 * n_words OR word_chars > 20 * n_words AS f3 FROM f),
-h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR f1 OR f2 OR f3) AS x0, count(*) FILTER (f1) AS x1, count(*) FILTER (f2) AS x2, count(*) FILTER (f3) AS x3 FROM g GROUP BY host),
+      word_chars < 2 * n_words OR word_chars > 20 * n_words AS f3, 20 * n_symbols > n_words AS g1, n_lines - n_distinct_lines >= 3 AND 8 * (n_lines - n_distinct_lines) > n_lines AS g2,
+      2 * word_chars < 5 * n_words OR word_chars > 7 * n_words AS g3 FROM f),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR f1 OR f2 OR f3) AS x0, count(*) FILTER (g1) AS x1, count(*) FILTER (g2) AS x2, count(*) FILTER (g3) AS x3 FROM g GROUP BY host),
 m AS (SELECT sum(x0) / sum(n) AS m0, sum(x1) / sum(n) AS m1, sum(x2) / sum(n) AS m2, sum(x3) / sum(n) AS m3 FROM h),
 v AS (SELECT sum(n * pow(x0 / n - m0, 2)) / sum(n) AS v0, sum(n * pow(x1 / n - m1, 2)) / sum(n) AS v1, sum(n * pow(x2 / n - m2, 2)) / sum(n) AS v2, sum(n * pow(x3 / n - m3, 2)) / sum(n) AS v3 FROM h, m),
 s AS (SELECT m.*, CASE WHEN v0 > 0 THEN least(1000.0, greatest(2.0, m0 * (1 - m0) / v0 - 1)) ELSE 1000.0 END AS s0, CASE WHEN v1 > 0 THEN least(1000.0, greatest(2.0, m1 * (1 - m1) / v1 - 1)) ELSE 1000.0 END AS s1,
       CASE WHEN v2 > 0 THEN least(1000.0, greatest(2.0, m2 * (1 - m2) / v2 - 1)) ELSE 1000.0 END AS s2, CASE WHEN v3 > 0 THEN least(1000.0, greatest(2.0, m3 * (1 - m3) / v3 - 1)) ELSE 1000.0 END AS s3 FROM m, v),
-b AS (SELECT host, (x0 + m0 * s0) / (n + s0) >= 0.9 AS blocked, (x1 + m1 * s1) / (n + s1) >= 0.5 AS t1, (x2 + m2 * s2) / (n + s2) >= 0.5 AS t2, (x3 + m3 * s3) / (n + s3) >= 0.5 AS t3 FROM h, s)
+b AS (SELECT host, (x0 + m0 * s0) / (n + s0) >= 0.9 AS blocked, ((x1 + m1 * s1) / (n + s1)) > m1 + 1e-9 AS t1, ((x2 + m2 * s2) / (n + s2)) > m2 + 1e-9 AS t2, ((x3 + m3 * s3) / (n + s3)) > m3 + 1e-9 AS t3 FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT blocked AND NOT (f1 AND NOT t1) AND NOT (f2 AND NOT t2) AND NOT (f3 AND NOT t3) AS kept
+       NOT base_failed AND NOT blocked AND NOT (f1 OR f2 OR f3) AND NOT (g1 AND t1) AND NOT (g2 AND t2) AND NOT (g3 AND t3) AS kept
 FROM g JOIN b USING (host)
 """
