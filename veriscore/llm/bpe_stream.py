@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import id_text
 from .segments import BYTE_LETTERS, SegmentMemo, slices
 
 END = "</w>"
@@ -224,7 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids, offsets = state(tokenizer)[0].encode(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, form: str = "text") -> DataFrame:
@@ -255,4 +256,4 @@ def encode_decode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
                 n, h, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(h), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

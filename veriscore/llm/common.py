@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,12 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only a local session without one, as in tests, gets a temporary one; a cluster must set it."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local session without one, whose executors are the driver, gets one beside its warehouse."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -51,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_text(docs: DataFrame) -> DataFrame:
+    """The columns doc_id, as long, and text, as string, whatever integer or text type documents have."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def by_bytes(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts whose summed length stays near `most`, so a few long texts do not share a batch."""
     a = size = 0

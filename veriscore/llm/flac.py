@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import id_text
+
 BLOCK = 576
 CENTRE = 110
 SEEK = 32
@@ -428,7 +430,7 @@ def flac_column(docs: DataFrame) -> DataFrame:
             for a, raw in _parts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(raw)), pa.array([len(r) for r in raw], pa.int64()), pa.array(encode_payloads([pad(r) for r in raw]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:

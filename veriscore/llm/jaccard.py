@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_split, staged
+from .common import free_name, id_text, joined_split, staged
 
 BUCKETS, CHUNK = 1 << 24, 1 << 18
 _SHIFT = np.uint64(40)
@@ -119,7 +119,7 @@ def frequent_buckets(docs: DataFrame, k: int) -> np.ndarray:
         for c, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(own > 3 + 3 * own.mean()).tobytes()], pa.binary())], names=["chunk", "frequent"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "chunk int, buckets binary, counts binary").repartition(BUCKETS // CHUNK, "chunk")
+    counted = id_text(docs).mapInArrow(count, "chunk int, buckets binary, counts binary").repartition(BUCKETS // CHUNK, "chunk")
     table = np.zeros(BUCKETS, bool)
     for r in counted.mapInArrow(add, "chunk int, frequent binary").collect():  # BUCKETS bits in all
         table[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(r.frequent, np.uint8)).astype(bool)
@@ -350,7 +350,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def classed(docs: DataFrame, k: int, percent: int, group_tokens: int, group_sets: int) -> tuple[DataFrame, DataFrame]:
     """Written tables: (doc_id, version, n, digest) of every row, and (digest, copies, root, component) of every class: its component's least digest and smallest doc_id."""
-    docs = docs.select("doc_id", "text")
+    docs = id_text(docs)
     signed = staged(signatures(docs, k, percent, frequent_buckets(docs, k)), "signatures")
     filled = signed.where("n > 0 and doc_id is not null")
     one = F.min_by(F.struct("first", "prefix", "rare"), "doc_id").alias("_s")  # the same for all rows of a class
@@ -376,14 +376,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, group_tok
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, that of its smallest doc_id, and all rows without words or without id; rows equal in id and text count once. All columns kept."""
+    """One row of each component, that of its smallest doc_id, and all rows without words or without id; rows equal in id and text count
+    once. All columns are kept as they are, whatever their names."""
     rows, final = classed(docs, k, percent, 1 << 16, 256)
     linked = joined_split(rows.where("n > 0 and doc_id is not null"), final, ["digest"], F.col("copies"), rows.count())
-    chosen = linked.where("doc_id = component").groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("version").alias("_version")).select("_id", "_version")
-    chosen = staged(chosen.unionByName(rows.where("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()), "chosen")
-    named = docs.where("doc_id is not null").withColumn("_v_e_r", F.xxhash64("text"))
-    kept = named.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_v_e_r") == F.col("_version")), "left_semi").dropDuplicates(["doc_id", "_v_e_r"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = linked.where("doc_id = component").groupBy("root").agg(F.min("doc_id").alias("id"), F.min("version").alias("version")).select("id", "version")
+    chosen = staged(chosen.unionByName(rows.where("n = 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "version").distinct()), "chosen")
+    own, version = free_name("id", docs.columns), free_name("version", docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(version, F.xxhash64(F.col("text").cast("string"))).withColumn(own, F.col("doc_id").cast("long"))
+    kept = named.join(chosen.toDF(own, version), [own, version], "left_semi").dropDuplicates([own, version])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 #: The components as SQL (all pairs that share a shingle; for small tables).

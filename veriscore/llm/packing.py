@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import id_text, staged
 from .segments import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=[c.split()[0] for c in PIECES.split(", ")]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return id_text(docs).mapInArrow(cut, PIECES)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -104,8 +104,11 @@ def salts_for(histogram: dict[int, int], rows: int = 1 << 16) -> int:
     return max(256, -(-max(histogram.values(), default=0) // rows))
 
 
-def best_fit_packing(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pieces (…, length) with sequence_id and offset. `pieces` is read more than once: pass a written table."""
+def best_fit_packing(pieces: DataFrame, capacity: int = 2048, spread: str | None = None) -> DataFrame:
+    """pieces (…, length) with sequence_id and offset. `pieces` is read more than once: pass a written table.
+
+    spread: a column, left out of the result, that differs among equal rows, so that many of them are numbered in several tasks.
+    """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     first_bin, slots = 0, {}
     for times, bin_ in combinations(histogram, capacity):
@@ -127,14 +130,15 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             sequence[rows], offset[rows] = bins[slot] + k - begins[slot], offsets[slot]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts_for(histogram))).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *([spread] if spread else [])), F.lit(salts_for(histogram))).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
     keyed = numbered.join(before, ["length", "_salt"])
     placed = keyed.withColumn("_at", place("length", F.col("_before") + F.col("_row") - 1))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    return placed.select(*(c for c in pieces.columns if c != spread), "_at.sequence_id", "_at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return best_fit_packing(staged(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, end_id).withColumn("_spread", F.spark_partition_id())
+    return best_fit_packing(staged(pieces, "pieces"), capacity, "_spread")

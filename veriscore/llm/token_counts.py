@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import id_text
 from .segments import encoder, slices
 
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -31,4 +32,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                     [batch.column(0).slice(a, b - a), pc.binary_length(part).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(count, OUT)
+    return id_text(docs).mapInArrow(count, OUT)

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import id_text
 from .segments import encoder, slices
 
 BLOCK = "shard int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, ranked binary, control binary, data binary"
@@ -83,7 +84,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = id_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, BLOCK).write.option("compression", "zstd").parquet(path)
 
 

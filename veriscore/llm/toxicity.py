@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import id_text, staged
 
 # Letters of other scripts that look like Latin ones, and signs written in place of letters.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁԛԝαβεικνορτυχ", "abekmhopctyxijsdqwabeiknoptux"))
@@ -121,10 +121,10 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     """(text, toxic), a written table, of about most_rows labelled rows outside the held-out third, near copies dropped."""
-    own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     cut = min(1.0, most_rows / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(cut * (1 << 20)))  # about most_rows rows of 12 bytes
-    rows = staged(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "labelled")  # the one pass over all documents
+    rows = staged(id_text(docs).join(F.broadcast(own), "doc_id"), "labelled")  # the one pass over all documents
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +132,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFra
             for t in batch.column(1).to_pylist():
                 w = fold(t or "").split()
                 keys.append(min((zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(2)], names=["doc_id", "sketch", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.int64()), batch.column(2)], names=["doc_id", "text", "sketch", "toxic"])
 
-    kept = rows.select("doc_id", "text", "toxic").mapInArrow(sketch, "doc_id long, sketch long, toxic int").groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return staged(rows.select("doc_id", "text").join(F.broadcast(kept.select("doc_id", "toxic")), "doc_id").select("text", "toxic").repartition(TRAINING_PARTS), "training")  # again at most most_rows small rows
+    sketched = rows.select("doc_id", "text", "toxic").mapInArrow(sketch, "doc_id long, text string, sketch long, toxic int")
+    kept = sketched.groupBy("sketch", "toxic").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))  # a row each, whatever ids they share
+    return staged(kept.select("text", "toxic").repartition(TRAINING_PARTS), "training")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
@@ -223,7 +224,7 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -
             scores = [lexicon.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
