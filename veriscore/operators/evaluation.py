@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans import corpus as C
 from ..plans import dims
-from ..plans.blocklist import MASK, PRIME, SEED_A, SEED_B, planned_names, sizing
+from ..plans.blocklist import sized
 from .scoring import cascade, llm
 
 CELLS = "count(CASE WHEN y = 1 AND p THEN 1 END) AS tp, count(CASE WHEN y = 0 AND p THEN 1 END) AS fp, count(CASE WHEN y = 1 AND NOT p THEN 1 END) AS fn, count(CASE WHEN y = 0 AND NOT p THEN 1 END) AS tn"
@@ -166,36 +166,28 @@ def tier_summary(d):
     return f"WITH {C.cascade(d, 'eval')}, n AS (SELECT 'pages' AS name, count(*) AS n FROM t UNION ALL SELECT 'caught_50' AS name, count(CASE WHEN total >= 50 THEN 1 END) AS n FROM t UNION ALL SELECT 'caught_85' AS name, count(CASE WHEN total >= 85 THEN 1 END) AS n FROM t UNION ALL SELECT id AS name, count(*) AS n FROM ({long}) GROUP BY id) SELECT name, n FROM n"
 
 
-BITS, HASHES = sizing(planned_names(len(dims.BLOCKLIST)))
-
-
-def placed(d, source: str, keep: str) -> str:
-    """Bit positions of the names of source (keep, host)."""
-    fnv = lambda seed: d.fold(d.codes("host"), f"CAST({seed} AS BIGINT)", "h", "b", f"({d.xor('h', 'b')} * {PRIME}) & {MASK}")
-    return f"SELECT {keep}, {d.map(d.seq('0', str(HASHES - 1)), 'i', f'((h1 + i * h2) & {MASK}) % {BITS}')} AS places FROM (SELECT {keep}, {fnv(SEED_A)} AS h1, {fnv(SEED_B)} | 1 AS h2 FROM {source})"
-
-
-def feed(d) -> str:
-    return "feed AS (" + " UNION ALL ".join(f"SELECT {d.lit(h)} AS host" for h in dims.BLOCKLIST) + ")"
+#: The feed of the blocklist queries: hosts of the table's own pages that are served without encryption.
+def plain_hosts(d) -> str:
+    return f"SELECT lower({d.ex('url', '^[Hh][Tt][Tt][Pp]://([^/?#:@]+)')}) AS host FROM pages"
 
 
 def bloom_bytes(d) -> str:
-    """Bytes of the filter that have a bit set."""
+    """(byte_no, byte_value) of the filter's bytes that have a bit set, after `sized`."""
     value = "CASE pos % 8 WHEN 0 THEN 128 WHEN 1 THEN 64 WHEN 2 THEN 32 WHEN 3 THEN 16 WHEN 4 THEN 8 WHEN 5 THEN 4 WHEN 6 THEN 2 ELSE 1 END"
-    return f"SELECT CAST({d.div('pos', '8')} AS BIGINT) AS byte_no, CAST(sum({value}) AS BIGINT) AS byte_value FROM (SELECT DISTINCT pos FROM ({d.unnest('places', f'({placed(d, "feed", "host")})', 'host', 'pos')})) GROUP BY {d.div('pos', '8')}"
+    return f"SELECT CAST({d.div('pos', '8')} AS BIGINT) AS byte_no, CAST(sum({value}) AS BIGINT) AS byte_value FROM (SELECT DISTINCT pos FROM ({d.unnest('places', 'placed', 'host', 'pos')})) GROUP BY {d.div('pos', '8')}"
 
 
 def bloom_build(d):
-    return f"WITH {feed(d)} {bloom_bytes(d)}"
+    return f"WITH {sized(d, plain_hosts(d))} {bloom_bytes(d)}"
 
 
 def bloom_base64(d):
-    """The stored form: all bytes, base64."""
-    all_ = d.unnest(d.seq("0", str(BITS // 8 - 1)), "(SELECT 1 AS one)", "one", "no")
+    """The stored form: size, hashes, number of names and all bytes, base64."""
+    all_ = d.unnest(d.seq("0", d.div("m", "8") + " - 1"), "sz", "m", "no")
     octet = "lpad(hex(coalesce(byte_value, 0)), 2, '0')" if d.name == "spark" else "printf('%02X', CAST(coalesce(byte_value, 0) AS INTEGER))"
     text = "array_join(transform(array_sort(collect_list(struct(no, o))), e -> e.o), '')" if d.name == "spark" else "string_agg(o, '' ORDER BY no)"
     b64 = f"replace(base64(unhex({text})), '\\r\\n', '')" if d.name == "spark" else f"to_base64(from_hex({text}))"
-    return f"WITH {feed(d)}, b AS ({bloom_bytes(d)}), n AS ({all_}), o AS (SELECT n.no AS no, {octet} AS o FROM n LEFT JOIN b ON n.no = b.byte_no) SELECT {BITS} AS m_bits, {HASHES} AS k_hashes, {b64} AS bits_b64 FROM o"
+    return f"WITH {sized(d, plain_hosts(d))}, b AS ({bloom_bytes(d)}), n AS ({all_}), o AS (SELECT n.no AS no, {octet} AS o FROM n LEFT JOIN b ON n.no = b.byte_no) SELECT (SELECT m FROM sz) AS m_bits, (SELECT k FROM sz) AS k_hashes, (SELECT n FROM sz) AS n_inserted, {b64} AS bits_b64 FROM o"
 
 
 def bloom_probe(d):
@@ -204,10 +196,11 @@ def bloom_probe(d):
 
 
 def bloom_audit(d):
-    """Names of the feed that the filter misses (none may be), and made-up names that it hits."""
+    """Names of the feed that its filter misses (none may be), and made-up names that it hits."""
     made = d.unnest(d.seq("1", "1000"), "(SELECT 1 AS one)", "one", "n")
-    q = f"SELECT host, CAST(NULL AS {d.text}) AS etld1, 1 AS own FROM feed UNION ALL SELECT concat('probe-', (n * 2654435761) % 4294967296, '.invalid') AS host, CAST(NULL AS {d.text}) AS etld1, 0 AS own FROM ({made})"
-    return f"WITH {feed(d)}, q AS ({q}), hit AS (SELECT own, {C.bloom_hit(d)} AS hit FROM {d.bloomed('q')} q0) SELECT count(CASE WHEN own = 1 THEN 1 END) AS names, count(CASE WHEN own = 1 AND NOT hit THEN 1 END) AS missed, count(CASE WHEN own = 0 THEN 1 END) AS probes, count(CASE WHEN own = 0 AND hit THEN 1 END) AS false_hits FROM hit"
+    own = plain_hosts(d)
+    q = f"SELECT DISTINCT host, CAST(NULL AS {d.text}) AS etld1, 1 AS own FROM ({own}) f0 WHERE host <> '' UNION ALL SELECT concat('probe-', (n * 2654435761) % 4294967296, '.invalid') AS host, CAST(NULL AS {d.text}) AS etld1, 0 AS own FROM ({made})"
+    return f"WITH q AS ({q}), hit AS (SELECT own, {C.bloom_hit(d)} AS hit FROM {d.bloomed('q')} q0) SELECT count(CASE WHEN own = 1 THEN 1 END) AS names, count(CASE WHEN own = 1 AND NOT hit THEN 1 END) AS missed, count(CASE WHEN own = 0 THEN 1 END) AS probes, count(CASE WHEN own = 0 AND hit THEN 1 END) AS false_hits FROM hit"
 
 
 MIX = "((page_id * 2654435761 % 4294967296 + 4294967296) % 4294967296)"
@@ -297,6 +290,7 @@ QUERIES = {
     "q39_bloom_build": bloom_build,
     "q39_bloom_base64": bloom_base64,
     "q40_bloom_probe": bloom_probe,
+    "q40_bloom_probe_feed": bloom_probe,
     "q40_bloom_audit": bloom_audit,
     "q43_debounce": lambda d: f"WITH {events(d)}, i AS ({ISLANDS}), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS burst FROM i) SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS events, max(us) AS run_at, max(event_id) AS last_event FROM s GROUP BY user_id, burst",
     "q43_in_flight": in_flight(),

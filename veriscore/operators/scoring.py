@@ -159,3 +159,5 @@ QUERIES = {
     "q56_scaffold": rebuilt,
     "q57_plain_text": plain_text,
 }
+#: The gates, scores and cascade with a filter of run time, built from the hosts of a given table.
+QUERIES |= {f"{name}_feed": QUERIES[name] for name in ("q12_gates", "q13_stage1", "q21_cascade")}

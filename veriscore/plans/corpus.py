@@ -45,6 +45,8 @@ HTML = (
 PARTS = {1: "control", 3: "adversarial"}
 #: Names that the shaped user trusts; a parameter of the gate.
 USER_ALLOWED = ("example.edu",)
+#: Lists of the gates where none are given: names of the user, popular sites, institutions.
+LISTS = {"user": USER_ALLOWED, "popular": dims.POPULAR, "institutions": dims.INSTITUTIONS}
 ZERO_WIDTH, BIDI, TAGS = "[​-‍⁠﻿᠎]", "[‪-‮⁦-⁩]", "[\U000e0000-\U000e007f]"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 #: A filled advert slot: what the simulated rendering adds to a page.
@@ -74,7 +76,9 @@ def shaped(d) -> str:
 
 
 def corpus(d) -> str:
-    """x(page_id, url, html, label, part): all pages and the shaped ones."""
+    """x(page_id, url, html, label, part): all pages and, unless the dialect leaves them out, the shaped ones."""
+    if not d.shapes:
+        return "x AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 0 AS label, 'crawl' AS part FROM pages)"
     return f"{shaped(d)}, x1 AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 0 AS label, 'crawl' AS part FROM pages UNION ALL SELECT page_id, url, html, label, part FROM z), x AS ({d.whole('x1')})"
 
 
@@ -110,7 +114,7 @@ def urls(d, source: str = "x") -> str:
 
 
 def listed(d, x: str, items) -> str:
-    return f"{x} IN ({', '.join(map(d.lit, items))})"
+    return "false" if not items else f"{x} IN ({', '.join(map(d.lit, items))})"
 
 
 def facts(d, source: str = "u", mode: str = "page") -> str:
@@ -203,23 +207,23 @@ def fired(d, stage: str, rows: list[Rule]) -> str:
 
 
 def bloom_hit(d) -> str:
-    """Host or site, with or without www., in the blocklist's filter."""
-    from .blocklist import MASK, PRIME, SEED_A, SEED_B, planned_names, sizing
+    """Host or site, with or without www., in the blocklist's filter: its bits, size and number of hashes are columns of the row `bloom`."""
+    from .blocklist import MASK, PRIME, SEED_A, SEED_B
 
-    bits, hashes = sizing(planned_names(len(dims.BLOCKLIST)))
     bare = lambda x: d.rep(x, r"^www\.", "")
     names = d.filter(d.distinct(d.array("host", bare("host"), "coalesce(etld1, '')", bare("coalesce(etld1, '')"))), "nm", "nm <> ''")
     fnv = lambda seed: d.fold(d.codes("nm"), f"CAST({seed} AS BIGINT)", "h", "b", f"({d.xor('h', 'b')} * {PRIME}) & {MASK}")
     hashed = d.map(names, "nm", d.struct(a=fnv(SEED_A), b=f"({fnv(SEED_B)} | 1)"))
-    place = f"((((k.a + i * k.b) & {MASK})) % {bits})"
-    return d.any(hashed, "k", d.every(d.seq("0", str(hashes - 1)), "i", f"{d.bit('bloom', place)} = 1"))
+    place = f"((((k.a + i * k.b) & {MASK})) % bloom.m)"
+    return d.any(hashed, "k", d.every(d.seq("0", "bloom.k - 1"), "i", f"{d.bit('bloom', place)} = 1"))
 
 
 def gate(d) -> str:
-    """First gate that holds, over u."""
+    """First gate that holds, over u. The lists of the user, of popular sites and of institutions are the dialect's."""
+    user, popular, institutions = (d.lists.get(k, v) for k, v in LISTS.items())
     return (
-        f"CASE WHEN {listed(d, 'etld1', USER_ALLOWED)} THEN 'url.user_allowlist_hit' WHEN NOT valid THEN 'url.parse_failed' WHEN scheme NOT IN ('http', 'https') THEN 'non_http' WHEN {listed(d, 'etld1', dims.POPULAR)} THEN 'url.allowlist_hit' "
-        f"WHEN etld1 LIKE '%.edu.tw' OR etld1 LIKE '%.gov.tw' THEN 'url.tw_institutional_tld' WHEN {listed(d, 'etld1', dims.INSTITUTIONS)} THEN 'url.tw_allowlist_hit' WHEN {bloom_hit(d)} THEN 'url.bloomfilter_blacklist_hit' ELSE '' END"
+        f"CASE WHEN {listed(d, 'etld1', user)} THEN 'url.user_allowlist_hit' WHEN NOT valid THEN 'url.parse_failed' WHEN scheme NOT IN ('http', 'https') THEN 'non_http' WHEN {listed(d, 'etld1', popular)} THEN 'url.allowlist_hit' "
+        f"WHEN etld1 LIKE '%.edu.tw' OR etld1 LIKE '%.gov.tw' THEN 'url.tw_institutional_tld' WHEN {listed(d, 'etld1', institutions)} THEN 'url.tw_allowlist_hit' WHEN {bloom_hit(d)} THEN 'url.bloomfilter_blacklist_hit' ELSE '' END"
     )
 
 

@@ -11,6 +11,11 @@ WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "abcdefghijklmnopqrstuvwxyz01234567
 class Spark:
     name, text, anti = "spark", "STRING", "LEFT ANTI JOIN"
 
+    def __init__(self, lists: dict[str, list[str]] | None = None, feed: str = "", shapes: bool = True):
+        """lists: names for the gates by kind, in place of the fixed ones. feed: a query of (host) that the blocklist's filter is made of.
+        shapes: whether plans see the shaped pages beside the table's own."""
+        self.lists, self.feed, self.shapes = lists or {}, feed, shapes
+
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
@@ -121,8 +126,8 @@ class Spark:
         return f"CASE WHEN instr({x}, '%') > 0 THEN coalesce(try_url_decode(replace({x}, '+', '%2B')), {x}) ELSE {x} END"
 
     def bit(self, words: str, pos: str) -> str:
-        """Bit of an array of 32-bit words, first bit highest."""
-        return f"(shiftright(get({words}, CAST({pos} div 32 AS INT)), CAST(31 - {pos} % 32 AS INT)) & 1)"
+        """Bit of the filter's bytes, first bit highest."""
+        return f"(shiftright(CAST(conv(hex(substring({words}.bits, CAST({pos} div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(7 - {pos} % 8 AS INT)) & 1)"
 
     def whole(self, source: str) -> str:
         """source as one input: without the one-row generator, the optimizer would copy all later levels into each branch of a union."""
@@ -141,7 +146,7 @@ class Spark:
         return self.with_bloom(source)
 
     def with_bloom(self, source: str) -> str:
-        return f"(SELECT *, (SELECT words FROM bloom_words) AS bloom FROM {source})"
+        return f"(SELECT *, (SELECT spec FROM bloom_spec) AS bloom FROM {source})"
 
     def suffixes_of(self, host: str) -> str:
         """Suffix rules of a host's top-level name."""
@@ -285,7 +290,7 @@ class Duck(Spark):
         return f"CASE WHEN instr({x}, '%') > 0 THEN url_decode({x}) ELSE {x} END"
 
     def bit(self, words: str, pos: str) -> str:
-        return f"(({words}[CAST({pos} // 32 AS INTEGER) + 1] >> (31 - {pos} % 32)) & 1)"
+        return f"(({words}.words[CAST({pos} // 32 AS INTEGER) + 1] >> (31 - {pos} % 32)) & 1)"
 
     def with_suffixes(self, source: str) -> str:
         return source
@@ -303,9 +308,12 @@ class Duck(Spark):
         return self.tables(source)
 
     def tables(self, source: str) -> str:
-        from .blocklist import words_of
+        from .blocklist import filter_words, planned_names, sizing, words_of
 
-        return f"(SELECT * FROM {source} CROSS JOIN (SELECT {self.map_of(dims.suffix_rules())} AS psl, [{', '.join(map(str, words_of(dims.BLOCKLIST)))}] AS bloom))"
+        bits, hashes = sizing(planned_names(len(dims.BLOCKLIST)))
+        fixed = f"SELECT {{'words': [{', '.join(map(str, words_of(dims.BLOCKLIST)))}], 'm': {bits}, 'k': {hashes}}} AS bloom"
+        bloom = f"SELECT {{'words': words, 'm': m, 'k': k}} AS bloom FROM ({filter_words(self, self.feed)})" if self.feed else fixed
+        return f"(SELECT * FROM {source} CROSS JOIN (SELECT {self.map_of(dims.suffix_rules())} AS psl) CROSS JOIN ({bloom}))"
 
     def punycode(self, x: str) -> str:
         return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DECODED.items()) + f" ELSE {x} END"

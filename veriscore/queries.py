@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import run as plan_of
 from .functions.homograph import punycode_signals
 from .functions.model_output import parse_model_output
 from .operators import evaluation, scoring
 from .plans import dims
-from .plans.blocklist import bloom_frame
+from .plans.blocklist import plan_row, short_list_row, spec_row
 from .plans.corpus import SCHEME
 from .plans.dialect import Duck, Spark
 from .plans.dims import suffix_frame
@@ -27,25 +28,31 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def _views(spark: SparkSession, sf_dir: str, text: str) -> None:
+#: Queries whose blocklist is the feed of the given pages instead of the short fixed list.
+FEED = {name for name in TEXTS if name.endswith("_feed")} | {"q40_bloom_audit"}
+
+
+def dialect(name: str, kind: type[Spark]) -> Spark:
+    return kind(feed=evaluation.plain_hosts(kind())) if name in FEED else kind()
+
+
+def _views(spark: SparkSession, sf_dir: str, text: str, feed: str) -> None:
     for t in TABLES:
-        if re.search(rf"\b(FROM|JOIN) {t}\b", text):
+        if re.search(rf"\b(FROM|JOIN) {t}\b", text) or feed and t == "pages":
             spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
     if "FROM suffixes)" in text:
         suffix_frame(spark).createOrReplaceTempView("suffixes")
-    if "FROM bloom_words)" in text:
-        bloom_frame(spark, dims.BLOCKLIST).createOrReplaceTempView("bloom_words")
+    if "FROM bloom_spec)" in text:
+        row = plan_row(spec_row(spark.sql(feed), "host")) if feed else short_list_row(spark, dims.BLOCKLIST)
+        row.createOrReplaceTempView("bloom_spec")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = TEXTS[name](Spark())
-        _views(spark, sf_dir, text)
-        head, *rest = re.split(r"/\*step (\w+)\*/", text)
-        for level, more in zip(rest[::2], rest[1::2]):
-            spark.sql(f"{head} SELECT * FROM {level}").createOrReplaceTempView(f"level_{level}")
-            head = f"WITH {level} AS (SELECT * FROM level_{level}){more}"
-        return spark.sql(head)
+        d = dialect(name, Spark)
+        text = TEXTS[name](d)
+        _views(spark, sf_dir, text, d.feed)
+        return plan_of(text, spark)
 
     run.__name__ = name
     return run
@@ -88,7 +95,7 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, f in TEXTS.items():
         try:
-            out[name] = f(Duck())
+            out[name] = f(dialect(name, Duck))
         except Exception as e:  # noqa: BLE001 - the others must not be lost with it
             print(f"no oracle text for {name}: {e}")
     return out

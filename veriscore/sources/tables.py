@@ -37,17 +37,26 @@ def feed_rows(spark: SparkSession, path: str) -> DataFrame:
     return ordered.groupBy("domain").agg(*(F.min_by(c, "_at").alias(c) for c in columns)).select(*named.columns)
 
 
+#: Most names of a list that becomes part of a plan; larger ones belong in a filter (plans.blocklist).
+MOST_NAMES = 100_000
+
+
 def lists_of(spark: SparkSession, folder: str, **defaults: list[str]) -> dict[str, list[str]]:
-    """Small lists (brands, allow-lists, providers) from <folder>/<name>.json, {"domains": [...]}; the default where a file is missing."""
+    """Small lists (brands, allow-lists, providers) from <folder>/<name>.json, {"domains": [...]}; the default where a file is missing.
+    A list of more than MOST_NAMES names is an error."""
     from pyspark.errors import AnalysisException
 
     out = {}
     for name, default in defaults.items():
         try:
-            rows = spark.read.option("multiLine", True).json(f"{folder}/{name}.json").select(F.explode("domains").alias("d")).limit(100_000).collect()
-            out[name] = [r.d.lower() for r in rows]
+            names = spark.read.schema("domains array<string>").option("multiLine", True).json(f"{folder}/{name}.json").select(F.explode("domains").alias("d")).where("d IS NOT NULL")
         except AnalysisException:
-            out[name] = default
+            out[name] = list(default)
+            continue
+        rows = names.limit(MOST_NAMES + 1).collect()
+        if len(rows) > MOST_NAMES:
+            raise ValueError(f"{folder}/{name}.json has more than {MOST_NAMES} names")
+        out[name] = [r.d.strip().lower() for r in rows]
     return out
 
 
