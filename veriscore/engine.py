@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.scoring import QUERIES
 from .plans import dims
-from .plans.blocklist import checked_rows, plan_row, short_list_row
+from .plans.blocklist import SPEC, checked_rows, plan_row, short_list_row
 from .plans.corpus import LISTS
 from .plans.dialect import Spark
 from .plans.dims import suffix_frame
@@ -48,7 +48,8 @@ def judge(pages: DataFrame, answer: str = "scores", lists: dict[str, list[str]]
     if "FROM suffixes)" in text:
         suffix_frame(spark).createOrReplaceTempView("suffixes")
     if "FROM bloom_spec)" in text:
-        sound = checked_rows(blocklist).orderBy("version", ascending=False).limit(1) if blocklist is not None else None
-        row = short_list_row(spark, dims.BLOCKLIST) if sound is None or sound.isEmpty() else plan_row(sound)
+        # The one row travels through the driver (at most MOST_BITS / 8 bytes): a micro-batch has a session, and views, of its own.
+        sound = plan_row(checked_rows(blocklist).orderBy("version", ascending=False).limit(1)).collect() if blocklist is not None else []
+        row = spark.createDataFrame(sound, SPEC) if sound else short_list_row(spark, dims.BLOCKLIST)
         row.createOrReplaceTempView("bloom_spec")
     return run(text, spark)

@@ -152,6 +152,10 @@ def checked_rows(specs: DataFrame) -> DataFrame:
     return specs.where((F.col("hash_family") == FAMILY) & (F.col("fnv_prime") == PRIME) & (F.col("m_bits") > 0) & (F.col("m_bits") % 8 == 0) & (F.col("k_hashes") > 0) & (F.octet_length("bits") * 8 == F.col("m_bits")))
 
 
+#: The row of a filter that plans read.
+SPEC = "spec struct<bits:binary,m:bigint,k:bigint>"
+
+
 def plan_row(specs: DataFrame) -> DataFrame:
     """The one-row view (spec) that the gates of a plan read, from a stored filter."""
     return specs.select(F.struct("bits", F.col("m_bits").alias("m"), F.col("k_hashes").cast("long").alias("k")).alias("spec"))
@@ -197,7 +201,7 @@ def short_list_row(spark: SparkSession, names: Iterable[str]) -> DataFrame:
     names = list(names)
     bits, hashes = sizing(planned_names(len(names)))
     raw = b"".join(w.to_bytes(4, "big") for w in words_of(names))[: bits // 8]
-    return spark.createDataFrame([((bytearray(raw), bits, hashes),)], "spec struct<bits:binary,m:bigint,k:bigint>")
+    return spark.createDataFrame([((bytearray(raw), bits, hashes),)], SPEC)
 
 
 #: Bits a planned name, at FPR.

@@ -1,8 +1,8 @@
-"""Per-tab event semantics as Structured Streaming: debounce, calls in flight, model queue, latest state, daily lists, stale results."""
+"""Per-tab event semantics as Structured Streaming: debounce, calls in flight, order of a batch of model requests, latest state, stale results."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,11 +36,13 @@ def not_in_flight(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
     `done` is when a call ends. State is one time per tab, dropped after `delay` without calls.
     """
 
+    idle_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(frames).sort_values("ts")
+        rows = pd.concat(frames).sort_values("ts", kind="stable")
         busy = pd.Timestamp(state.get[0]) if state.exists else pd.Timestamp.min
         kept = []
         for row in rows.itertuples(index=False):
@@ -48,7 +50,7 @@ def not_in_flight(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
                 kept.append(row)
                 busy = row.done
         state.update((busy.to_pydatetime(),))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + 600_000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(kept, columns=rows.columns)
 
     schema = "tab int, ts timestamp, done timestamp, url string"
@@ -66,21 +68,3 @@ def current_results(results: DataFrame, requests: DataFrame, cancelled: DataFram
     latest = requests.groupBy("tab").agg(F.max("seq").alias("_latest"))
     gone = cancelled.groupBy("tab").agg(F.max("seq").alias("_gone"))
     return results.join(latest, "tab").where("seq = _latest").join(gone, "tab", "left").where("_gone IS NULL OR _gone < seq").drop("_latest", "_gone")
-
-
-def refreshed(stream: DataFrame, load: Callable[[], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame], None], every: str = "200 milliseconds"):
-    """Writer of a stream judged against a small list that is read anew for every micro-batch; a failed read keeps the last list.
-
-    One batch is written at once every `every`, so single results are not written one by one.
-    """
-    held: list[DataFrame] = []
-
-    def batch(rows: DataFrame, _: int) -> None:
-        try:
-            held[:] = [load()]
-        except Exception:  # noqa: BLE001 - any failure of the refresh leaves the list of the batch before
-            if not held:
-                raise
-        sink(judge(rows, held[0]))
-
-    return stream.writeStream.foreachBatch(batch).trigger(processingTime=every)
