@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..plans import corpus as C
 from ..plans import dims
 from ..plans.blocklist import sized
+from ..plans.dialect import Duck
 from .scoring import cascade, llm
 
 CELLS = "count(CASE WHEN y = 1 AND p THEN 1 END) AS tp, count(CASE WHEN y = 0 AND p THEN 1 END) AS fp, count(CASE WHEN y = 1 AND NOT p THEN 1 END) AS fn, count(CASE WHEN y = 0 AND NOT p THEN 1 END) AS tn"
@@ -253,16 +254,23 @@ def events(d) -> str:
 ISLANDS = "SELECT user_id, event_id, event_type, us, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 600000000 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)"
 
 
-def in_flight(seconds: int = 600):
-    """Calls that start while the user's last started call still runs are dropped: a fold over the user's events in order."""
+IN_FLIGHT, CACHE = 600, 32
 
-    def text(d):
-        state = d.fold("rows", d.struct(us=f"CAST({-seconds * 1000000} AS BIGINT)", e="CAST(0 AS BIGINT)", n="CAST(0 AS BIGINT)"), "s", "v", f"CASE WHEN v.us - s.us >= {seconds * 1000000} THEN {d.struct(us='v.us', e='v.e', n='s.n + 1')} ELSE s END")
-        rows = "array_sort(collect_list(named_struct('us', us, 'e', CAST(event_id AS BIGINT), 'n', CAST(0 AS BIGINT))))" if d.name == "spark" else "list_sort(list({'us': us, 'e': CAST(event_id AS BIGINT), 'n': CAST(0 AS BIGINT)}))"
-        day = "CAST(floor(us / 86400000000) AS BIGINT)"
-        return f"WITH {events(d)}, g AS (SELECT user_id, {day} AS day, {rows} AS rows FROM ev GROUP BY user_id, {day}), s AS (SELECT user_id, day, {d.size('rows')} AS calls, {state} AS st FROM g) SELECT user_id, day, CAST(calls AS BIGINT) AS calls, st.n AS started, st.e AS last_started FROM s"
 
-    return text
+def in_flight_oracle(seconds: int = IN_FLIGHT) -> str:
+    """q43_in_flight as a fold over each user's whole list (for small tables)."""
+    d = Duck()
+    state = f"list_reduce(list_prepend({{'us': {-seconds * 1000000}::BIGINT, 'e': 0::BIGINT, 'l': []::BIGINT[]}}, list_sort(list({{'us': us, 'e': event_id, 'l': []::BIGINT[]}}))), lambda s, v: CASE WHEN v.us - s.us >= {seconds * 1000000} THEN {{'us': v.us, 'e': v.e, 'l': list_append(s.l, v.e)}} ELSE s END)"
+    return f"WITH {events(d)}, g AS (SELECT user_id, {state} AS st FROM ev GROUP BY user_id), began AS (SELECT user_id, unnest(st.l) AS event_id FROM g) SELECT ev.user_id, CAST(floor(us / 86400000000) AS BIGINT) AS day, count(*) AS calls, count(began.event_id) AS started, max_by(began.event_id, {{'us': us, 'e': ev.event_id}}) FILTER (began.event_id IS NOT NULL) AS last_started FROM ev LEFT JOIN began ON began.user_id = ev.user_id AND began.event_id = ev.event_id GROUP BY ALL"
+
+
+def cache_oracle(size: int = CACHE) -> str:
+    """q45_lru_hits by reuse distance: a hit if fewer than `size` other keys came since the key's last use (for small tables)."""
+    return (
+        f"WITH {events(Duck())}, r AS (SELECT ev.user_id, props AS k, row_number() OVER (PARTITION BY ev.user_id ORDER BY us, ev.event_id) AS n FROM ev JOIN events e ON e.event_id = ev.event_id AND e.user_id = ev.user_id), "
+        f"p AS (SELECT *, lag(n) OVER (PARTITION BY user_id, k ORDER BY n) AS before FROM r), h AS (SELECT p.user_id, p.n, p.before IS NOT NULL AND (SELECT count(DISTINCT q.k) FROM r q WHERE q.user_id = p.user_id AND q.n > p.before AND q.n < p.n) < {size} AS hit FROM p) "
+        f"SELECT user_id, count(*) AS lookups, count(*) FILTER (hit) AS hits, least({size}, (SELECT count(DISTINCT k) FROM r WHERE r.user_id = h.user_id)) AS held FROM h GROUP BY user_id"
+    )
 
 
 QUERIES = {
@@ -293,7 +301,6 @@ QUERIES = {
     "q40_bloom_probe_feed": bloom_probe,
     "q40_bloom_audit": bloom_audit,
     "q43_debounce": lambda d: f"WITH {events(d)}, i AS ({ISLANDS}), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS burst FROM i) SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS events, max(us) AS run_at, max(event_id) AS last_event FROM s GROUP BY user_id, burst",
-    "q43_in_flight": in_flight(),
     "q44_latest_verdict": lambda d: f"WITH {events(d)}, l AS (SELECT user_id, max_by({d.struct(event_id='event_id', event_type='event_type')}, {d.struct(us='us', e='event_id')}) AS e FROM ev GROUP BY user_id) SELECT user_id, e.event_id AS event_id, e.event_type AS event_type FROM l WHERE e.event_type <> 'error'",
     "q44_sequence_check": lambda d: f"WITH {events(d)} SELECT user_id, max_by(event_id, {d.struct(us='us', e='event_id')}) AS event_id, count(*) AS seq FROM ev GROUP BY user_id",
     "q45_lru": lambda d: f"WITH {events(d)}, k AS (SELECT user_id, value, max(us) AS used, max(event_id) AS e FROM ev GROUP BY user_id, value) SELECT user_id, e AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY used DESC, e DESC) AS rn FROM k) WHERE rn <= 32",

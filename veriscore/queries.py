@@ -12,6 +12,7 @@ from .engine import run as plan_of
 from .functions.homograph import punycode_signals
 from .functions.model_output import parse_model_output
 from .operators import evaluation, scoring
+from .operators.ordered import cached, ordered_fold, started
 from .plans import dims
 from .plans.blocklist import plan_row, short_list_row, spec_row
 from .plans.corpus import SCHEME
@@ -86,13 +87,38 @@ def q46_punycode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return punycode_signals(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long"), host.alias("host")).unionByName(probes))
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, event_id, us, props) of the events, us as the plans' texts have it."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(f"WITH {evaluation.events(Spark()).replace('event_type, value', 'event_type, value, props')} SELECT user_id, event_id, us, props FROM ev")
+
+
+def q43_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user and day: calls, those started, and the last one started. A call while the user's last started one is under way is dropped."""
+    rows = ordered_fold(event_rows(spark, sf_dir).drop("props"), "user_id", ["us", "event_id"], started(evaluation.IN_FLIGHT), "began", "boolean")
+    last = F.max_by(F.when(F.col("began"), F.col("event_id")), F.when(F.col("began"), F.struct("us", "event_id")))
+    return rows.groupBy("user_id", F.floor(F.col("us") / 86_400_000_000).alias("day")).agg(F.count("*").alias("calls"), F.count_if("began").alias("started"), last.alias("last_started"))
+
+
+def q45_lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: lookups in a cache of 32 keys that drops the one used longest ago, hits, and keys held at the end. An event's props are its key."""
+    rows = ordered_fold(event_rows(spark, sf_dir), "user_id", ["us", "event_id"], cached(evaluation.CACHE, "props"), "hit", "boolean")
+    kinds = rows.groupBy("user_id", "props").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"))
+    return kinds.groupBy("user_id").agg(F.sum("n").alias("lookups"), F.sum("h").alias("hits"), F.least(F.lit(evaluation.CACHE).cast("long"), F.count("props")).alias("held"))
+
+
+#: Queries that are no SQL text, and the oracle's texts of those that SQL can tell on small tables.
+OTHERS = {f.__name__: f for f in (q42_llm_json, q46_punycode, q43_in_flight, q45_lru_hits)}
+ORACLES = {"q43_in_flight": evaluation.in_flight_oracle(), "q45_lru_hits": evaluation.cache_oracle()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in TEXTS} | {"q42_llm_json": q42_llm_json, "q46_punycode": q46_punycode}
+    return {name: _query(name) for name in TEXTS} | OTHERS
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracle text by query, each built on its own: one that can't be built is left out."""
-    out = {}
+    out = dict(ORACLES)
     for name, f in TEXTS.items():
         try:
             out[name] = f(dialect(name, Duck))
