@@ -38,7 +38,7 @@ URL_CASES = [
     ("https://kerrytj.evil.tk/", set(), {"url.subdomain_brand_abuse"}, 25),
     ("https://xn--pple-43d.com/", {"url.punycode_label", "url.punycode_brand_lookalike"}, set(), 43),
     ("https://a.xn--mnchen-3ya.xn--mnchen-3ya.de/", {"url.punycode_label"}, {"url.punycode_brand_lookalike"}, 16),
-    ("https://pаypal.com/", {"url.mixed_script_label"}, set(), 20),
+    ("https://pаypal.com/", {"url.punycode_label", "url.punycode_brand_lookalike"}, {"url.mixed_script_label"}, 43),
     ("http://192.168.1.50:8080/p", {"url.ip_as_host", "url.nonstandard_port"}, set(), 38),
     ("http://[2001:db8::1]/x", {"url.ip_as_host"}, set(), 30),
     ("not a url", {"url.parse_failed"}, set(), 0),

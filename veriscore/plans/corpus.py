@@ -14,6 +14,7 @@ checks, and all forms count.
 from __future__ import annotations
 
 from . import dims
+from .urlparts import SCHEME, eval_levels, page_levels
 from .spec import DOM_SIGNALS, HIDDEN_IFRAMES_CAP, TINY_CAP, URL_SIGNALS
 
 #: (url, label) of the shaped pages.
@@ -48,7 +49,6 @@ USER_ALLOWED = ("example.edu",)
 #: Lists of the gates where none are given: names of the user, popular sites, institutions.
 LISTS = {"user": USER_ALLOWED, "popular": dims.POPULAR, "institutions": dims.INSTITUTIONS}
 ZERO_WIDTH, BIDI, TAGS = "[​-‍⁠﻿᠎]", "[‪-‮⁦-⁩]", "[\U000e0000-\U000e007f]"
-SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 #: A filled advert slot: what the simulated rendering adds to a page.
 RENDERED = '<form action="//ads.partner.net/poll"><input type="password" name="a"></form><iframe width="0" height="0"></iframe><div class="ad">sponsored '
 
@@ -97,17 +97,14 @@ def address(d, host: str) -> str:
     return f"({d.rx(host, r'^[0-9]{1,3}(\.[0-9]{1,3}){3}$')} OR {host} LIKE '[%')"
 
 
-def urls(d, source: str = "x") -> str:
+def urls(d, source: str = "x", mode: str = "page") -> str:
     """u: scheme, auth, host, port, path, site columns and decoded texts."""
-    port = d.ex("hp", ":([0-9]+)$")
+    levels = page_levels if mode == "page" else eval_levels
     return (
-        f"{corpus(d)}, a AS (SELECT *, lower({d.ex('url', SCHEME)}) AS scheme, {d.ex('url', SCHEME + '([^/?#]*)', 2)} AS auth, {d.ex('url', SCHEME + '[^/?#]*([^?#]*)', 2)} AS rawpath FROM {d.tables(source)} x0), "
-        f"b AS (SELECT *, {d.rep('auth', '^.*@', '')} AS hp FROM a), "
-        f"c AS (SELECT *, lower({d.rep('hp', ':[0-9]*$', '')}) AS host, CASE WHEN scheme = 'http' AND {port} = '80' OR scheme = 'https' AND {port} = '443' THEN '' ELSE {port} END AS port, "
-        f"CASE WHEN rawpath = '' THEN '/' ELSE rawpath END AS path, CASE WHEN rawpath = '' AND scheme <> '' THEN {d.rep('url', r'^([^?#]*)', r'\1/' if d.name == 'duckdb' else '$1/')} ELSE url END AS href FROM b), "
+        f"{corpus(d)}, {levels(d, f'{d.tables(source)} x0')}, "
         f"c1 AS (SELECT *, {d.suffixes_of('host')} AS rules, {address(d, 'host')} AS is_ip FROM c), "
         f"c2 AS (SELECT *, {site(d, 'host', 'rules')} AS etld1 FROM c1), "
-        f"u AS (SELECT *, scheme <> '' AND host <> '' AND NOT {d.rx('host', r'[\s<>^|]')} AS valid, lower(path) AS lpath, coalesce(split_part(etld1, '.', 1), '') AS label_part, {d.split('host', '.')} AS labels, "
+        f"u AS (SELECT *, usable AS valid, lower(path) AS lpath, coalesce(split_part(etld1, '.', 1), '') AS label_part, {d.split('host', '.')} AS labels, "
         f"CASE WHEN etld1 IS NULL OR length(host) <= length(etld1) THEN '' ELSE substring(host, 1, length(host) - length(etld1) - 1) END AS subdomain, "
         f"concat(href, ' ', {d.decoded('href')}) AS both_href, concat(host, ' ', {d.decoded('host')}) AS both_host, {d.rep('path', '[/._-]', '')} AS stripped FROM c2){step('u')}"
     )
@@ -238,7 +235,7 @@ def stage1(d, mode: str = "page") -> str:
     gated = [(k, str(w), f"gate = '{k}'", t) for k, (w, t) in marks.items()]
     signals = d.concat(fired(d, "stage1", before), *([label_signals(d)] if mode == "page" else []), fired(d, "stage1", after))
     return (
-        f"{urls(d)}, g0 AS (SELECT *, {gate(d)} AS gate FROM {d.with_bloom('u')} u0), {facts(d, 'g0', mode)}, "
+        f"{urls(d, mode=mode)}, g0 AS (SELECT *, {gate(d)} AS gate FROM {d.with_bloom('u')} u0), {facts(d, 'g0', mode)}, "
         f"g AS (SELECT *, CASE WHEN gate = '' THEN {signals} ELSE {fired(d, 'stage1', gated)} END AS sig1 FROM v), "
         f"g1 AS (SELECT *, CAST(least(100, {total(d, 'sig1')}) AS BIGINT) AS s1 FROM g){step('g1')}"
     )
@@ -375,7 +372,7 @@ def verdict(x: str) -> str:
 
 def features(d, mode: str = "page", html: str = "html") -> str:
     """h over all pages, without url signals."""
-    return f"{urls(d)}, {dom(d, 'u', mode, html)}, {dom_facts(d, mode)}"
+    return f"{urls(d, mode=mode)}, {dom(d, 'u', mode, html)}, {dom_facts(d, mode)}"
 
 
 def cascade(d, mode: str = "page") -> str:

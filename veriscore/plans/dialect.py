@@ -59,6 +59,16 @@ class Spark:
     def first(self, a: str) -> str:
         return f"get({a}, 0)"
 
+    def last(self, a: str) -> str:
+        return f"get({a}, size({a}) - 1)"
+
+    def ref(self, n: int) -> str:
+        """Group of a pattern in its replacement."""
+        return f"${n}"
+
+    def utf8(self, x: str) -> str:
+        return f"encode({x}, 'UTF-8')"
+
     def size(self, a: str) -> str:
         return f"size({a})"
 
@@ -175,6 +185,36 @@ class Spark:
         text = "decode(unhex(array_join(transform(s.out, q -> lpad(hex(q), 8, '0')), '')), 'UTF-32')"
         return f"aggregate(filter(split({coded}, ''), q -> q <> ''), {start}, (s, ch) -> {step}, s -> CASE WHEN s.ok AND s.k = 36 AND NOT exists(s.out, q -> q > 1114111 OR q BETWEEN 55296 AND 57343) THEN {text} ELSE {x} END)"
 
+    def to_punycode(self, x: str) -> str:
+        """xn-- form of a label beyond ASCII: RFC 3492. Its other characters, by code point and place, are what the fold goes over: each is
+        inserted among those before it, so a step needs only how many of them stand left of it."""
+        big = lambda v: f"CAST({v} AS BIGINT)"
+        point = "CAST(conv(hex(encode(q, 'UTF-32')), 16, 10) AS BIGINT)"
+        chars = f"transform(regexp_extract_all({x}, '(?s).', 0), (q, i) -> named_struct('c', {point}, 'i', {big('i')}))"
+        state = lambda n, i, h, b, out: f"named_struct('n', {n}, 'i', {i}, 'h', {h}, 'b', {b}, 'out', {out})"
+        digit = "substring('abcdefghijklmnopqrstuvwxyz0123456789', CAST({} + 1 AS INT), 1)"
+        t = "least(greatest(k * 36 - s.b, 1), 26)"
+        # The delta's digits, lowest first; w.done once the last is out.
+        spelled = (
+            "aggregate(sequence(1, 8), named_struct('q', y.delta, 'out', '', 'done', false), (w, k) -> CASE WHEN w.done THEN w "
+            f"WHEN w.q < {t} THEN named_struct('q', {big(0)}, 'out', concat(w.out, {digit.format('w.q')}), 'done', true) "
+            f"ELSE named_struct('q', {big(f'(w.q - {t}) div (36 - {t})')}, 'out', concat(w.out, {digit.format(f'({t} + (w.q - {t}) % (36 - {t}))')}), 'done', false) END, w -> w.out)"
+        )
+        first = f"(CASE WHEN s.h = y.basic THEN y.delta div 700 ELSE y.delta div 2 END)"
+        grown = f"({first} + {first} div (s.h + 1))"
+        bias = f"aggregate(sequence(1, 8), named_struct('d', {big(grown)}, 'k', {big(0)}), (q, v) -> CASE WHEN q.d > 455 THEN named_struct('d', q.d div 35, 'k', q.k + 36) ELSE q END, q -> {big('q.k + 36 * q.d div (q.d + 38)')})"
+        left = "size(filter(y0.all, e -> e.i < v.i AND (e.c < v.c OR e.c = v.c)))"
+        delta = "(v.c - s.n) * (s.h + 1) + x0 - s.i"
+        inner = f"transform(array(named_struct('delta', {big(delta)}, 'basic', {big('y0.basic')}, 'at', {big('x0')})), y -> {state('v.c', 'y.at + 1', 's.h + 1', bias, f'concat(s.out, {spelled})')})"
+        step = f"get(get(transform(array({big(left)}), x0 -> {inner}), 0), 0)"
+        basic = "filter(y0.all, e -> e.c < 128)"
+        start = state(big(128), big(0), big("y0.basic"), big(72), "''")
+        others = "array_sort(filter(y0.all, e -> e.c >= 128))"
+        head = f"CASE WHEN y0.basic > 0 THEN concat(array_join(transform({basic}, e -> chr(e.c)), ''), '-') ELSE '' END"
+        whole = f"concat('xn--', {head}, aggregate({others}, {start}, (s, v) -> {step}, s -> s.out))"
+        held = f"named_struct('all', ch, 'basic', {big('size(filter(ch, e -> e.c < 128))')})"
+        return f"get(transform(transform(array({chars}), ch -> {held}), y0 -> {whole}), 0)"
+
     def look(self, x: str) -> str:
         """A label in plain letters: lower case, wide forms and ligatures resolved."""
         return f"replace(replace(translate(lower({x}), {self.lit(WIDE)}, 'abcdefghijklmnopqrstuvwxyz0123456789-'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
@@ -226,6 +266,15 @@ class Duck(Spark):
     def first(self, a: str) -> str:
         return f"({a})[1]"
 
+    def last(self, a: str) -> str:
+        return f"({a})[len({a})]"
+
+    def ref(self, n: int) -> str:
+        return f"\\{n}"
+
+    def utf8(self, x: str) -> str:
+        return f"encode({x})"
+
     def size(self, a: str) -> str:
         return f"len({a})"
 
@@ -315,5 +364,8 @@ class Duck(Spark):
         bloom = f"SELECT {{'words': words, 'm': m, 'k': k}} AS bloom FROM ({filter_words(self, self.feed)})" if self.feed else fixed
         return f"(SELECT * FROM {source} CROSS JOIN (SELECT {self.map_of(dims.suffix_rules())} AS psl) CROSS JOIN ({bloom}))"
 
+    def to_punycode(self, x: str) -> str:
+        return f"CASE {x} " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in DECODED.items()) + f" ELSE {x} END"
+
     def punycode(self, x: str) -> str:
         return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DECODED.items()) + f" ELSE {x} END"
