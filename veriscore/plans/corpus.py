@@ -245,9 +245,34 @@ def total(d, signals: str) -> str:
     return d.fold(d.map(signals, "e", "e.weight"), "CAST(0 AS BIGINT)", "acc", "v", "acc + v")
 
 
+#: An attribute with its value, in double, single or no quotes.
+ATTRIBUTE = r"[^\s\"'<>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|[^\s\"'<>/=]+"
+#: Elements whose content is text, not markup, up to their end tag.
+RAW = ("script", "style", "title", "textarea")
+
+
+def tokens_of(d, raw=RAW) -> str:
+    """Pattern of a page's tokens: comments, elements of raw text whole, tags. A > inside quotes ends no tag; where quotes do not pair up, any > does.
+
+    What is not ended goes on to the end of the page, so a page is scanned once whatever it holds.
+    """
+    whole = "|".join(rf"<{name}(?:\s{d.TAG}|>).*?(?:</{name}\b[^>]*>|\z)" for name in raw)
+    return rf"(?is)<!--.*?(?:-->|\z)|{whole}|</?[a-z]{d.TAG}|</?[a-z][^>]*(?:>|\z)|<![^>]*(?:>|\z)"
+
+
+def attributes(d, tag: str) -> str:
+    """A tag's attributes as they are written, one string each; the first is its name."""
+    return d.all(tag, ATTRIBUTE)
+
+
+def picked(d, attrs: str, name: str) -> str:
+    """Value of an attribute in `attributes`, the first of a name; empty if there is none."""
+    value = d.ex(d.first(d.filter(attrs, "av", d.rx("av", rf"(?i)^{name}\s*="))), r"(?s)^[^=]*=\s*(.*)$")
+    return f"coalesce({d.trim(value, chr(34) + chr(39))}, '')"
+
+
 def attr(d, tag: str, name: str) -> str:
-    """Value of an attribute, in double, single or no quotes; empty if there is none."""
-    return d.trim(d.ex(tag, r"(?i)[\s\"'/]" + name + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), "\"'")
+    return picked(d, attributes(d, tag), name)
 
 
 def host_of(d, ref: str, own: str) -> str:
@@ -262,37 +287,44 @@ MOST_NODES = 5000
 def dom(d, source: str = "u", mode: str = "page", html: str = "html", p: str = "") -> str:
     """f: page features of source, after urls(d), in place of html; p is a prefix of the level's names."""
     most = (lambda a: d.slice(a, str(MOST_NODES))) if mode == "page" else (lambda a: a)
-    tags = lambda name: most(d.all("html", rf"(?i)<{name}\b[^>]*>"))
-    blank = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|" + (r"<title\b.*?</title>|" if mode == "page" else "") + "<[^>]+>"
-    field = d.map(tags("input"), "t", d.struct(type=f"lower({attr(d, 't', 'type')})", name=f"lower({attr(d, 't', 'name')})", place=attr(d, "t", "placeholder"), auto=f"lower({attr(d, 't', 'autocomplete')})", pattern=attr(d, "t", "pattern")))
-    roots = lambda fm: d.filter(d.map(d.filter(d.all(fm, r"(?i)<input\b[^>]*>"), "t", f"lower({attr(d, 't', 'type')}) IN ('text', '')"), "t", f"lower(trim({d.rep(f"CASE WHEN {attr(d, 't', 'name')} <> '' THEN {attr(d, 't', 'name')} ELSE {attr(d, 't', 'placeholder')} END", '[0-9]+$', '')}))"), "q", "q <> ''")
-    grids = d.map(d.all("html", r"(?is)<form\b.*?</form>"), "fm", d.struct(secret=d.any(d.all("fm", r"(?i)<input\b[^>]*>"), "t", f"lower({attr(d, 't', 'type')}) = 'password'"), roots=roots("fm"), sensitive=d.any(d.all("fm", r"(?i)<input\b[^>]*>"), "t", sensitive(d, "t"))))
+    named = lambda name: d.filter("toks", "t", d.rx("t", rf"(?i)^<(?:{name})[\s/>]"))
+    tags = lambda name: most(named(name))
+    blank = tokens_of(d, ("script", "style", "title") if mode == "page" else ("script", "style"))
+    field = d.map(d.map(tags("input"), "t", attributes(d, "t")), "ats", d.struct(type=f"lower({picked(d, "ats", 'type')})", name=f"lower({picked(d, "ats", 'name')})", place=picked(d, "ats", "placeholder"), auto=f"lower({picked(d, "ats", 'autocomplete')})", pattern=picked(d, "ats", "pattern")))
+    roots = lambda ins: d.filter(d.map(d.filter(ins, "t", f"lower({attr(d, 't', 'type')}) IN ('text', '')"), "t", f"lower(trim({d.rep(f"CASE WHEN {attr(d, 't', 'name')} <> '' THEN {attr(d, 't', 'name')} ELSE {attr(d, 't', 'placeholder')} END", '[0-9]+$', '')}))"), "q", "q <> ''")
+    # Forms with their fields, from the tokens alone: a form goes to the first end tag, or to the end of the page; one inside is none.
+    sep = chr(1)
+    parts = d.filter("toks", "t", d.rx("t", r"(?i)^</?form[\s/>]|^<input[\s/>]"))
+    forms = d.all(f"concat({d.lit(sep)}, {d.join(parts, sep)})", rf"(?is){sep}<form[\s/>].*?(?:{sep}</form|\z)")
+    inside_form = d.filter(d.split("fm", sep) if d.name == "duckdb" else f"split(fm, {d.lit(sep)})", "t", d.rx("t", r"(?i)^<input[\s/>]"))
+    grids = d.map(d.map(forms, "fm", d.struct(ins=inside_form)), "fs", d.struct(secret=d.any("fs.ins", "t", f"lower({attr(d, 't', 'type')}) = 'password'"), roots=roots("fs.ins"), sensitive=d.any("fs.ins", "t", sensitive(d, "t"))))
     dashed = lambda x: d.rep(x, r"[_\s]", "-")
     hidden = d.filter(tags("iframe"), "t", f"{d.rx(attr(d, 't', 'style'), '(?i)display *: *none|visibility *: *hidden')} OR {attr(d, 't', 'width')} IN ('0', '1') AND {attr(d, 't', 'height')} IN ('0', '1')")
-    active = d.filter(d.all("html", r"(?i)<[a-z][a-z0-9]*\b[^>]*\b(?:href|onclick)\s*=[^>]*>|<(?:button|form)\b[^>]*>"), "t", f"{d.rx('t', '(?i)^<(a|button|form)[\\s>]|[\\s]onclick')}")
+    active = d.filter("toks", "t", f"{d.rx('t', r'(?i)^<(?:button|form)[\s/>]')} OR {d.rx('t', r'(?i)^<a\s')} AND {d.any(attributes(d, 't'), 'av', d.rx('av', r'(?i)^(?:href|onclick)\s*='))} OR {d.rx('t', r'(?i)^<[a-z]')} AND instr(lower(t), 'onclick') > 0 AND {d.any(attributes(d, 't'), 'av', d.rx('av', r'(?i)^onclick\s*='))}")
     tiny = d.filter(d.slice(active, "500"), "t", d.rx(attr(d, "t", "style"), r"(?i)opacity *: *0*\.?0*(;|$| )|(left|top) *: *-[0-9]{4,}(\.[0-9]+)?px|(^|;| )width *: *[01]px.*height *: *[01]px"))
-    inline = d.slice(d.filter(d.all("html", r"(?is)<script\b[^>]*>.*?</script>"), "s", f"NOT {d.rx('s', r'(?is)^<script\b[^>]*\ssrc\s*=')}"), "30")
-    inside = f"substring({d.rep('s', '^<[^>]*>', '')}, 1, 4096)"
-    roots_tags = d.all("html", r"(?i)<(?:body|html)\b[^>]*>")
-    blocked = d.any(roots_tags, "t", " OR ".join(d.rx(attr(d, "t", a), dims.BLOCKING) for a in ("oncontextmenu", "onkeydown", "onkeyup", "onkeypress")))
-    divs = d.all("html", r"(?i)<div\b[^>]*(?:turnstile|h-captcha)[^>]*>")
-    widget = lambda name, word: f"{d.any(divs, 't', f"{d.rx(attr(d, 't', 'class'), rf'(^|\s){name}(\s|$)')} OR {d.rx('t', r'(?i)\sdata-sitekey')} AND instr(lower({attr(d, 't', 'class')}), '{word}') > 0")}"
-    sources = d.filter(d.map(tags("script"), "t", attr(d, "t", "src")), "q", "q <> ''")
+    opening = rf"(?is)^(<script(?:\s{d.TAG}|>))"
+    inline = d.slice(d.filter(named("script"), "s", f"{attr(d, d.ex('s', opening), 'src')} = ''"), "30")
+    inside = f"substring({d.rep('s', opening, '')}, 1, 4096)"
+    blocked = d.any(named("body|html"), "t", " OR ".join(d.rx(attr(d, "t", a), dims.BLOCKING) for a in ("oncontextmenu", "onkeydown", "onkeyup", "onkeypress")))
+    divs = d.filter(named("div"), "t", d.rx("t", "(?i)turnstile|h-captcha"))
+    widget = lambda name, word: f"{d.any('divs', 't', f"{d.rx(attr(d, 't', 'class'), rf'(^|\s){name}(\s|$)')} OR {d.any(attributes(d, 't'), 'av', d.rx('av', r'(?i)^data-sitekey'))} AND instr(lower({attr(d, 't', 'class')}), '{word}') > 0")}"
+    sources = d.filter(d.map(tags("script"), "t", attr(d, d.ex("t", opening), "src")), "q", "q <> ''")
     frames = d.filter(d.map(tags("iframe"), "t", attr(d, "t", "src")), "q", "q <> ''")
-    icon = d.first(d.map(d.filter(d.all("html", r"(?i)<link\b[^>]*>"), "t", f"{d.rx(attr(d, 't', 'rel'), r'(?i)(^|\s)icon(\s|$)|^apple-touch-icon$')} AND {attr(d, 't', 'href')} <> ''"), "t", attr(d, "t", "href")))
+    icon = d.first(d.map(d.filter(named("link"), "t", f"{d.rx(attr(d, 't', 'rel'), r'(?i)(^|\s)icon(\s|$)|^apple-touch-icon$')} AND {attr(d, 't', 'href')} <> ''"), "t", attr(d, "t", "href")))
     acts = d.map(tags("form"), "t", attr(d, "t", "action"))
     target = "CASE WHEN ac = '' THEN href ELSE ac END" if mode == "page" else "ac"  # a form without action posts to its page
     sample = f"trim({d.rep('substring(raw, 1, 2000)', r'\s+', ' ')})" if mode == "page" else f"substring(trim({d.rep('raw', r'\s+', ' ')}), 1, 2000)"
     kinds = d.concat(*(d.map(a, "h", d.struct(kind=f"'{k}'", h="h")) for k, a in (("act", "act_hosts"), ("script", "script_hosts"), ("icon", d.array("icon_host")))))
     placed = d.map(d.map(kinds, "k", d.struct(kind="k.kind", h="k.h", r="psl[split_part(k.h, '.', -1)]")), "k", d.struct(kind="k.kind", site=site(d, "k.h", "k.r")))
     of = lambda kind: d.distinct(d.map(d.filter("placed", "k", f"k.kind = '{kind}' AND k.site IS NOT NULL"), "k", "k.site"))
-    drop = "" if d.name == "duckdb" else " EXCEPT (html)"
+    drop = "" if d.name == "duckdb" else " EXCEPT (html, toks, divs)"
     return (
         f"{p}f0 AS (SELECT * REPLACE ({html} AS html) FROM {source}), " if d.name == "duckdb" else f"{p}f0 AS (SELECT * EXCEPT (html), {html} AS html FROM {source}), "
     ) + (
-        f"{p}f1 AS (SELECT *{drop}, trim({d.rep(d.ex('html', r'(?is)<title\b[^>]*>(.*?)</title>'), r'\s+', ' ')}) AS title, {d.rep('html', blank, ' ')} AS raw, {field} AS fields, {grids} AS grids, "
+        f"{p}f0a AS (SELECT *, {d.filter(d.all('html', tokens_of(d)), 't', f"t LIKE '%>' OR {d.rx('t', '(?i)^<script')}")} AS toks FROM {p}f0), {p}f0b AS (SELECT *, {divs} AS divs FROM {p}f0a), "
+        f"{p}f1 AS (SELECT *{drop}, trim({d.rep(f"coalesce({d.ex(d.first(named('title')), r'(?is)^<title[^>]*>(.*?)</title[^>]*>$')}, '')", r'\s+', ' ')}) AS title, {d.rep('html', blank, ' ')} AS raw, {field} AS fields, {grids} AS grids, "
         f"{acts} AS acts, {sources} AS sources, {icon} AS icon, CAST({d.size(hidden)} AS BIGINT) AS hidden_iframes, CAST({d.size(tiny)} AS BIGINT) AS tiny_elements, "
-        f"{blocked} OR {d.any(inline, 's', d.rx(inside, '|'.join(dims.ANTI_DEBUG)))} AS anti_debug, {widget('cf-turnstile', 'turnstile')} AS turnstile_div, {widget('h-captcha', 'h-captcha')} AS hcaptcha_div, {frames} AS frames FROM {p}f0), "
+        f"{blocked} OR {d.any(inline, 's', d.rx(inside, '|'.join(dims.ANTI_DEBUG)))} AS anti_debug, {widget('cf-turnstile', 'turnstile')} AS turnstile_div, {widget('h-captcha', 'h-captcha')} AS hcaptcha_div, {frames} AS frames FROM {p}f0b), "
         f"{p}f2 AS (SELECT *, {sample} AS text, CAST(length(trim({d.rep('raw', r'\s+', ' ')})) AS BIGINT) AS full_len, "
         f"{d.any('fields', 'i', "i.type = 'password'")} AS has_pw, {d.any('fields', 'i', f"instr(i.auto, 'one-time-code') > 0 OR {d.rx('i.name', dims.OTP_NAMES)}")} AS has_otp, "
         f"{d.any('fields', 'i', f"{d.rx('i.auto', 'cc-number|^cc-csc$|^cc-exp$')} OR {d.rx(dashed('i.name'), dims.CARD_NAMES)} OR {d.rx('lower(i.place)', dims.CARD_PLACEHOLDERS)}")} AS has_card, "

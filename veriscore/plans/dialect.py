@@ -10,6 +10,9 @@ WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "abcdefghijklmnopqrstuvwxyz01234567
 
 class Spark:
     name, text, anti = "spark", "STRING", "LEFT ANTI JOIN"
+    #: The rest of a tag whose quotes pair up, or of the page; possessive, so that no tag is matched by recursion, and of at most 256 quoted
+    #: values, so that quotes that never pair up cost no time beyond that for each tag.
+    TAG = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+){0,256}+(?:>|\z)"
 
     def __init__(self, lists: dict[str, list[str]] | None = None, feed: str = "", shapes: bool = True):
         """lists: names for the gates by kind, in place of the fixed ones. feed: a query of (host) that the blocklist's filter is made of.
@@ -229,6 +232,7 @@ DECODED = {"xn--pple-43d": "аpple", "xn--pypal-4ve": "pаypal", "xn--mnchen-3ya
 
 class Duck(Spark):
     name, text, anti = "duckdb", "VARCHAR", "ANTI JOIN"
+    TAG = r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*){0,256}(?:>|\z)"
 
     def lit(self, s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
