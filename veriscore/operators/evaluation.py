@@ -43,26 +43,50 @@ def sweep(thresholds):
     return cascade(select)
 
 
-def bootstrap(replicates: int = 200, blocks: int = 1024):
-    """95 % intervals at threshold 50 from `replicates` resamples.
+#: From this variance on a binomial draw is a rounded normal one; below, the inverse of its distribution, whose mean is then under 50.
+NORMAL_FROM = 25
 
-    Pages fall into blocks by an integer hash of their id, and a resample draws blocks: each block counts Poisson(1) times, by an integer
-    hash of block and replicate. Pages meet no replicate, only the blocks' counts do. Bounds are values at the nearest rank.
+
+def binomial(d, n: str, p: str, uniform: str, normal: str) -> str:
+    """A draw of Binomial(n, p), from a number in (0, 1) or a standard normal one."""
+    w = f"least({p}, 1 - {p})"
+    step = f"CASE WHEN s.c <= {uniform} THEN {d.struct(c='s.c + s.f', f=f'greatest(s.f * ({n} - s.x) / (s.x + 1) * {w} / (1 - {w}), 0.0)', x='s.x + 1')} ELSE s END"
+    zero = d.struct(c="CAST(0 AS DOUBLE)", f=f"pow(1 - {w}, {n})", x="CAST(0 AS DOUBLE)")
+    found = f"({d.fold(d.map(d.seq('0', '200'), 'i', zero), zero, 's', 'v', step)}).x - 1"
+    rounded = f"floor({n} * {w} + sqrt({n} * {w} * (1 - {w})) * {normal} + 0.5)"
+    small = f"greatest(0.0, least(CAST({n} AS DOUBLE), CASE WHEN {n} * {w} * (1 - {w}) < {NORMAL_FROM} THEN {found} ELSE {rounded} END))"
+    return f"CAST(CASE WHEN {n} = 0 OR {p} <= 0 THEN 0 WHEN {p} >= 1 THEN {n} WHEN {p} > 0.5 THEN {n} - {small} ELSE {small} END AS BIGINT)"
+
+
+def resamples(d, source: str, replicates: int) -> str:
+    """b3(r, tp, fp, fn, tn): resamples, with replacement, of the pages counted in the one row of source (tp, fp, fn, tn).
+
+    A confusion matrix of a resample depends on the four counts alone, so each is one multinomial draw, made as three binomial ones, each
+    of what the ones before left. Uniform numbers are 32 bits of a hash of replicate and place; normal ones are made of two of them.
     """
-    block = f"(page_id * 2654435761 % 4294967296 + 4294967296) % {blocks}"
-    draw = "((block * 2654435761 + r * 40503 + (block * 7919 + r * 104729) % 65537 * 69069) % 1048576)"
-    weight = f"CASE WHEN {draw} < 385750 THEN 0 WHEN {draw} < 771500 THEN 1 WHEN {draw} < 964375 THEN 2 WHEN {draw} < 1028666 THEN 3 ELSE 4 END"
+    uniform = lambda j: f"((CAST({d.hash32(f"concat('{j}:', r)")} AS DOUBLE) + 0.5) / 4294967296.0)"
+    normal = lambda j: f"sqrt(-2 * ln(u{j})) * cos(2 * pi() * v{j})"
+    reps = d.unnest(d.seq("1", str(replicates)), source, "tp AS tp0, fp AS fp0, fn AS fn0, tn AS tn0", "r")
+    share = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0)"
+    return (
+        f"b0 AS (SELECT *, tp0 + fp0 + fn0 + tn0 AS n, {', '.join(f'{uniform(f'u{j}')} AS u{j}, {uniform(f'v{j}')} AS v{j}' for j in (1, 2, 3))} FROM ({reps}) b00), "
+        f"b1a AS (SELECT *, {share('tp0', 'n')} AS p1, {share('fp0', 'n - tp0')} AS p2, {share('fn0', 'fn0 + tn0')} AS p3 FROM b0), "
+        f"b1 AS (SELECT *, {binomial(d, 'n', 'p1', 'u1', normal(1))} AS tp FROM b1a), b2a AS (SELECT *, n - tp AS n2 FROM b1), b2 AS (SELECT *, {binomial(d, 'n2', 'p2', 'u2', normal(2))} AS fp FROM b2a), "
+        f"b3a AS (SELECT *, n2 - fp AS n3 FROM b2), b3b AS (SELECT *, {binomial(d, 'n3', 'p3', 'u3', normal(3))} AS fn FROM b3a), b3 AS (SELECT r, tp, fp, fn, n3 - fn AS tn FROM b3b)"
+    )
+
+
+def intervals(d, replicates: int) -> str:
+    """95 % intervals of the rates of b3, values at the nearest rank."""
     lo, hi = (round(q * (replicates - 1)) + 1 for q in (0.025, 0.975))
+    order = ", ".join(f"row_number() OVER (ORDER BY {m}) AS k_{m}" for m in ("precision_", "recall_", "f1", "fpr"))
+    ranked = ", ".join(f"max(CASE WHEN k_{m} = {k} THEN {m} END) AS {m}_{n}" for m in ("precision_", "recall_", "f1", "fpr") for n, k in (("lo", lo), ("hi", hi)))
+    return f"m AS ({rates('SELECT * FROM b3', 'r, ')}), o AS (SELECT {order}, precision_, recall_, f1, fpr FROM m) SELECT {ranked} FROM o"
 
-    def select(d):
-        cells = ", ".join(f"count(CASE WHEN label = {y} AND {c} THEN 1 END) AS {n}" for n, y, c in (("tp", 1, "total >= 50"), ("fp", 0, "total >= 50"), ("fn", 1, "total < 50"), ("tn", 0, "total < 50")))
-        reps = d.unnest(d.seq("0", str(replicates - 1)), "blocks", "block, tp, fp, fn, tn", "r")
-        sums = ", ".join(f"CAST(sum({n} * w) AS BIGINT) AS {n}" for n in ("tp", "fp", "fn", "tn"))
-        order = ", ".join(f"row_number() OVER (ORDER BY {m}) AS k_{m}" for m in ("precision_", "recall_", "f1", "fpr"))
-        ranked = ", ".join(f"max(CASE WHEN k_{m} = {k} THEN {m} END) AS {m}_{n}" for m in ("precision_", "recall_", "f1", "fpr") for n, k in (("lo", lo), ("hi", hi)))
-        return f", blocks AS (SELECT {block} AS block, {cells} FROM t GROUP BY {block}), drawn AS (SELECT r, tp, fp, fn, tn, {weight} AS w FROM ({reps})), sums AS (SELECT r, {sums} FROM drawn GROUP BY r), m AS ({rates('SELECT * FROM sums', 'r, ')}), o AS (SELECT {order}, precision_, recall_, f1, fpr FROM m) SELECT {ranked} FROM o"
 
-    return cascade(select)
+def bootstrap(replicates: int = 1000):
+    """95 % intervals at threshold 50 from `replicates` resamples of the rows. Pages are counted once; replicates meet the counts only."""
+    return cascade(lambda d: f", cells AS (SELECT {CELLS} FROM (SELECT label AS y, total >= 50 AS p FROM t)), {resamples(d, 'cells', replicates)}, {intervals(d, replicates)}")
 
 
 def per_signal(distinct: bool):
@@ -75,9 +99,11 @@ def per_signal(distinct: bool):
         share = d.even("CAST(on_bad AS DOUBLE) / fires", 3)
         if not distinct:
             return f" SELECT id, fires, on_bad, on_good, {share} AS precision_ FROM (SELECT id, {counts} FROM ({long}) GROUP BY id)"
-        size = "SELECT count(CASE WHEN label = 1 THEN 1 END) AS bad, count(CASE WHEN label = 0 THEN 1 END) AS good FROM t"
-        rate = lambda a, b: d.even(f"coalesce(CAST({a} AS DOUBLE) / nullif((SELECT {b} FROM sizes), 0), 0.0)", 3)
-        return f", sizes AS ({size}) SELECT id, fires, on_bad, on_good, {share} AS precision_, {rate('on_bad', 'bad')} AS rate_bad, {rate('on_good', 'good')} AS rate_good, CAST(row_number() OVER (ORDER BY {share} DESC, fires DESC, id) AS BIGINT) AS place FROM (SELECT id, {counts} FROM ({long}) GROUP BY id)"
+        # A name of no signal in every row counts the pages of each label in the same pass.
+        rows = d.unnest(d.concat(d.array("''"), ids), "t", "label", "id")
+        rate = lambda a: d.even(f"coalesce(CAST({a} AS DOUBLE) / nullif(max(CASE WHEN id = '' THEN {a} END) OVER (), 0), 0.0)", 3)
+        counted = f"SELECT id, fires, on_bad, on_good, {share} AS precision_, {rate('on_bad')} AS rate_bad, {rate('on_good')} AS rate_good FROM (SELECT id, {counts} FROM ({rows}) GROUP BY id)"
+        return f" SELECT id, fires, on_bad, on_good, precision_, rate_bad, rate_good, CAST(row_number() OVER (ORDER BY precision_ DESC, fires DESC, id) AS BIGINT) AS place FROM (SELECT * FROM ({counted}) WHERE id <> '')"
 
     return cascade(select)
 
@@ -113,18 +139,36 @@ DRIFT = ("has_pw", "body_len", "n_actions", "hidden_iframes", "n_foreign", "titl
 
 
 def twins(d) -> str:
-    """st, rn: features per url of the pages with a title as they are, and of the pages with an advert or a form after a simulated rendering. Of repeated urls the last counts."""
-    last = lambda f: ", ".join(f"max_by({c}, page_id) AS {c}" for c in (*DRIFT, "has_card"))
+    """p: per url, features of the last of its pages with a title as they are (st), and of the last of its pages with an advert or a form after
+    a simulated rendering (rn); null where there is none. Both feature sets are columns of the page's own row: one scan, one aggregate."""
+    last = lambda name, c: f"max_by(CASE WHEN {c} THEN {name} END, CASE WHEN {c} THEN page_id END)"
     rendered = f"replace(html, {d.lit('<div class="ad">')}, {d.lit(C.RENDERED)})"
+    kept = "page_id, url, scheme, host, href, etld1" + (", psl" if d.name == "duckdb" else "")
+    features = d.struct(**{c: c for c in (*DRIFT, "has_card")})
     return (
-        f"WITH {C.urls(d)}, us AS (SELECT * FROM u WHERE instr(html, '<title>') > 0), ur AS (SELECT * FROM u WHERE instr(html, '<form') > 0 OR instr(html, 'class=\"ad\"') > 0), "
-        f"{C.dom(d, 'us', p='s_').replace(C.step('s_f'), '')}, {C.dom(d, 'ur', html=rendered, p='r_').replace(C.step('r_f'), '')}, st AS (SELECT url, {last('s')} FROM s_f GROUP BY url), rn AS (SELECT url, {last('r')} FROM r_f GROUP BY url)"
+        f"WITH {C.urls(d)}, us AS (SELECT {kept}, html, html AS page FROM u), {C.dom(d, 'us', p='s_')}, "
+        f"ur AS (SELECT {kept}, page AS html, instr(page, '<title>') > 0 AS as_is, instr(page, '<form') > 0 OR instr(page, 'class=\"ad\"') > 0 AS shown, {features} AS st0 FROM s_f), {C.dom(d, 'ur', html=rendered, p='r_')}, "
+        f"p AS (SELECT url, {last('st0', 'as_is')} AS st, {last(features, 'shown')} AS rn FROM r_f GROUP BY url)"
     )
 
 
 def drift(d):
-    counts = ", ".join(f"count(CASE WHEN st.{c} <> rn.{c} THEN 1 END) AS {c}" for c in DRIFT)
-    return f"{twins(d)}, j AS (SELECT count(*) AS joined, {counts}, count(CASE WHEN NOT st.has_pw AND rn.has_pw THEN 1 END) AS password_by_script, count(CASE WHEN st.n_actions = 0 AND rn.n_actions > 0 THEN 1 END) AS form_by_script, count(CASE WHEN rn.turnstile AND NOT st.turnstile THEN 1 END) AS wall_only_rendered FROM st JOIN rn ON st.url = rn.url), left_only AS (SELECT count(*) AS only_static FROM st {d.anti} rn ON st.url = rn.url), right_only AS (SELECT count(*) AS only_rendered FROM rn {d.anti} st ON st.url = rn.url) SELECT * FROM j CROSS JOIN left_only CROSS JOIN right_only"
+    both = "st IS NOT NULL AND rn IS NOT NULL"
+    count = lambda c, name: f"count(CASE WHEN {c} THEN 1 END) AS {name}"
+    counts = [count(both, "joined"), *(count(f"{both} AND st.{c} <> rn.{c}", c) for c in DRIFT), count(f"{both} AND NOT st.has_pw AND rn.has_pw", "password_by_script"), count(f"{both} AND st.n_actions = 0 AND rn.n_actions > 0", "form_by_script"), count(f"{both} AND rn.turnstile AND NOT st.turnstile", "wall_only_rendered"), count("st IS NOT NULL AND rn IS NULL", "only_static"), count("st IS NULL AND rn IS NOT NULL", "only_rendered")]
+    return f"{twins(d)} SELECT {', '.join(counts)} FROM p"
+
+
+def left_join_proxy(d):
+    """Pages as they are, with what their rendered twin has, if there is one."""
+    rows = d.filter(d.array(d.struct(url="url", has_pw="st.has_pw", rendered_actions="coalesce(CAST(rn.n_actions AS BIGINT), -1)", rendered="rn IS NOT NULL")), "row", "st IS NOT NULL")
+    return f"{twins(d)} SELECT e.url AS url, e.has_pw AS has_pw, e.rendered_actions AS rendered_actions, e.rendered AS rendered FROM ({d.unnest(rows, 'p', 'url AS u0', 'e')})"
+
+
+def union_dedup(d):
+    """Names of all urls and hosts, each once, with the first page that has it: both names of a row from one scan."""
+    names = d.filter(d.array(normalised(d, "url"), normalised(d, "host")), "nm", "nm IS NOT NULL")
+    return f"WITH {C.urls(d)} SELECT domain, min(page_id) AS first_seen, count(*) AS copies FROM ({d.unnest(names, 'u', 'page_id', 'domain')}) GROUP BY domain"
 
 
 def what_if(d):
@@ -145,26 +189,22 @@ def pairs(d):
 EXTERNAL = {"evil": "SOCIAL_ENGINEERING", ".tk/": "MALWARE", "acct-": "SOCIAL_ENGINEERING"}
 
 
-def external(d) -> str:
-    """ex(url, threats): matches of the external service, several rows a url in its reply, collected per url."""
-    rows = " UNION ALL ".join(f"SELECT url, '{threat}' AS threat FROM x WHERE instr(url, '{part}') > 0" for part, threat in EXTERNAL.items())
-    collected = "array_join(array_sort(collect_set(threat)), '|')" if d.name == "spark" else "string_agg(DISTINCT threat, '|' ORDER BY threat)"
-    return f"ex AS (SELECT url, {collected} AS threats FROM ({rows}) GROUP BY url)"
-
-
-def external_join(d):
-    return f"WITH {C.corpus(d)}, {external(d)} SELECT x.page_id AS page_id, x.url AS url, coalesce(ex.threats, '') AS threats FROM x LEFT JOIN ex ON x.url = ex.url"
+def threats(d) -> str:
+    """Threats of the stand-in service for a url, each once, in order, as one text."""
+    found = d.distinct(d.map(d.filter(d.entries(EXTERNAL), "kv", "instr(url, kv.key) > 0"), "kv", "kv.value"))
+    return d.join(d.sort(found), "|")
 
 
 def external_rollup(d):
     """Confusion of the external service per part of the corpus and for all of it."""
-    return f"WITH {C.corpus(d)}, {external(d)}, parts AS (SELECT x.part AS part, x.label AS y, ex.threats IS NOT NULL AS p FROM x LEFT JOIN ex ON x.url = ex.url) SELECT coalesce(part, 'combined') AS part, {CELLS} FROM parts GROUP BY GROUPING SETS ((part), ())"
+    return f"WITH {C.corpus(d)}, parts AS (SELECT part, label AS y, {threats(d)} <> '' AS p FROM x) SELECT coalesce(part, 'combined') AS part, {CELLS} FROM parts GROUP BY GROUPING SETS ((part), ())"
 
 
 def tier_summary(d):
-    """Pages caught at 50 and at 85 and emissions per signal, in the evaluation dialect with all signals summed."""
-    long = d.unnest(d.map("sig", "e", "e.id"), "t", "page_id, total", "id")
-    return f"WITH {C.cascade(d, 'eval')}, n AS (SELECT 'pages' AS name, count(*) AS n FROM t UNION ALL SELECT 'caught_50' AS name, count(CASE WHEN total >= 50 THEN 1 END) AS n FROM t UNION ALL SELECT 'caught_85' AS name, count(CASE WHEN total >= 85 THEN 1 END) AS n FROM t UNION ALL SELECT id AS name, count(*) AS n FROM ({long}) GROUP BY id) SELECT name, n FROM n"
+    """Pages caught at 50 and at 85 and emissions per signal, in the evaluation dialect with all signals summed: a row's names, counted in one pass."""
+    some = lambda c, name: f"CASE WHEN {c} THEN {d.array(f"'{name}'")} ELSE {d.slice(d.array("''"), '0')} END"
+    names = d.concat(d.array("'pages'"), some("total >= 50", "caught_50"), some("total >= 85", "caught_85"), d.map("sig", "e", "e.id"))
+    return f"WITH {C.cascade(d, 'eval')} SELECT name, count(*) AS n FROM ({d.unnest(names, 't', 'page_id', 'name')}) GROUP BY name"
 
 
 #: The feed of the blocklist queries: hosts of the table's own pages that are served without encryption.
@@ -193,7 +233,7 @@ def bloom_base64(d):
 
 def bloom_probe(d):
     """Every distinct host against the filter, its bits tested in the row."""
-    return f"WITH {C.urls(d)}, q AS (SELECT DISTINCT host, CAST(NULL AS {d.text}) AS etld1 FROM u WHERE host <> '') SELECT host, {C.bloom_hit(d)} AS hit FROM {d.bloomed('q')} q0"
+    return f"WITH {C.urls(d)}, q AS (SELECT DISTINCT host, CAST(NULL AS {d.text}) AS etld1 FROM ({C.kept(d, 'u', "host <> ''", host='host')}) u1) SELECT host, {C.bloom_hit(d)} AS hit FROM {d.bloomed('q')} q0"
 
 
 def bloom_audit(d):
@@ -206,20 +246,29 @@ def bloom_audit(d):
 
 MIX = "((page_id * 2654435761 % 4294967296 + 4294967296) % 4294967296)"
 # Top-level names and brands with a bucket of their own.
-BUCKET_TLDS = "tk ml ga cf gq xyz top click zip mov country".split()
-BUCKET_BRANDS = "paypal microsoft google apple amazon".split()
+BUCKET_TLDS = "tk ml ga cf gq top xyz click zip mov quest".split()
+BUCKET_BRANDS = "paypal microsoft apple google amazon".split()
 
 
 def buckets(d) -> str:
-    return f"CASE WHEN NOT valid THEN 'unparseable' WHEN is_ip THEN 'ip-host' WHEN {C.listed(d, "split_part(host, '.', -1)", BUCKET_TLDS)} THEN concat('susp-tld-', split_part(host, '.', -1)) WHEN {d.rx('host', '|'.join(BUCKET_BRANDS))} THEN 'brand-in-host' ELSE 'other' END"
+    """Coarse bucket of a url by its host."""
+    return f"CASE WHEN host = '' THEN '(unparseable)' WHEN {d.rx('host', '^[0-9.]*[0-9][0-9.]*$')} THEN 'ip-host' WHEN {C.listed(d, "split_part(host, '.', -1)", BUCKET_TLDS)} THEN concat('susp-tld-', split_part(host, '.', -1)) WHEN {d.rx('host', '|'.join(BUCKET_BRANDS))} THEN 'brand-in-host' ELSE 'other' END"
+
 
+def stratified(wanted: int = 100, harmless: int = 50):
+    """A golden set: of the bad pages max(1, wanted / buckets) of each url bucket, at most `wanted` in all, and `harmless` of the others.
 
-def stratified(wanted: int = 60):
-    """max(1, wanted / buckets) pages of each url bucket, in an order by an integer hash, and at most `wanted` in all."""
+    Order is an integer hash. The first `wanted` of each bucket are taken before the buckets are counted, a bound that is known to the plan:
+    partitions hand on that many rows a bucket, and the rest goes on with a few hundred rows, from one scan.
+    """
 
     def text(d):
-        ranked = f"SELECT page_id, bucket, mix, row_number() OVER (PARTITION BY bucket ORDER BY mix, page_id) AS rn FROM (SELECT page_id, {MIX} AS mix, {buckets(d)} AS bucket FROM u)"
-        return f"WITH {C.urls(d)}, r AS ({ranked}), q AS (SELECT greatest(1, {d.div(str(wanted), 'count(DISTINCT bucket)')}) AS each_ FROM r) SELECT page_id, bucket FROM (SELECT page_id, bucket, row_number() OVER (ORDER BY mix, page_id) AS place FROM r CROSS JOIN q WHERE rn <= each_) WHERE place <= {wanted}"
+        rows = f"SELECT page_id, label, {MIX} AS mix, CASE WHEN label = 1 THEN {buckets(d)} ELSE 'harmless' END AS bucket FROM u"
+        first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY mix, page_id) AS rn FROM ({rows}) q0) q1 WHERE rn <= {wanted}"
+        each = f"CASE WHEN label = 1 THEN greatest(1, {d.div(str(wanted), 'nullif(sum(CASE WHEN label = 1 AND rn = 1 THEN 1 ELSE 0 END) OVER (), 0)')}) ELSE {harmless} END"
+        return (
+            f"WITH {C.urls(d, mode='eval')}, r AS ({first}), q AS (SELECT *, {each} AS each_ FROM r) SELECT page_id, label, bucket FROM (SELECT page_id, label, bucket, row_number() OVER (PARTITION BY label ORDER BY mix, page_id) AS place FROM q WHERE rn <= each_) q2 WHERE place <= {wanted}"
+        )
 
     return text
 
@@ -273,6 +322,11 @@ def cache_oracle(size: int = CACHE) -> str:
     )
 
 
+def by_scheme(d) -> str:
+    """Hosts with whether any of their urls is plain http, and any https: both sides of a set operation in one aggregate of one scan."""
+    return f", by_scheme AS (SELECT host, max(CASE WHEN scheme = 'http' THEN 1 ELSE 0 END) = 1 AS plain, max(CASE WHEN scheme = 'https' THEN 1 ELSE 0 END) = 1 AS secure FROM u GROUP BY host)"
+
+
 QUERIES = {
     "q25_confusion": cascade(" " + rates(f"SELECT {CELLS} FROM (SELECT label AS y, total >= 50 AS p FROM t)")),
     "q25_confusion_documents": lambda d: rates(f"SELECT {CELLS} FROM (SELECT toxic AS y, quality = 0 AS p FROM labels JOIN documents ON labels.doc_id = documents.doc_id)"),
@@ -287,14 +341,13 @@ QUERIES = {
     "q32_side_by_side": side_by_side(False),
     "q32_force_model": side_by_side(True),
     "q33_drift": drift,
-    "q34_left_join_proxy": lambda d: f"{twins(d)} SELECT st.url AS url, st.has_pw AS has_pw, coalesce(CAST(rn.n_actions AS BIGINT), -1) AS rendered_actions, rn.url IS NOT NULL AS rendered FROM st LEFT JOIN rn ON st.url = rn.url",
-    "q34_external_join": external_join,
+    "q34_left_join_proxy": left_join_proxy,
     "q35_whatif_allowlist": cascade(what_if, llm),
     "q36_pairs": cascade(pairs),
     "q37_stratified": stratified(),
-    "q38_union_dedup": lambda d: f"WITH {C.urls(d)}, n AS (SELECT page_id AS ord, {normalised(d, 'url')} AS domain FROM u UNION ALL SELECT page_id AS ord, {normalised(d, 'host')} AS domain FROM u) SELECT domain, min(ord) AS first_seen, count(*) AS copies FROM n WHERE domain IS NOT NULL GROUP BY domain",
-    "q38_set_difference": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE scheme = 'http' EXCEPT SELECT host FROM u WHERE scheme = 'https'",
-    "q38_set_intersect": lambda d: f"WITH {C.urls(d)} SELECT host FROM u WHERE scheme = 'http' INTERSECT SELECT host FROM u WHERE scheme = 'https'",
+    "q38_union_dedup": union_dedup,
+    "q38_set_difference": lambda d: f"WITH {C.urls(d)}{by_scheme(d)} SELECT host FROM by_scheme WHERE plain AND NOT secure",
+    "q38_set_intersect": lambda d: f"WITH {C.urls(d)}{by_scheme(d)} SELECT host FROM by_scheme WHERE plain AND secure",
     "q39_bloom_build": bloom_build,
     "q39_bloom_base64": bloom_base64,
     "q40_bloom_probe": bloom_probe,

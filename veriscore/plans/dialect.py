@@ -72,6 +72,10 @@ class Spark:
     def utf8(self, x: str) -> str:
         return f"encode({x}, 'UTF-8')"
 
+    def hash32(self, x: str) -> str:
+        """A number below 2^32 from a text."""
+        return f"CAST(conv(substring(md5({x}), 1, 8), 16, 10) AS BIGINT)"
+
     def size(self, a: str) -> str:
         return f"size({a})"
 
@@ -279,6 +283,9 @@ class Duck(Spark):
     def utf8(self, x: str) -> str:
         return f"encode({x})"
 
+    def hash32(self, x: str) -> str:
+        return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+
     def size(self, a: str) -> str:
         return f"len({a})"
 

@@ -13,11 +13,12 @@ from .functions.homograph import punycode_signals
 from .functions.model_output import parse_model_output
 from .operators import evaluation, scoring
 from .operators.ordered import cached, ordered_fold, started
-from .plans import dims
+from .plans import corpus, dims
 from .plans.blocklist import plan_row, short_list_row, spec_row
 from .plans.corpus import SCHEME
 from .plans.dialect import Duck, Spark
 from .plans.dims import suffix_frame
+from .sources.lookup import looked_up
 
 TEXTS = scoring.QUERIES | evaluation.QUERIES
 TABLES = ("pages", "documents", "labels", "events")
@@ -107,9 +108,22 @@ def q45_lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.groupBy("user_id").agg(F.sum("n").alias("lookups"), F.sum("h").alias("hits"), F.least(F.lit(evaluation.CACHE).cast("long"), F.count("props")).alias("held"))
 
 
+def stand_in(urls: list[str]) -> list[tuple[str, str]]:
+    """Stand-in for the external service: threats by parts of a url, several matches a url."""
+    return [(u, threat) for u in urls for part, threat in evaluation.EXTERNAL.items() if part in u]
+
+
+def q34_external_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the threats of its url: distinct urls are looked up in groups, and joined back."""
+    spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).createOrReplaceTempView("pages")
+    rows = spark.sql(f"WITH {corpus.corpus(Spark())} SELECT page_id, url FROM x")
+    found = looked_up(rows, stand_in, per_second=1e6).select("url", "threats")
+    return rows.join(found, "url", "left").select("page_id", "url", F.coalesce(F.array_join("threats", "|"), F.lit("")).alias("threats"))
+
+
 #: Queries that are no SQL text, and the oracle's texts of those that SQL can tell on small tables.
-OTHERS = {f.__name__: f for f in (q42_llm_json, q46_punycode, q43_in_flight, q45_lru_hits)}
-ORACLES = {"q43_in_flight": evaluation.in_flight_oracle(), "q45_lru_hits": evaluation.cache_oracle()}
+OTHERS = {f.__name__: f for f in (q42_llm_json, q46_punycode, q34_external_join, q43_in_flight, q45_lru_hits)}
+ORACLES = {"q34_external_join": f"WITH {corpus.corpus(Duck())} SELECT page_id, url, {evaluation.threats(Duck())} AS threats FROM x", "q43_in_flight": evaluation.in_flight_oracle(), "q45_lru_hits": evaluation.cache_oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
