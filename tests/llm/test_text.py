@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veriscore.llm import flac
 from veriscore.llm.bpe_stream import WordEncoder, decode, decode_documents, encode_decode_digest, encode_documents, sufficient_lookahead
+from veriscore.llm.common import staged
 from veriscore.llm.jaccard import connected_components, jaccard_components, one_of_each, shingles
 from veriscore.llm.quality import SQL, keep_good, quality_features, quality_table
 from veriscore.llm.registry import WORD_BPE, op4_toxicity, op5_bpe_stream, op7_quality_rules, op8_flac_column, op9_jaccard_join
@@ -232,6 +234,23 @@ def test_streams_of_other_encoders_are_read_with_own_ones():
         flac.read_streams([other[:-9] + b"x" + other[-8:]])
 
 
+def test_quantised_predictors_are_written_and_read_at_once():
+    """Slow waves are coded by quantised linear predictors; both readers agree, and a stream's bytes do not depend on its batch."""
+    t = np.arange(576 * 40)
+    rng = np.random.default_rng(4)
+    waves = [((60 * np.sin(t / f) + 30 * np.sin(t / 3.1 + f) + rng.normal(0, 2, len(t))).astype(np.int64) + flac.CENTRE & 255).astype(np.uint8).tobytes() for f in (2.3, 7.7, 40.0)]
+    payloads = [*waves, flac.pad(b"words and more words " * 300), bytes(576 * 3)]
+    streams = flac.encode_payloads(payloads)
+    assert flac.decode_streams(streams) == payloads and streams == [flac.encode_payloads([p])[0] for p in payloads]
+    kinds = set()
+    for p, s in zip(payloads, streams):
+        assert ((flac.decode_any(s) + flac.CENTRE) % 256).astype(np.uint8).tobytes() == p
+        data, (_, at) = np.frombuffer(s, np.uint8), flac._layout(s)
+        starts = flac.frame_starts(data, np.array([at]), np.array([len(s)]), np.array([len(p) // 576]))
+        kinds |= {int(data[a + 5 + flac.LEADS[data[a + 4]]] >> 1) for a in starts}
+    assert any(k >= 32 for k in kinds)
+
+
 def test_flac_table_values(spark, sf):
     texts = texts_of(spark, sf)
     media = {r.doc_id: bytes(r.media) for r in flac.flac_column(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
@@ -246,13 +265,24 @@ def test_flac_table_values(spark, sf):
 
 def test_flac_rows(spark, odd, sf):
     media = flac.flac_column(odd)
-    rows = {r.doc_id: r for r in flac.media_digest(media).collect()}
+    written = staged(flac.pcm_blocks(media, 2), "pcm")
+    rows = {r.doc_id: r for r in flac.media_digest(written).collect()}
     payload = flac.pad(ODD[10].encode())
     assert rows[10].payload_sha256 == hashlib.sha256(payload).hexdigest() and rows[10].tail_crc32 == zlib.crc32(payload[-32:]) and rows[10].n_bytes == len(ODD[10].encode())
     assert rows[13][2:] == rows[14][2:] and rows[0].payload_bytes == 576
     blocks = sorted(flac.pcm_blocks(media.where("doc_id = 8")).collect(), key=lambda r: r.block)
     assert b"".join(r.pcm for r in blocks) == flac.pad(ODD[8].encode()) and [r.first_sample for r in blocks] == [576 * r.block for r in blocks]
-    assert flac.media_digest(flac.flac_column(odd.limit(0))).count() == 0
+    assert flac.media_digest(flac.pcm_blocks(flac.flac_column(odd.limit(0)))).count() == 0
+    whole = flac.pad(ODD[8].encode())
+    for first, length in ((0, 1), (570, 20), (1151, 700), (len(whole) - 5, 50), (0, len(whole))):
+        found = flac.pcm_range(written.where("doc_id = 8"), F.lit(first), length).collect()
+        assert [(r.first_sample, bytes(r.pcm)) for r in found] == [(first, whole[first : first + length])]
+    assert flac.pcm_range(written.where("doc_id = 8"), F.lit(len(whole)), 9).count() == 0
+    broken = written.withColumn("pcm", F.when(F.col("doc_id") == 8, F.concat(F.lit(b"?"), F.expr("substring(pcm, 2, n_samples - 1)"))).otherwise(F.col("pcm")))
+    with pytest.raises(Exception, match="bad block"):
+        flac.media_digest(broken).collect()
+    with pytest.raises(Exception, match="blocks are missing"):
+        flac.media_digest(written.where("doc_id != 8 or block = 0")).collect()
     texts = texts_of(spark, sf)
     assert all(r.payload_sha256 == hashlib.sha256(flac.pad(texts[r.doc_id].encode())).hexdigest() for r in op8_flac_column(spark, sf).collect())
 

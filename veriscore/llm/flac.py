@@ -1,11 +1,14 @@
 """Lossless FLAC columns for byte payloads (8-bit mono), and PCM blocks with seekable sample offsets.
 
 Streams follow the public FLAC format (RFC 9639): STREAMINFO with the MD5 of the samples, a seek point every 32 frames, frames of
-576 samples with CRC-8 and CRC-16. A frame is constant, verbatim, or a fixed linear predictor of order 0 to 4 with a Rice-coded
-residual, whichever is shortest. Coding and decoding run over all frames of a batch at once: a step of the loop handles one
-sample of every frame. `decode_any` is the plain reader for streams of other encoders: quantised linear predictors, Rice
+576 samples with CRC-8 and CRC-16. A frame is constant, verbatim, or a fixed (order 0 to 4) or quantised (order 1 to 8) linear
+predictor with a Rice-coded residual, whichever is shortest. Coding and decoding run over all frames of a batch at once: a step of
+the loop handles one sample of every frame. `decode_any` is the plain reader for streams of other encoders: other block sizes, Rice
 partitions, escape codes and wasted bits.
 
+Decoded streams are written as rows of PCM (`pcm_blocks`), each with its first sample, so that any range of samples is read from the
+blocks it touches alone (`pcm_range`).
+
 A payload is the text's UTF-8 bytes, padded with 255 up to a positive multiple of 576; byte b is the
 sample b - 110, wrapped to 8 bits, so that letters lie near zero. Null is empty. A wrong checksum, length or MD5 raises ValueError.
 """
@@ -19,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_text
 
@@ -77,6 +81,44 @@ def _fields(bits: np.ndarray, at: np.ndarray, value: np.ndarray | int, width: in
         bits[at + j] = value >> (width - 1 - j) & 1
 
 
+#: Highest order and bits of a weight of quantised linear predictors; what a weight and its warm-up sample cost, as a factor of the error.
+ORDERS, PRECISION = 8, 8
+DEAR = 2.0 ** (2 * (PRECISION + 8) * np.arange(ORDERS + 1) / BLOCK)
+
+
+def linear_predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, weights, shift) for each row of samples: Levinson's recursion over exact autocorrelations, weights rounded to PRECISION bits.
+    Each step works on a row alone, so equal rows get equal predictors in any batch; order 0 where there is none."""
+    n, y = len(x), x.astype(np.int64)
+    lags = np.stack([(y[:, j:] * y[:, : BLOCK - j]).sum(1) for j in range(ORDERS + 1)], axis=1).astype(np.float64)
+    weights, error = np.zeros((n, ORDERS)), lags[:, 0].copy()
+    best, order, chosen = error * DEAR[0], np.zeros(n, np.int64), np.zeros((n, ORDERS))
+    for m in range(1, ORDERS + 1):
+        gap = lags[:, m].copy()
+        for j in range(m - 1):
+            gap -= weights[:, j] * lags[:, m - 1 - j]
+        k = np.divide(gap, error, out=np.zeros(n), where=error > 0)
+        turned = weights[:, : m - 1][:, ::-1].copy()
+        weights[:, : m - 1] -= k[:, None] * turned
+        weights[:, m - 1] = k
+        error = error * (1 - k * k)
+        better = (error > 0) & (error * DEAR[m] < best)
+        best[better], order[better], chosen[better] = (error * DEAR[m])[better], m, weights[better]
+    _, exponent = np.frexp(np.abs(chosen).max(1))
+    shift = np.minimum(15, PRECISION - 1 - exponent).astype(np.int64)
+    order[shift < 0] = 0
+    top = 1 << (PRECISION - 1)
+    whole = np.clip(np.rint(np.ldexp(chosen, np.maximum(shift, 0)[:, None])), -top, top - 1).astype(np.int32)
+    return order, whole, shift
+
+
+def _rice(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded residual, cheapest parameter, its bits) for each row."""
+    u = (r << 1) ^ (r >> 31)
+    costs = np.stack([(u >> k).sum(1) + (k + 1) * u.shape[1] for k in range(9)])
+    return u, np.argmin(costs, axis=0), costs.min(0)
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """One FLAC frame for each row of samples (n x 576, -128..127)."""
     n = len(samples)
@@ -85,45 +127,58 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     for _ in range(4):
         residuals.append(np.diff(residuals[-1], axis=1))
     order = np.argmin([np.abs(r).sum(1) + o * 8 for o, r in enumerate(residuals)], axis=0)
-    rice, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    folded = {}
+    rice, size, kind = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    coded = []
     for o in range(5):
+        rows = np.flatnonzero(order == o)
+        if len(rows):
+            u, rice[rows], cost = _rice(residuals[o][rows])
+            size[rows], kind[rows] = 8 + o * 8 + 10 + cost, 8 + o
+            coded.append((8 + o, o, 8 + 8 * o, rows, u))
+    order, weights, shift = linear_predictors(x)
+    for o in range(1, ORDERS + 1):
         rows = np.flatnonzero(order == o)
         if not len(rows):
             continue
-        r = residuals[o][rows]
-        u = (r << 1) ^ (r >> 31)
-        costs = np.stack([(u >> k).sum(1) + (k + 1) * u.shape[1] for k in range(9)])
-        rice[rows] = np.argmin(costs, axis=0)
-        size[rows] = 8 + o * 8 + 10 + costs.min(0)
-        folded[o] = (rows, u)
+        own = x[rows]
+        guess = sum(weights[rows, j, None] * own[:, o - 1 - j : BLOCK - 1 - j] for j in range(o)) >> shift[rows, None]
+        u, k, cost = _rice((own[:, o:] - guess).astype(np.int32))
+        lead = 8 + (8 + PRECISION) * o + 9
+        some = lead + 10 + cost < size[rows]
+        rows = rows[some]
+        rice[rows], size[rows], kind[rows] = k[some], (lead + 10 + cost)[some], 31 + o
+        coded.append((31 + o, o, lead, rows, u[some]))
     constant = (x == x[:, :1]).all(1)
     verbatim = ~constant & (size >= 8 + 8 * BLOCK)
     size[constant], size[verbatim] = 16, 8 + 8 * BLOCK
+    kind[constant], kind[verbatim] = 0, 1
     heads = [b"\xff\xf8\x20\x02" + _number(int(i)) for i in numbers]
     head = np.array([len(h) + 1 for h in heads], np.int64)
     length = head + (size + 7) // 8
     begin = np.cumsum(length + 2) - length - 2
     bits = np.zeros(int((length + 2).sum()) * 8, np.uint8)
     at = (begin + head) * 8
-    _fields(bits, at[constant], 0, 8)
+    _fields(bits, at, kind << 1, 8)
     _fields(bits, at[constant] + 8, x[constant, 0] & 0xFF, 8)
-    _fields(bits, at[verbatim], 1 << 1, 8)
     if verbatim.any():
         places = at[verbatim][:, None] + 8 + 8 * np.arange(BLOCK)
         _fields(bits, places, x[verbatim] & 0xFF, 8)
-    for o, (rows, u) in folded.items():
-        use = ~(constant | verbatim)[rows]
+    for name, o, lead, rows, u in coded:
+        use = kind[rows] == name
         rows, u = rows[use], u[use]
         if not len(rows):
             continue
         k = rice[rows]
-        _fields(bits, at[rows], (8 | o) << 1, 8)
         for j in range(o):
             _fields(bits, at[rows] + 8 + 8 * j, x[rows, j] & 0xFF, 8)
-        _fields(bits, at[rows] + 8 + 8 * o + 6, k, 4)
+        if name > 31:
+            _fields(bits, at[rows] + 8 + 8 * o, PRECISION - 1, 4)
+            _fields(bits, at[rows] + 12 + 8 * o, shift[rows], 5)
+            for j in range(o):
+                _fields(bits, at[rows] + 17 + 8 * o + PRECISION * j, weights[rows, j] & (1 << PRECISION) - 1, PRECISION)
+        _fields(bits, at[rows] + lead + 6, k, 4)
         q = u >> k[:, None]
-        stop = np.cumsum(q + 1 + k[:, None], axis=1) - k[:, None] - 1 + (at[rows] + 18 + 8 * o)[:, None]
+        stop = np.cumsum(q + 1 + k[:, None], axis=1) - k[:, None] - 1 + (at[rows] + lead + 10)[:, None]
         bits[stop] = 1
         for kk in range(1, 9):
             some = k == kk
@@ -201,10 +256,11 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     rows = np.flatnonzero(kind == 1)
     if len(rows):
         out[rows] = data[(start[rows] + head[rows] + 1)[:, None] + np.arange(BLOCK)].view(np.int8)
-    for o in range(5):
-        rows = np.flatnonzero(kind == 8 + o)
-        if not len(rows):
-            continue
+    for name in np.unique(kind[(kind > 1)]).tolist():
+        o = name - 8 if name < 32 else name - 31
+        if not (0 <= o <= 4 or name >= 32):
+            raise ValueError("unknown kind of frame")
+        rows = np.flatnonzero(kind == name)
         body = start[rows] + head[rows] + 1
         width = int((end[rows] - body).max())
         grid = np.zeros((len(rows), width + 3), np.uint8)
@@ -214,24 +270,47 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         total = bits.shape[1]
         ahead = np.where(bits, np.arange(total, dtype=np.int32), np.int32(total - 1))
         ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1].ravel()  # position of the next 1
+        for j in range(o):
+            out[rows, j] = grid[:, j].view(np.int8)
         grid = grid.astype(np.uint32)
         window = (grid[:, :-2] << 16 | grid[:, 1:-1] << 8 | grid[:, 2:]).ravel()
-        for j in range(o):
-            out[rows, j] = grid[:, j].astype(np.uint8).view(np.int8)
-        k = ((window[np.arange(len(rows)) * (width + 1) + o] >> 14) & 15).astype(np.int32)  # after two bits of method, four of partition order
         base, base_w = np.arange(len(rows)) * total, np.arange(len(rows)) * (width + 1)
-        pos = np.full(len(rows), 8 * o + 10, np.int32)
+
+        def take(at: np.ndarray, width: int) -> np.ndarray:
+            return (window[base_w + (at >> 3)] >> (24 - width - (at & 7)).astype(np.uint32)).astype(np.int32) & (1 << width) - 1
+
+        pos = np.full(len(rows), 8 * o, np.int32)
+        if name >= 32:
+            precision, shift = take(pos, 4) + 1, take(pos + 4, 5)
+            if (shift > 15).any():
+                raise ValueError("negative shift")
+            weights = np.zeros((len(rows), o), np.int32)
+            for j in range(o):
+                raw = take(pos + 9 + precision * j, 15) >> (15 - precision)
+                weights[:, j] = raw - ((raw >> (precision - 1)) << precision)
+            pos = pos + 9 + precision * o
+        if take(pos, 6).any():
+            raise ValueError("several Rice partitions")
+        k = take(pos + 6, 4)
+        pos = pos + 10
         low, codes = (1 << k) - 1, np.zeros((BLOCK - o, len(rows)), np.int32)
         for i in range(BLOCK - o):
             stop = ahead[base + pos]
             after = stop + 1
             codes[i] = (stop - pos << k) | (window[base_w + (after >> 3)].astype(np.int32) >> (24 - k - (after & 7))) & low
             pos = after + k
-        r = ((codes >> 1) ^ -(codes & 1)).T
-        warm = out[rows, :o]
-        for j in range(o, 0, -1):  # sum up again, from the differences of order j to those of order j - 1
-            r = np.cumsum(r, axis=1) + np.diff(warm, n=j - 1, axis=1)[:, -1:]
-        out[rows, o:] = r
+        r = (codes >> 1) ^ -(codes & 1)
+        if name < 32:
+            r, warm = r.T, out[rows, :o]
+            for j in range(o, 0, -1):  # sum up again, from the differences of order j to those of order j - 1
+                r = np.cumsum(r, axis=1) + np.diff(warm, n=j - 1, axis=1)[:, -1:]
+            out[rows, o:] = r
+        else:
+            x = np.zeros((BLOCK, len(rows)), np.int32)  # a row a sample
+            x[:o], back = out[rows, :o].T, np.ascontiguousarray(weights.T[::-1])
+            for i in range(BLOCK - o):
+                x[i + o] = r[i] + ((x[i : i + o] * back).sum(0) >> shift)
+            out[rows] = x.T
     return out
 
 
@@ -402,10 +481,10 @@ def _own(stream: bytes) -> bool:
     return facts["block"] == (BLOCK, BLOCK) and points is not None and len(points) > 0 and bool((points["sample"] == np.arange(len(points)) * BLOCK * SEEK).all()) and stream[at + 2 : at + 4] == b"\x20\x02"
 
 
-def blocks_of(payload: bytes) -> Iterator[tuple[int, bytes]]:
-    """PCM blocks of a payload: (first sample, bytes)."""
-    for first in range(0, len(payload), BLOCK):
-        yield first, payload[first : first + BLOCK]
+def blocks_of(payload: bytes, frames: int = 1) -> Iterator[tuple[int, bytes]]:
+    """PCM blocks of a payload, of so many frames each: (first sample, bytes)."""
+    for first in range(0, len(payload), BLOCK * frames):
+        yield first, payload[first : first + BLOCK * frames]
 
 
 def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -433,39 +512,48 @@ def flac_column(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, first_sample, n_samples, pcm): every block can be sought by its first sample; pcm is 8-bit unsigned."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, streams in _parts(batch.column(1)):
-                for i, p in enumerate(read_streams(streams)):
-                    starts, pcm = zip(*blocks_of(p))
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a + i, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) for x in pcm], pa.int32()), pa.array(pcm, pa.binary())],
-                        names=["doc_id", "block", "first_sample", "n_samples", "pcm"],
-                    )
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, first_sample long, n_samples int, pcm binary")
-
-
-def media_digest(media: DataFrame) -> DataFrame:
-    """Facts of the stored bytes after decoding them."""
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [c.split()[0] for c in out.split(", ")]
+def pcm_blocks(media: DataFrame, frames: int = 1) -> DataFrame:
+    """(stream, doc_id, n_bytes, block, first_sample, n_samples, n_total, pcm, pcm_crc32, facts) of (doc_id, n_bytes, media): blocks of so many
+    frames, each sought by its first sample; pcm is 8-bit unsigned. `stream` numbers the rows of media, which may share ids; facts of
+    the stream and of its decoded payload stand with block 0. Pass a written table: a stream is decoded once, its checksums verified."""
+    facts = "struct<payload_sha256: string, media_bytes: long, media_sha256: string, feature: string>"
+    schema = f"stream long, doc_id long, n_bytes long, block int, first_sample long, n_samples int, n_total long, pcm binary, pcm_crc32 long, facts {facts}"
+    kinds = pa.struct([("payload_sha256", pa.string()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, streams in _parts(batch.column(2)):
+            ids = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            for a, streams in _parts(batch.column(3)):
                 rows = []
-                for payload, s in zip(read_streams(streams), streams):
-                    read, length = hashlib.sha256(), 0
-                    for first, pcm in blocks_of(payload):
-                        read.update(pcm)
-                        length = first + len(pcm)
-                    rows.append((length, read.hexdigest(), zlib.crc32(payload[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature_of(payload)))
-                columns = [batch.column(0).slice(a, len(rows)), batch.column(1).slice(a, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, out)
+                for own, payload, s in zip(ids[a : a + len(streams)], read_streams(streams), streams):
+                    of_all = {"payload_sha256": hashlib.sha256(payload).hexdigest(), "media_bytes": len(s), "media_sha256": hashlib.sha256(s).hexdigest(), "feature": feature_of(payload)}
+                    for i, (first, pcm) in enumerate(blocks_of(payload, frames)):
+                        rows.append((*own, i, first, len(pcm), len(payload), pcm, zlib.crc32(pcm), None if i else of_all))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in schema.split(", ", 9)])
+
+    return media.select(F.monotonically_increasing_id().alias("stream"), "doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def pcm_range(blocks: DataFrame, first: Column, length: int) -> DataFrame:
+    """(stream, doc_id, first_sample, pcm): samples first to first + length of every stream (a column of blocks, such as n_total - 32), from
+    the blocks they touch; shorter where the stream ends, no row where it has no such sample. length bounds what a row gathers."""
+    cut = F.greatest(first - F.col("first_sample"), F.lit(0))
+    end = F.least(first + length - F.col("first_sample"), F.col("n_samples"))
+    touched = blocks.where((F.col("first_sample") < first + length) & (F.col("first_sample") + F.col("n_samples") > first))
+    part = F.struct((F.col("first_sample") + cut).alias("at"), F.substring("pcm", cut.cast("int") + 1, (end - cut).cast("int")).alias("pcm"))
+    found = touched.select("stream", "doc_id", part.alias("part")).groupBy("stream").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["pcm"]))
+    return found.select("stream", "doc_id", F.col("parts")[0]["at"].alias("first_sample"), joined.alias("pcm"))
+
+
+def media_digest(blocks: DataFrame) -> DataFrame:
+    """Facts of stored streams from their written PCM blocks: every block is read back and must have its checksum, a stream's blocks must
+    add up to its samples, and the tail's checksum is that of the last 32 samples, sought in the last block."""
+    whole = F.when(F.crc32("pcm") == F.col("pcm_crc32"), F.col("n_samples")).otherwise(F.raise_error(F.lit("bad block")))
+    last = F.col("first_sample") + F.col("n_samples") == F.col("n_total")
+    tail = F.when(last, F.crc32(F.expr("substring(pcm, n_samples - 31, 32)")))
+    sums = blocks.groupBy("stream").agg(F.sum(whole).alias("payload_bytes"), F.max(tail).alias("tail_crc32"))  # numbers alone: a hash aggregate, no sort of pcm
+    rows = blocks.where("block = 0").select("stream", "doc_id", "n_bytes", "n_total", "facts.*").join(sums, "stream")
+    length = F.when(F.col("payload_bytes") == F.col("n_total"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("blocks are missing")))
+    return rows.select("doc_id", "n_bytes", length.cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import resampling, sharding, vector_codes
 from .bpe_stream import encode_decode_digest
 from .common import fresh_path, staged, table
-from .flac import flac_column, media_digest
+from .flac import SEEK, flac_column, media_digest, pcm_blocks
 from .html_text import extract_main_text
 from .jaccard import SQL as JACCARD_SQL
 from .jaccard import jaccard_components
@@ -60,7 +60,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(staged(flac_column(table(spark, sf_dir, "documents")), "media"))
+    media = staged(flac_column(table(spark, sf_dir, "documents")), "media")
+    return media_digest(staged(pcm_blocks(media, SEEK), "pcm"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
