@@ -44,6 +44,8 @@ POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
 CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
 
 
+#: Fixed predictors as weights of the last samples, by order.
+FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 #: Bytes of a frame number by its first byte.
 LEADS = np.array([max(1, 8 - (~b & 0xFF).bit_length()) for b in range(256)])
 
@@ -256,61 +258,65 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     rows = np.flatnonzero(kind == 1)
     if len(rows):
         out[rows] = data[(start[rows] + head[rows] + 1)[:, None] + np.arange(BLOCK)].view(np.int8)
-    for name in np.unique(kind[(kind > 1)]).tolist():
-        o = name - 8 if name < 32 else name - 31
-        if not (0 <= o <= 4 or name >= 32):
-            raise ValueError("unknown kind of frame")
-        rows = np.flatnonzero(kind == name)
-        body = start[rows] + head[rows] + 1
-        width = int((end[rows] - body).max())
-        grid = np.zeros((len(rows), width + 3), np.uint8)
-        inside = np.arange(width) < (end[rows] - body)[:, None]
-        grid[:, :width][inside] = data[np.minimum(body[:, None] + np.arange(width), len(data) - 1)][inside]
-        bits = np.unpackbits(grid, axis=1)
-        total = bits.shape[1]
-        ahead = np.where(bits, np.arange(total, dtype=np.int32), np.int32(total - 1))
-        ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1].ravel()  # position of the next 1
-        for j in range(o):
-            out[rows, j] = grid[:, j].view(np.int8)
-        grid = grid.astype(np.uint32)
-        window = (grid[:, :-2] << 16 | grid[:, 1:-1] << 8 | grid[:, 2:]).ravel()
-        base, base_w = np.arange(len(rows)) * total, np.arange(len(rows)) * (width + 1)
-
-        def take(at: np.ndarray, width: int) -> np.ndarray:
-            return (window[base_w + (at >> 3)] >> (24 - width - (at & 7)).astype(np.uint32)).astype(np.int32) & (1 << width) - 1
-
-        pos = np.full(len(rows), 8 * o, np.int32)
-        if name >= 32:
-            precision, shift = take(pos, 4) + 1, take(pos + 4, 5)
-            if (shift > 15).any():
-                raise ValueError("negative shift")
-            weights = np.zeros((len(rows), o), np.int32)
-            for j in range(o):
-                raw = take(pos + 9 + precision * j, 15) >> (15 - precision)
-                weights[:, j] = raw - ((raw >> (precision - 1)) << precision)
-            pos = pos + 9 + precision * o
-        if take(pos, 6).any():
-            raise ValueError("several Rice partitions")
-        k = take(pos + 6, 4)
-        pos = pos + 10
-        low, codes = (1 << k) - 1, np.zeros((BLOCK - o, len(rows)), np.int32)
-        for i in range(BLOCK - o):
-            stop = ahead[base + pos]
-            after = stop + 1
-            codes[i] = (stop - pos << k) | (window[base_w + (after >> 3)].astype(np.int32) >> (24 - k - (after & 7))) & low
-            pos = after + k
-        r = (codes >> 1) ^ -(codes & 1)
-        if name < 32:
-            r, warm = r.T, out[rows, :o]
-            for j in range(o, 0, -1):  # sum up again, from the differences of order j to those of order j - 1
-                r = np.cumsum(r, axis=1) + np.diff(warm, n=j - 1, axis=1)[:, -1:]
-            out[rows, o:] = r
-        else:
-            x = np.zeros((BLOCK, len(rows)), np.int32)  # a row a sample
-            x[:o], back = out[rows, :o].T, np.ascontiguousarray(weights.T[::-1])
-            for i in range(BLOCK - o):
-                x[i + o] = r[i] + ((x[i : i + o] * back).sum(0) >> shift)
-            out[rows] = x.T
+    rows = np.flatnonzero(kind > 1)
+    if not len(rows):
+        return out
+    kind = kind[rows].astype(np.int64)
+    order = np.where(kind < 32, kind - 8, kind - 31)
+    if (order < 0).any() or ((kind < 32) & (order > 4)).any():
+        raise ValueError("unknown kind of frame")
+    n, most = len(rows), int(order.max())
+    body = start[rows] + head[rows] + 1
+    width = int((end[rows] - body).max())
+    grid = np.zeros((n, width + 3), np.uint8)
+    inside = np.arange(width) < (end[rows] - body)[:, None]
+    grid[:, :width][inside] = data[np.minimum(body[:, None] + np.arange(width), len(data) - 1)][inside]
+    bits = np.unpackbits(grid, axis=1)
+    total = bits.shape[1]
+    ahead = np.where(bits, np.arange(total, dtype=np.int32), np.int32(total - 1))
+    ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1].ravel()  # position of the next 1
+    warm = grid[:, :most].view(np.int8).astype(np.int32)
+    grid = grid.astype(np.uint32)
+    window = (grid[:, :-2] << 16 | grid[:, 1:-1] << 8 | grid[:, 2:]).ravel()
+    base, base_w = np.arange(n) * total, np.arange(n) * (width + 1)
+
+    def take(at: np.ndarray, size: int) -> np.ndarray:
+        return (window[base_w + (at >> 3)] >> (24 - size - (at & 7)).astype(np.uint32)).astype(np.int32) & (1 << size) - 1
+
+    pos = 8 * order.astype(np.int32)
+    linear = kind >= 32
+    precision, shift = np.where(linear, take(pos, 4) + 1, 1), np.where(linear, take(pos + 4, 5), 0)
+    if (shift > 15).any():
+        raise ValueError("negative shift")
+    back = np.zeros((most, n), np.int32)  # weights, of the sample before last
+    for j in range(most):
+        some = np.flatnonzero(linear & (j < order))
+        raw = take(np.where(linear & (j < order), pos + 9 + precision * j, 0), 15)[some] >> (15 - precision[some])
+        back[most - 1 - j, some] = raw - ((raw >> (precision[some] - 1)) << precision[some])
+    for o, weights in enumerate(FIXED):
+        for j, w in enumerate(weights):
+            back[most - 1 - j, ~linear & (order == o)] = w
+    pos = np.where(linear, pos + 9 + precision * order, pos).astype(np.int32)
+    if take(pos, 6).any():
+        raise ValueError("several Rice partitions")
+    k = take(pos + 6, 4)
+    pos = pos + 10
+    low, codes, close = (1 << k) - 1, np.zeros((BLOCK, n), np.int32), np.int32(width * 8)
+    for i in range(BLOCK):  # frames with warm-up samples end earlier and then read nothing that counts
+        stop = np.minimum(ahead[base + pos], close)
+        after = stop + 1
+        codes[i] = (stop - pos << k) | (window[base_w + (after >> 3)].astype(np.int32) >> (24 - k - (after & 7))) & low
+        pos = np.minimum(after + k, close)
+    r = (codes >> 1) ^ -(codes & 1)
+    x = np.zeros((most + BLOCK, n), np.int32)  # a row a sample, zeros before the first
+    for o in np.unique(order).tolist():
+        some = np.flatnonzero(order == o)
+        x[most + o :, some] = r[: BLOCK - o, some]
+        x[most : most + o, some] = warm[some, :o].T
+    for i in range(BLOCK):
+        guess = np.add.reduce(x[i : i + most] * back, axis=0, dtype=np.int32) >> shift
+        x[most + i] += guess if i >= most else np.where(i >= order, guess, 0)
+    out[rows] = x[most:].T
     return out
 
 
@@ -406,7 +412,6 @@ def _residual(bits: _Bits, block: int, order: int) -> list[int]:
 def decode_any(stream: bytes) -> np.ndarray:
     """Samples of any mono FLAC stream of up to 16 bits, frame after frame (the plain path; checksums verified)."""
     facts, at = _layout(stream)
-    fixed = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
     out: list[int] = []
     while at < len(stream):
         bits = _Bits(stream[at:])
@@ -440,7 +445,7 @@ def decode_any(stream: bytes) -> np.ndarray:
         else:
             order = kind - 8 if kind < 32 else kind - 31
             x = [bits.signed(depth) for _ in range(order)]
-            shift, weights = 0, fixed[order] if kind < 32 else None
+            shift, weights = 0, FIXED[order] if kind < 32 else None
             if weights is None:
                 precision, shift = bits.take(4) + 1, bits.signed(5)
                 weights = [bits.signed(precision) for _ in range(order)]
