@@ -241,6 +241,8 @@ def test_quantised_predictors_are_written_and_read_at_once():
     waves = [((60 * np.sin(t / f) + 30 * np.sin(t / 3.1 + f) + rng.normal(0, 2, len(t))).astype(np.int64) + flac.CENTRE & 255).astype(np.uint8).tobytes() for f in (2.3, 7.7, 40.0)]
     payloads = [*waves, flac.pad(b"words and more words " * 300), bytes(576 * 3)]
     streams = flac.encode_payloads(payloads)
+    low = [bytes(i // (7 + j) + flac.CENTRE & 255 for i in range(576)) for j in range(9)]  # a batch of low orders alone
+    assert all(flac.decode_streams(flac.encode_payloads([p])) == [p] for p in [*payloads, *low])
     assert flac.decode_streams(streams) == payloads and streams == [flac.encode_payloads([p])[0] for p in payloads]
     kinds = set()
     for p, s in zip(payloads, streams):

@@ -293,7 +293,7 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         some = np.flatnonzero(linear & (j < order))
         raw = take(np.where(linear & (j < order), pos + 9 + precision * j, 0), 15)[some] >> (15 - precision[some])
         back[most - 1 - j, some] = raw - ((raw >> (precision[some] - 1)) << precision[some])
-    for o, weights in enumerate(FIXED):
+    for o, weights in enumerate(FIXED[: most + 1]):
         for j, w in enumerate(weights):
             back[most - 1 - j, ~linear & (order == o)] = w
     pos = np.where(linear, pos + 9 + precision * order, pos).astype(np.int32)
