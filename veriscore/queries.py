@@ -13,11 +13,13 @@ from .functions.homograph import punycode_signals
 from .functions.model_output import parse_model_output
 from .operators import evaluation, scoring
 from .operators.ordered import cached, ordered_fold, started
+from .operators.parity import DETECTORS, emitted, oracle, parity
 from .plans import corpus, dims
 from .plans.blocklist import plan_row, short_list_row, spec_row
 from .plans.corpus import SCHEME
 from .plans.dialect import Duck, Spark
 from .plans.dims import suffix_frame
+from .plans.spec import WEIGHTS
 from .sources.lookup import looked_up
 
 TEXTS = scoring.QUERIES | evaluation.QUERIES
@@ -121,9 +123,20 @@ def q34_external_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(found, "url", "left").select("page_id", "url", F.coalesce(F.array_join("threats", "|"), F.lit("")).alias("threats"))
 
 
+def q59_signal_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared signal ids against those that each detector emits on the pages, with what is wrong about an id."""
+    declared = spark.createDataFrame([(k, float(w)) for k, w in WEIGHTS.items()], "id string, weight double")
+    sides = []
+    for mode in DETECTORS:
+        text = emitted(Spark(), mode)
+        _views(spark, sf_dir, text, "")
+        sides.append(plan_of(text, spark))
+    return parity(declared, *sides)
+
+
 #: Queries that are no SQL text, and the oracle's texts of those that SQL can tell on small tables.
-OTHERS = {f.__name__: f for f in (q42_llm_json, q46_punycode, q34_external_join, q43_in_flight, q45_lru_hits)}
-ORACLES = {"q34_external_join": f"WITH {corpus.corpus(Duck())} SELECT page_id, url, {evaluation.threats(Duck())} AS threats FROM x", "q43_in_flight": evaluation.in_flight_oracle(), "q45_lru_hits": evaluation.cache_oracle()}
+OTHERS = {f.__name__: f for f in (q42_llm_json, q46_punycode, q34_external_join, q43_in_flight, q45_lru_hits, q59_signal_parity)}
+ORACLES = {"q34_external_join": f"WITH {corpus.corpus(Duck())} SELECT page_id, url, {evaluation.threats(Duck())} AS threats FROM x", "q43_in_flight": evaluation.in_flight_oracle(), "q45_lru_hits": evaluation.cache_oracle(), "q59_signal_parity": oracle(Duck())}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
