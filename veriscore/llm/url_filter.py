@@ -71,7 +71,8 @@ def tree_branches(nodes: DataFrame) -> DataFrame:
     done = []
     while True:
         rows = staged(rows, "branches")
-        if rows.isEmpty():
+        n = rows.count()
+        if not n:
             break
         rest = F.when(F.size("segs") > F.col("depth"), F.slice("segs", F.col("depth") + 1, F.greatest(F.size("segs") - F.col("depth"), F.lit(0))))
         totals = rows.groupBy("branch").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"), F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.count("*").alias("nodes"))
@@ -79,10 +80,11 @@ def tree_branches(nodes: DataFrame) -> DataFrame:
         same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
         shared = F.when(F.exists(same, lambda e: ~e), F.array_position(same, False) - 1).otherwise(F.size("lo"))
         totals = staged(totals.select("branch", "bl", "bb", "nodes", ended.alias("ended"), F.greatest(shared, F.lit(1)).cast("int").alias("step")), "totals")
-        placed = joined_split(rows, totals, ["branch"], F.col("nodes"), rows.count())
+        # Written, so that what ends here is a scan in the union of all rounds, and the next round's plan is one of scans as well.
+        placed = staged(joined_split(rows, totals, ["branch"], F.col("nodes"), n), "placed")
         done.append(placed.where("ended").select("node", "host", "segs", "urls", "branch", "labelled", "blocked"))
         going = placed.where("NOT ended").withColumn("child", F.coalesce(F.get("segs", F.col("depth")), F.lit("")))
-        children = going.groupBy("branch", "child").agg(F.sum("labelled").alias("cl"), F.sum("blocked").alias("cb")).join(totals, "branch")
+        children = going.groupBy("branch", "child", "bl", "bb").agg(F.sum("labelled").alias("cl"), F.sum("blocked").alias("cb"))
         pooled = F.col("bb") / F.col("bl")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "cl") + F.try_divide(F.lit(1.0), F.col("bl") - F.col("cl"))))
         gap = F.try_divide("cb", "cl") - F.try_divide(F.col("bb") - F.col("cb"), F.col("bl") - F.col("cl"))
