@@ -1,6 +1,8 @@
 """Toxicity, streaming BPE, quality rules, FLAC and the Jaccard join on odd rows and against plain versions."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -289,6 +291,22 @@ def test_flac_rows(spark, odd, sf):
     assert all(r.payload_sha256 == hashlib.sha256(flac.pad(texts[r.doc_id].encode())).hexdigest() for r in op8_flac_column(spark, sf).collect())
 
 
+def test_flac_blocks_of_one_part_lie_beside_the_streams(spark, sf, tmp_path):
+    """PCM blocks of a part of the files take the place of those of the part before; every row is in one part."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(8).write.option("compression", "none").parquet(f"{tmp_path}/documents.parquet")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/*"))
+    rows = op8_flac_column(spark, str(tmp_path)).collect()
+    made = set(glob.glob(f"{shared}/*")) - before
+    count = lambda kind, where: [spark.read.parquet(f).where(where).count() for f in made if os.path.basename(f).startswith(kind)]
+    files = [len(glob.glob(f"{f}/part-*")) for f in made if os.path.basename(f).startswith("media-")]
+    assert files[0] > 1 and count("media-", "true") == [docs.count()] and 0 < sum(count("pcm-", "block = 0")) <= docs.count() * 2 // 3
+    media = flac.flac_column(docs)
+    assert sorted(rows) == sorted(flac.media_digest(staged(flac.pcm_blocks(media, flac.SEEK), "whole")).collect())
+    assert flac.digest_in_parts(staged(media.limit(0), "none")).count() == 0
+
+
 # Jaccard
 
 

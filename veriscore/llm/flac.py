@@ -19,13 +19,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import fresh_path, id_text
 
 BLOCK = 576
 CENTRE = 110
@@ -521,9 +522,9 @@ def pcm_blocks(media: DataFrame, frames: int = 1) -> DataFrame:
     """(stream, doc_id, n_bytes, block, first_sample, n_samples, n_total, pcm, pcm_crc32, facts) of (doc_id, n_bytes, media): blocks of so many
     frames, each sought by its first sample; pcm is 8-bit unsigned. `stream` numbers the rows of media, which may share ids; facts of
     the stream and of its decoded payload stand with block 0. Pass a written table: a stream is decoded once, its checksums verified."""
-    facts = "struct<payload_sha256: string, media_bytes: long, media_sha256: string, feature: string>"
+    facts = "struct<payload_sha256: binary, media_bytes: long, media_sha256: binary, feature: string>"
     schema = f"stream long, doc_id long, n_bytes long, block int, first_sample long, n_samples int, n_total long, pcm binary, pcm_crc32 long, facts {facts}"
-    kinds = pa.struct([("payload_sha256", pa.string()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    kinds = pa.struct([("payload_sha256", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())])
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,7 +533,7 @@ def pcm_blocks(media: DataFrame, frames: int = 1) -> DataFrame:
             for a, streams in _parts(batch.column(3)):
                 rows = []
                 for own, payload, s in zip(ids[a : a + len(streams)], read_streams(streams), streams):
-                    of_all = {"payload_sha256": hashlib.sha256(payload).hexdigest(), "media_bytes": len(s), "media_sha256": hashlib.sha256(s).hexdigest(), "feature": feature_of(payload)}
+                    of_all = {"payload_sha256": hashlib.sha256(payload).digest(), "media_bytes": len(s), "media_sha256": hashlib.sha256(s).digest(), "feature": feature_of(payload)}
                     for i, (first, pcm) in enumerate(blocks_of(payload, frames)):
                         rows.append((*own, i, first, len(pcm), len(payload), pcm, zlib.crc32(pcm), None if i else of_all))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in schema.split(", ", 9)])
@@ -561,4 +562,22 @@ def media_digest(blocks: DataFrame) -> DataFrame:
     sums = blocks.groupBy("stream").agg(F.sum(whole).alias("payload_bytes"), F.max(tail).alias("tail_crc32"))  # numbers alone: a hash aggregate, no sort of pcm
     rows = blocks.where("block = 0").select("stream", "doc_id", "n_bytes", "n_total", "facts.*").join(sums, "stream")
     length = F.when(F.col("payload_bytes") == F.col("n_total"), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("blocks are missing")))
-    return rows.select("doc_id", "n_bytes", length.cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    shown = lambda name: F.lower(F.hex(name)).alias(name)
+    return rows.select("doc_id", "n_bytes", length.cast("long").alias("payload_bytes"), shown("payload_sha256"), "tail_crc32", "media_bytes", shown("media_sha256"), "feature")
+
+
+def digest_in_parts(media: DataFrame, parts: int = 8, frames: int = SEEK) -> DataFrame:
+    """media_digest of written streams, a part of their files at a time: a part's PCM blocks are written, read back and digested, then the
+    next part's take their place. So beside all streams lie the blocks of one part alone; without files, all rows are one part."""
+    spark = media.sparkSession
+    names = sorted({unquote(f.rsplit("/", 1)[1]) for f in media.inputFiles()})
+    parts = max(1, min(parts, len(names)))
+    name, blocks_at, digests_at = F.col("_metadata.file_name"), fresh_path(spark, "pcm"), fresh_path(spark, "digests")
+    for k in range(parts):
+        others = [f for i, f in enumerate(names) if i % parts]  # the first part is what is in no other
+        own = media if parts == 1 else media.where(name.isin(names[k::parts]) if k else ~name.isin(others))
+        blocks = pcm_blocks(own, frames)
+        blocks.write.mode("overwrite").option("compression", "zstd").parquet(blocks_at)
+        digest = media_digest(spark.read.schema(blocks.schema).parquet(blocks_at))
+        digest.write.mode("append").option("compression", "zstd").parquet(digests_at)
+    return spark.read.schema(digest.schema).parquet(digests_at)
