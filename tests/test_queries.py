@@ -2,10 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veriscore.functions.homograph import decode_label, label_signals
 from veriscore.functions.model_output import validated
-from veriscore.queries import ORACLES, TEXTS, oracle_sql, queries
+from veriscore.queries import ORACLES, SHARE, TEXTS, oracle_sql, queries, spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +31,18 @@ def test_matches_oracle(spark, duck, name):
     assert own
 
 
+def test_no_task_holds_more_pages_than_its_share(spark, tmp_path):
+    """Well-compressed files of pages: few bytes in few splits, much text; small inputs still meet all cores."""
+    html = "<p>word</p>" * 3000
+    spark.range(2000).selectExpr("id AS page_id", "concat('https://example.org/', id) AS url", f"'{html}' AS html").repartition(8).write.parquet(f"{tmp_path}/pages.parquet")
+    queries()["q27_sweep_coarse"](spark, str(tmp_path))
+    held = spark.table("pages").groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in held) == 2000 and spark.table("pages").select("page_id").distinct().count() == 2000
+    assert max(r.bytes for r in held) <= SHARE * 1.3 and sum(r.bytes for r in held) > 6 * SHARE
+    few = spark.createDataFrame([(1, None), (2, "<p>")], "page_id long, html string").coalesce(1)
+    assert spread(few, SHARE).rdd.getNumPartitions() == spread(few).rdd.getNumPartitions() == 4 and spread(few.limit(0), SHARE).count() == 0
+
+
 def test_model_output():
     assert validated('x {"risk_score": 7, "verdict": "safe", "category": "a"} y')["risk_score"] == 7
     assert validated('{"risk_score": 7, "verdict": "safe", "category": "a", "reasons": ["b", "c')["reasons"] == ["b", "c"]

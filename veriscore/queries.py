@@ -26,10 +26,23 @@ TEXTS = scoring.QUERIES | evaluation.QUERIES
 TABLES = ("pages", "documents", "labels", "events")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores where a small input has fewer splits than there are cores; inputs of many files are read as they are."""
+#: Bytes of a page's text that a task of the page rules gets, near enough; a page counts as a thousand more, for its url's rules.
+SHARE = 8 << 20
+
+
+def spread(rows: DataFrame, share: int | None = None, of: str = "html") -> DataFrame:
+    """rows over all cores where a small input has fewer splits than there are cores; inputs of many files are read as they are.
+
+    With share, no task keeps much more than so many bytes of the column `of`: a split of a few MB can hold thousands of pages where the
+    file is well compressed, and a row group is never split. One scan of that column tells what the splits hold.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    least, even = cores, True
+    if share:
+        held = rows.select(F.spark_partition_id().alias("split"), (F.coalesce(F.octet_length(of), F.lit(0)).cast("long") + 1000).alias("n"))
+        total, largest = held.groupBy("split").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.max("n")).first()
+        least, even = max(cores, -(-(total or 0) // share)), (largest or 0) <= share
+    return rows if even and rows.rdd.getNumPartitions() >= cores else rows.repartition(least)
 
 
 #: Queries whose blocklist is the feed of the given pages instead of the short fixed list.
@@ -43,7 +56,7 @@ def dialect(name: str, kind: type[Spark]) -> Spark:
 def _views(spark: SparkSession, sf_dir: str, text: str, feed: str) -> None:
     for t in TABLES:
         if re.search(rf"\b(FROM|JOIN) {t}\b", text) or feed and t == "pages":
-            spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
+            spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), SHARE if t == "pages" else None).createOrReplaceTempView(t)
     if "FROM suffixes)" in text:
         suffix_frame(spark).createOrReplaceTempView("suffixes")
     if "FROM bloom_spec)" in text:
